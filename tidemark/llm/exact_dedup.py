@@ -35,7 +35,8 @@ def radix_groups(docs: DataFrame, first_width: int = 64, growth: int = 8) -> Dat
         split = active.withColumn("step", F.substring("rest", 1, width))
         parts = split.groupBy("part", "step").agg(F.count("*").alias("n"), F.max(F.struct("doc_id", "rid")).alias("top")).where("n > 1")
         parts = save(parts.select(F.col("part").alias("p"), F.col("step").alias("s"), "n", "top"), "radix-parts")
-        met = split.join(parts, (F.col("part") == F.col("p")) & (F.col("step") == F.col("s")), "left")
+        # always a merge join: what moves then grows with the input alone, and hot parts can be split
+        met = split.join(parts.hint("merge"), (F.col("part") == F.col("p")) & (F.col("step") == F.col("s")), "left")
         over = F.col("n").isNull() | (F.length("step") < width)
         alone = F.col("n").isNull()
         done = save(
