@@ -15,7 +15,11 @@ import pyarrow.compute as pc
 _LETTER = bytes(b for b in range(256) if chr(b).isalnum() and b < 128 or b >= 128)
 #: Lower case for A-Z, a blank for what isn't part of a word.
 TABLE = bytes(ord(chr(b).lower()) if b < 128 and b in _LETTER else b if b >= 128 else 32 for b in range(256))
+#: The same, but for ASCII punctuation, which stays.
+MARKS = bytes(TABLE[b] if 32 >= b or b == 127 or TABLE[b] != 32 else b for b in range(256))
 _P = 0x9E3779B97F4A7C15 | 1
+#: 0 for a blank, 1 for a letter, 2 for punctuation, after MARKS.
+_KINDS = np.array([0 if b == 32 else 1 if TABLE[b] != 32 else 2 for b in range(256)], np.uint8)
 _POWERS: dict[str, np.ndarray] = {}
 
 
@@ -52,19 +56,20 @@ def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 class Words:
     """Words of a few texts: begin and end (bytes), hash, and first (index of each text's first word, with the end last)."""
 
-    def __init__(self, raw: np.ndarray, at: np.ndarray, whole: bool = False):
-        """whole: split at white space only and keep case and punctuation."""
+    def __init__(self, raw: np.ndarray, at: np.ndarray, marks: bool = False):
+        """marks: runs of punctuation are words, too."""
         n = len(raw)
-        self.data = raw if whole else np.frombuffer(raw.tobytes().translate(TABLE), np.uint8)
-        inside = np.zeros(n + 2, bool)
-        inside[1:-1] = (self.data != 32) & ((self.data < 9) | (self.data > 13)) if whole else self.data != 32
-        begin = inside[1:-1] & ~inside[:-2]
+        self.data = np.frombuffer(raw.tobytes().translate(MARKS if marks else TABLE), np.uint8)
+        kind = np.zeros(n + 2, np.uint8)
+        kind[1:-1] = _KINDS[self.data] if marks else self.data != 32
+        here = kind[1:-1]
+        begin = (here > 0) & (here != kind[:-2])
         edges = at[1:-1][at[1:-1] < n]
-        begin[edges] = inside[1:-1][edges]
+        begin[edges] = here[edges] > 0
         self.begin = np.flatnonzero(begin)
-        stop = inside[1:-1] & ~inside[2:]
+        stop = (here > 0) & (here != kind[2:])
         last = edges[edges > 0] - 1
-        stop[last] = inside[1:-1][last]
+        stop[last] = here[last] > 0
         self.end = np.flatnonzero(stop) + 1
         self.first = np.searchsorted(self.begin, at)
         self.at = at
@@ -85,14 +90,14 @@ class Words:
         return np.diff(self.first)
 
 
-def blocks(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = 1 << 21, whole: bool = False) -> Iterator[tuple[pa.RecordBatch, Words]]:
+def blocks(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = 1 << 21, marks: bool = False) -> Iterator[tuple[pa.RecordBatch, Words]]:
     """Rows with the words of their whole texts, about limit bytes at a time (a longer text alone)."""
     from tidemark.llm.shared import by_bytes
 
     for batch in batches:
         column = batch.column(batch.schema.get_field_index(text))
         for i, j in by_bytes(column, limit):
-            yield batch.slice(i, j - i), Words(*flat(column.slice(i, j - i)), whole)
+            yield batch.slice(i, j - i), Words(*flat(column.slice(i, j - i)), marks)
 
 
 def shingles(w: Words, n: int = 5) -> tuple[np.ndarray, np.ndarray]:
