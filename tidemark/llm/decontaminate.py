@@ -27,7 +27,7 @@ STEP = PASSAGE // 2
 ITEM_STEP = 6
 TERM_BITS = 13
 FACTORS, TESTS = 48, 64
-COSINE = 0.5
+COSINE = 0.45
 #: A window must have so large a share of the different terms of the item's window before word order is compared.
 SHARED = 0.4
 #: Leak at so large a part of the item in order, or at a smaller one if the answer is there.
