@@ -59,10 +59,8 @@ def _present(bucket: np.ndarray, text: np.ndarray, bits: int) -> tuple[np.ndarra
     return both & ((1 << bits) - 1), both >> bits
 
 
-def _odds(bucket: np.ndarray, toxic: np.ndarray, bits: int, positives: int, negatives: int) -> np.ndarray:
+def _odds(pos: np.ndarray, neg: np.ndarray, positives: int, negatives: int) -> np.ndarray:
     """Smoothed log odds by bucket; 0 for buckets of fewer than SEEN texts."""
-    pos = np.bincount(bucket[toxic], minlength=1 << bits)
-    neg = np.bincount(bucket[~toxic], minlength=1 << bits)
     odds = np.log((pos + 1) / (positives + 2)) - np.log((neg + 1) / (negatives + 2))
     return np.where(pos + neg >= SEEN, np.clip(odds, -4, 6), 0).astype(np.float32)
 
@@ -133,40 +131,69 @@ def _gradients(p: dict, x: np.ndarray, valid: np.ndarray, kept: dict, mid: tuple
     return g, d_x
 
 
+def _in_parts(texts: list[str]) -> Iterator[tuple[int, pa.Array]]:
+    """Index of the first and texts of each part of a few hundred kilobytes: memory doesn't grow with the sample."""
+    column = pa.array(texts, pa.string())
+    for i, j in by_bytes(column, 1 << 19):
+        yield i, column.slice(i, j - i)
+
+
+def _counts(texts: list[str], label: np.ndarray, half: np.ndarray) -> dict[str, np.ndarray]:
+    """(half, label, buckets): in how many texts a word or n-gram bucket is."""
+    found = {"word": np.zeros((2, 2, 1 << WORD_BITS), np.int32), "gram": np.zeros((2, 2, 1 << GRAM_BITS), np.int32)}
+    for begin, part in _in_parts(texts):
+        w, bucket, grams = read(part)
+        text_of = np.repeat(np.arange(len(part)), w.counts())
+        index, owner = np.concatenate([i for i, _ in grams]), np.concatenate([text_of[word] for _, word in grams])
+        for name, bits, values, owners in (("word", WORD_BITS, bucket, text_of), ("gram", GRAM_BITS, index, owner)):
+            b, t = _present(values, owners, bits)
+            np.add.at(found[name], (half[begin + t], label[begin + t], b), 1)
+    return found
+
+
+def _tables(counts: dict[str, np.ndarray], texts: np.ndarray, halves: list[int]) -> dict:
+    """Log odds by bucket from some halves of the sample; texts: (half, label) numbers of texts."""
+    negatives, positives = texts[halves].sum(0)
+    return {name: _odds(*c[halves].sum(0)[::-1], positives, negatives) for name, c in counts.items()}
+
+
 def fit(texts: list[str], toxic: list[int], seed: int = 1) -> dict:
     """Log odds and network. Each text's odds for training come from the other half of the texts, so that the network sees them as new texts have them."""
     rng = np.random.default_rng(seed)
-    label = np.array(toxic, bool)
-    w, bucket, grams = read(pa.array(texts, pa.string()))
-    text_of = np.repeat(np.arange(len(texts)), w.counts())
-    pairs = [(*_present(bucket, text_of, WORD_BITS), WORD_BITS)]
-    index, owner = np.concatenate([i for i, _ in grams]), np.concatenate([text_of[word] for _, word in grams])
-    pairs.append((*_present(index, owner, GRAM_BITS), GRAM_BITS))
-
-    def tables(use: np.ndarray) -> dict:
-        found = [_odds(b[use[t]], label[t[use[t]]], bits, int(label[use].sum()), int((~label[use]).sum())) for b, t, bits in pairs]
-        return {"word": found[0], "gram": found[1]}
-
-    half = rng.permutation(len(texts)) % 2 == 0
-    feats = np.zeros((3, len(w) + 1), np.float32)
-    for side in (half, ~half):
-        mine = np.r_[side[text_of], False]
-        feats[:, mine] = features(tables(~side), w, bucket, grams)[:, mine]
+    label = np.array(toxic, bool).astype(int)
+    half = rng.permutation(len(texts)) % 2
+    counts = _counts(texts, label, half)
+    many_texts = np.zeros((2, 2), int)
+    np.add.at(many_texts, (half, label), 1)
+    other = [_tables(counts, many_texts, [1 - h]) for h in (0, 1)]
     p = {"bias": np.zeros(1, np.float32), "out": (rng.standard_normal(2 * HIDDEN) * 0.3).astype(np.float32), "att": (rng.standard_normal((4, 2 * HIDDEN)) * 0.3).astype(np.float32), "pick": (rng.standard_normal(4) * 0.3).astype(np.float32), "embed": (rng.standard_normal((EMBED, 1 << WORD_BITS)) * 0.02).astype(np.float32)}
     for s in "fb":
         p[f"w_{s}"] = (rng.standard_normal((3 * HIDDEN, 3 + EMBED)) * 0.3).astype(np.float32)
         p[f"c_{s}"] = np.zeros((3 * HIDDEN, 1), np.float32)
         p[f"u_{s}"] = gru.initial(rng, HIDDEN)
-    begin, used, text = windows(w.first)
-    # of each text the windows of the largest odds, which a wrong score would come from, and some others
-    loud = np.concatenate([[0], np.cumsum(feats[0, :-1] + feats[1, :-1])])
-    worth = loud[begin + used] - loud[begin] + rng.random(len(begin))
-    worth[rng.random(len(begin)) < 0.3] += 1e3
-    order = np.lexsort((-worth, text))
-    rank = np.arange(len(order)) - np.repeat(np.searchsorted(text, np.arange(len(texts))), np.bincount(text, minlength=len(texts)))
-    chosen = [order[rank < FIT_WINDOWS]]
-    group = text[chosen[0]]
-    cut = np.searchsorted(group, np.arange(len(texts) + 1))
+    kept_feats, kept_slots, kept_valid, kept_text = [], [], [], []
+    for at, part in _in_parts(texts):
+        w, bucket, grams = read(part)
+        two = [features(t, w, bucket, grams) for t in other]
+        side = np.r_[half[at + np.repeat(np.arange(len(part)), w.counts())], 0]
+        feats = np.where(side == 0, two[0], two[1])
+        begin, used, text = windows(w.first)
+        # of each text the windows of the largest odds, which a wrong score would come from, and some others
+        loud = np.concatenate([[0], np.cumsum(feats[0, :-1] + feats[1, :-1])])
+        worth = loud[begin + used] - loud[begin] + rng.random(len(begin))
+        worth[rng.random(len(begin)) < 0.3] += 1e3
+        order = np.lexsort((-worth, text))
+        rank = np.arange(len(order)) - np.repeat(np.searchsorted(text, np.arange(len(part))), np.bincount(text, minlength=len(part)))
+        chosen = order[rank < FIT_WINDOWS]
+        steps = np.arange(WINDOW)[:, None]
+        valid = steps < used[chosen]
+        index = np.where(valid, begin[chosen] + steps, len(w))
+        kept_feats.append(feats[:, index].transpose(1, 0, 2))
+        kept_slots.append(np.r_[bucket, 0][index].astype(np.int32))
+        kept_valid.append(valid)
+        kept_text.append(at + text[chosen])
+    all_feats, all_slots, all_valid = np.concatenate(kept_feats, 2), np.concatenate(kept_slots, 1), np.concatenate(kept_valid, 1)
+    cut = np.searchsorted(np.concatenate(kept_text), np.arange(len(texts) + 1))
     adam = gru.Adam({k: v for k, v in p.items() if k != "embed"}, RATE)
     total = EPOCHS * -(-len(texts) // BATCH)
     step = 0
@@ -177,12 +204,9 @@ def fit(texts: list[str], toxic: list[int], seed: int = 1) -> dict:
             step += 1
             adam.rate = RATE * (1.05 - step / total)
             many = cut[docs + 1] - cut[docs]
-            rows = chosen[0][np.concatenate([np.arange(cut[d], cut[d + 1]) for d in docs])]
-            steps = np.arange(WINDOW)[:, None]
-            valid = (steps < used[rows]).astype(np.float32)
-            at = np.where(valid > 0, begin[rows] + steps, len(w))
-            slot = np.where(valid > 0, bucket[np.minimum(at, len(w) - 1)] if len(w) else 0, 0)
-            x = np.ascontiguousarray(np.concatenate([feats[:, at], p["embed"][:, slot] * valid]).transpose(1, 0, 2))
+            rows = np.concatenate([np.arange(cut[d], cut[d + 1]) for d in docs])
+            valid, slot = all_valid[:, rows].astype(np.float32), all_slots[:, rows]
+            x = np.ascontiguousarray(np.concatenate([all_feats[:, :, rows], p["embed"][:, slot].transpose(1, 0, 2) * valid[:, None, :]], axis=1))
             kept: dict[str, list] = {"f": [], "b": []}
             logit, mid = _network(p, x, valid, kept)
             start = np.cumsum(many) - many
@@ -194,7 +218,7 @@ def fit(texts: list[str], toxic: list[int], seed: int = 1) -> dict:
             d_e = d_x[:, 3:] * valid[:, None, :]
             for k in range(EMBED):
                 p["embed"][k] -= 0.5 * np.bincount(slot.ravel(), d_e[:, k].ravel(), 1 << WORD_BITS).astype(np.float32)
-    return p | tables(np.ones(len(texts), bool))
+    return p | _tables(counts, many_texts, [0, 1])
 
 
 def scores(model: dict, texts: pa.Array) -> np.ndarray:
