@@ -94,7 +94,7 @@ def relative_price(limit: Column, bid: Column, ask: Column, side: Column, clamp:
     low = F.when(side == "no", 100 - ask).otherwise(bid)
     high = F.when(side == "no", 100 - bid).otherwise(ask)
     ratio = F.when(high > low, (limit - low) / (high - low))
-    return F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), ratio)), F.lit(0.5)) if clamp else ratio
+    return F.when(ratio.isNull(), 0.5).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), ratio))) if clamp else ratio
 
 
 def limit_at(bid: Column, ask: Column, relative: Column) -> Column:
