@@ -25,16 +25,20 @@ UNKNOWN = "und"
 OUT = "doc_id long, held_out boolean, lang_pred string, score double"
 
 
-def pieces(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(SPAN, pieces) bytes of all texts, how many of each piece are the text's, and the text of each piece."""
+def cuts(at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where each piece of all texts begins, how many bytes of it are the text's, and its text."""
     sizes = np.diff(at)
     many = -(-sizes // SPAN)
     text = np.repeat(np.arange(len(sizes)), many)
     order = np.arange(len(text)) - np.repeat(np.cumsum(many) - many, many)
     begin = at[:-1][text] + order * SPAN
-    used = np.minimum(SPAN, at[1:][text] - begin)
-    index = begin[None, :] + np.arange(SPAN)[:, None]
-    return np.where(np.arange(SPAN)[:, None] < used, raw[np.minimum(index, len(raw) - 1)], 0), used, text
+    return begin, np.minimum(SPAN, at[1:][text] - begin), text
+
+
+def pieces(raw: np.ndarray, begin: np.ndarray, used: np.ndarray) -> np.ndarray:
+    """(SPAN, pieces) bytes, 0 after a piece's end."""
+    steps = np.arange(SPAN)[:, None]
+    return np.where(steps < used, raw[np.minimum(begin + steps, len(raw) - 1)], 0)
 
 
 def _softmax(x: np.ndarray) -> np.ndarray:
@@ -48,9 +52,12 @@ def fit(texts: list[str], langs: list[str], seed: int = 1) -> dict:
     """Parameters of the network: for each direction a table of inputs by byte and recurrent weights; weights of the labels."""
     names = sorted(set(langs))
     rng = np.random.default_rng(seed)
-    rows, used, owner = pieces(*flat(pa.array(texts, pa.string())))
-    keep = np.concatenate([rng.permutation(np.flatnonzero(owner == i))[:FIT_PIECES] for i in range(len(texts))]) if len(owner) else np.zeros(0, int)
-    rows, used, label = rows[:, keep], used[keep], np.array([names.index(x) for x in langs])[owner[keep]]
+    raw, at = flat(pa.array(texts, pa.string()))
+    begin, used, owner = cuts(at)
+    first = np.searchsorted(owner, np.arange(len(texts) + 1))
+    keep = np.concatenate([np.zeros(0, int), *[a + rng.permutation(b - a)[:FIT_PIECES] for a, b in zip(first, first[1:], strict=False)]])
+    used, label = used[keep], np.array([names.index(x) for x in langs], int)[owner[keep]]
+    rows = pieces(raw, begin[keep], used) if len(keep) else np.zeros((SPAN, 0), np.uint8)
     p = {"out": (rng.standard_normal((len(names), 2 * HIDDEN)) * 0.3).astype(np.float32), "bias": np.zeros((len(names), 1), np.float32)}
     for side in ("f", "b"):
         p[f"in_{side}"] = (rng.standard_normal((3 * HIDDEN, 256)) * 0.3).astype(np.float32)
@@ -88,11 +95,12 @@ def document_probabilities(model: dict, raw: np.ndarray, at: np.ndarray) -> np.n
     """(texts, languages): means over all positions of each text; zeros for an empty text."""
     sums = np.zeros((len(at) - 1, len(model["names"])))
     if at[-1] > at[0]:
-        rows, used, text = pieces(raw, at)
+        begin, used, text = cuts(at)
         for i in range(0, len(used), AT_ONCE):
-            valid = (np.arange(SPAN)[:, None] < used[i : i + AT_ONCE]).astype(np.float32)
-            found = np.einsum("tcb,tb->bc", label_positions(model, rows[:, i : i + AT_ONCE], valid), valid)
-            np.add.at(sums, text[i : i + AT_ONCE], found)
+            some = slice(i, i + AT_ONCE)
+            valid = (np.arange(SPAN)[:, None] < used[some]).astype(np.float32)
+            found = np.einsum("tcb,tb->bc", label_positions(model, pieces(raw, begin[some], used[some]), valid), valid)
+            np.add.at(sums, text[some], found)
     return sums / np.maximum(np.diff(at), 1)[:, None]
 
 
