@@ -14,7 +14,7 @@ def asof_last(left: DataFrame, right: DataFrame, key: str, at: str, time: str, v
     Both sides are put in one time order per key, and each left row takes the last right row seen: linear in the rows, however
     many right rows a key has. Rows without an earlier right row have nulls. tie orders right rows of one time.
     """
-    payload = F.struct(F.col(time).alias("_t"), *[F.col(v).alias(v) for v in (*tie, *values)])
+    payload = F.struct(F.col(time).alias("_t"), *[F.col(v).alias(v) for v in dict.fromkeys((*tie, *values))])
     points = right.select(key, F.col(time).alias("_at"), F.lit(1 if strict else 0).alias("_side"), payload.alias("_right"), *[F.col(t).alias(f"_tie{i}") for i, t in enumerate(tie)])
     rows = left.select(key, F.col(at).alias("_at"), F.lit(0 if strict else 1).alias("_side"), F.struct(*left.columns).alias("_left"))
     both = points.unionByName(rows, allowMissingColumns=True)
