@@ -84,9 +84,9 @@ def j10_latest_run(m):
     return J.first_of(m.raw("events"), ["event_type"], F.col("event_id").desc()).select(F.col("event_type").alias("dataset_id"), F.col("event_id").alias("last_run"), "value")
 
 
-@query("WITH h AS (SELECT DISTINCT CAST(date_trunc('month', l_shipdate) AS DATE) AS month FROM lineitem WHERE l_suppkey = 7) SELECT strftime(CAST(g.m AS DATE), '%Y-%m') AS month FROM generate_series((SELECT min(month) FROM h)::TIMESTAMP, (SELECT max(month) FROM h)::TIMESTAMP, INTERVAL 1 MONTH) g(m) WHERE CAST(g.m AS DATE) NOT IN (SELECT month FROM h)")
+@query("WITH h AS (SELECT DISTINCT CAST(date_trunc('month', l_shipdate) AS DATE) AS month FROM lineitem WHERE l_partkey = 7) SELECT strftime(CAST(g.m AS DATE), '%Y-%m') AS month FROM generate_series((SELECT min(month) FROM h)::TIMESTAMP, (SELECT max(month) FROM h)::TIMESTAMP, INTERVAL 1 MONTH) g(m) WHERE CAST(g.m AS DATE) NOT IN (SELECT month FROM h)")
 def j11_missing_months(m):
-    rows = m.raw("lineitem").where("l_suppkey = 7").select(F.unix_micros(F.col("l_shipdate").cast("timestamp")).alias("at_us"))
+    rows = m.raw("lineitem").where("l_partkey = 7").select(F.unix_micros(F.col("l_shipdate").cast("timestamp")).alias("at_us"))
     return J.missing_months(rows, "at_us").select(F.date_format("month", "yyyy-MM").alias("month"))
 
 
