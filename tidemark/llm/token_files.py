@@ -11,6 +11,7 @@ row a file, and its line end after the end mark of the stream, which readers don
 from __future__ import annotations
 
 import base64
+import gc
 import json
 import zlib
 from collections.abc import Iterator
@@ -30,7 +31,7 @@ FILE_TOKENS = 1 << 22
 END_ID = 2
 #: Encodings kept by a worker: of words as they stand, and of the tokenizer's own pieces. Full ones start anew.
 WORDS_KEPT, PIECES_KEPT = 400_000, 800_000
-_BREAK = str.maketrans("\t\n\r", "   ")
+_STOPS = frozenset(".,;:!?")
 # The pattern by which word_bpe_49k.json cuts its text.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
@@ -65,10 +66,18 @@ class WordEncoder:
             self.words = {"": b""}
         if len(self.pieces) > PIECES_KEPT:
             self.pieces = {}
-        is_plain = [w != "" and max(w) < "\u0250" and "\u0130" not in w and "<|" not in w for w in words]
-        plain = [w for w, p in zip(words, is_plain, strict=True) if p]
-        odd = [w for w, p in zip(words, is_plain, strict=True) if w and not p]
-        cut = [self.cut(w.lower()) for w in plain]
+        plain, cut, odd = [], [], []
+        for w in words:
+            if "<|" in w or not (w.isascii() or max(w) < "\u0250" and "\u0130" not in w):
+                odd.append(w)
+                continue
+            plain.append(w)
+            if w.isalpha():
+                cut.append((w.lower(),))
+            elif w[-1:] in _STOPS and w[:-1].isalpha():
+                cut.append((w[:-1].lower(), w[-1]))
+            else:
+                cut.append(self.cut(w.lower()))
         new = list({p for ps in cut for p in ps}.difference(self.pieces))
         self.pieces.update(zip(new, self._ids(new), strict=True))
         self.words.update(zip(odd, self._ids(odd), strict=True))
@@ -77,7 +86,7 @@ class WordEncoder:
             self.words[w] = b"".join(map(get, ps))
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        parted = [t.translate(_BREAK).split(" ") for t in texts]
+        parted = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
         used = set().union(*parted)
         if new := used.difference(self.words):
             if len(self.words) > WORDS_KEPT:
@@ -120,6 +129,7 @@ def stream_file(ids: bytes, dtype: str, meta: dict, length: int = LENGTH, rows:
 
 def _write(tokenizer_file: str, dtype: str, end_id: int, length: int, file_tokens: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gc.disable()  # the caches hold no cycles, and walking through them costs more than encoding
         encode = _encoder(tokenizer_file, dtype)
         end = np.array([end_id], dtype).tobytes()
         part, before = TaskContext.get().partitionId(), 0
@@ -152,6 +162,7 @@ def _write(tokenizer_file: str, dtype: str, end_id: int, length: int, file_token
                         total = 0
         if docs:
             yield file()
+        gc.enable()
 
     return work
 
