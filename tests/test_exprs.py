@@ -18,6 +18,13 @@ def test_price_bucket(spark):
     assert got == [0, 10, 18, 1, 19, None, None, 6]
 
 
+def test_price_bucket_at_every_bound(spark):
+    edges = [round(0.05 * i, 2) for i in range(20)]
+    near = [x for e in edges for x in (e, e - 1e-12, e + 1e-12, e + 0.025)]
+    want = [max((i for i, e in enumerate(edges) if e <= x), default=None) if x >= 0 else None for x in near]
+    assert values(spark, [(x,) for x in near], "p double", X.price_bucket(F.col("p"))) == want
+
+
 def test_time_buckets(spark):
     hours = [(h,) for h in (0.5, 1.0, 2.0, 48.0, -1.0)]
     assert values(spark, hours, "h double", X.report_time_bucket(F.col("h"))) == ["0-1h", "1-3h", "1-3h", "24h+", None]

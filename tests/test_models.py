@@ -53,11 +53,11 @@ def obs(spark, rows):
 def test_adaptive_cells(spark):
     for markets, slices in ((30, 0), (50, 1), (300, 10), (1000, 20)):
         rows = [(f"t{i}", "g", "x", float(i % 100), i % 7 != 0, "s", i, i, 0.92) for i in range(markets)]
-        got = C.event_rates(obs(spark, rows), "price").collect()
+        got = C.event_rates(obs(spark, rows), "price", sources=("s",)).collect()
         assert len(got) == slices
         assert all(abs(r.p_yes - 6 / 7) < 0.1 for r in got)
     two = [(f"t{i % 50}", "g", "x", float(i), True, "s", i, i, 0.92) for i in range(100)]
-    assert [(r.n, r.n_markets) for r in C.event_rates(obs(spark, two), "price").collect()] == [(100, 50)]
+    assert [(r.n, r.n_markets) for r in C.event_rates(obs(spark, two), "price", sources=("s",)).collect()] == [(100, 50)]
 
 
 def test_smoothing(spark):

@@ -12,7 +12,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Bucket bounds, labels, price limits and fee rates.
-PRICE_EDGES = [round(0.05 * i, 2) for i in range(21)]
 REPORT_HOURS = [(0, 1, "0-1h"), (1, 3, "1-3h"), (3, 6, "3-6h"), (6, 12, "6-12h"), (12, 24, "12-24h"), (24, None, "24h+")]
 FLOW_HOURS = [(1, "<1h"), (3, "1-3h"), (6, "3-6h"), (12, "6-12h"), (24, "12-24h"), (72, "1-3d"), (None, "3-7d")]
 FILL_HOURS = [(1, "<1h"), (3, "<3h"), (6, "<6h"), (12, "<12h"), (24, "<24h"), (72, "<72h"), (168, "<168h"), (None, ">168h")]
@@ -39,11 +38,11 @@ def hours_between(start: Column, end: Column) -> Column:
 
 
 def price_bucket(price: Column) -> Column:
-    """X11: index 0-19 of the half-open 5-cent bin of a price in dollars; null outside [0, 1)."""
-    out = F.lit(None).cast("int")
-    for i in reversed(range(20)):
-        out = F.when((price >= PRICE_EDGES[i]) & (price < PRICE_EDGES[i + 1]), i).otherwise(out)
-    return out
+    """X11: index 0-19 of the half-open 5-cent bin of a price in dollars; null outside [0, 1). The quotient is only a guess that the bin's own bounds correct."""
+    guess = F.floor(price * 20)
+    bound = lambda i: i * 5 / F.lit(100.0)
+    index = F.when(price < bound(guess), guess - 1).when(price >= bound(guess + 1), guess + 1).otherwise(guess)
+    return F.when((price >= 0) & (price < 1), index.cast("int"))
 
 
 def report_time_bucket(hours: Column) -> Column:

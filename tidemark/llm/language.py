@@ -135,7 +135,10 @@ def predict_languages(docs: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
     spark = docs.sparkSession
     rows = fold(docs.select("doc_id", "text", "lang"), 4, 2)
     order = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).cast("binary"))
-    learn = rows.where("not held_out and lang is not null and text is not null").orderBy(order, "doc_id", "lang", F.xxhash64("text")).limit(fit_rows).select("text", "lang").collect()
+    known = rows.where("not held_out and lang is not null and text is not null")
+    # the sample is drawn from ids alone; only its rows' texts move
+    ids = known.select("doc_id").orderBy(order, "doc_id").limit(fit_rows).distinct().withColumnRenamed("doc_id", "of")
+    learn = known.join(F.broadcast(ids), F.col("doc_id").eqNullSafe(F.col("of")), "left_semi").orderBy(order, "doc_id", "lang", F.xxhash64("text")).limit(fit_rows).select("text", "lang").collect()
     model = spark.sparkContext.broadcast(fit([r.text for r in learn], [r.lang for r in learn]))
     ready = rows.select("doc_id", "held_out", "text", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("letters"))
     return ready.mapInArrow(_predict(model), OUT)

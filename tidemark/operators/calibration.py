@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import exprs as X
-from tidemark.operators.joins import first_of
 
+#: Where an observation comes from, the best first.
+SOURCES = ("hourly_candle", "snapshot", "daily_candle")
 METHODS = ("bid", "mid", "ask", "trade")
 #: Markets for a time slice, slices and markets of a cell at most and least.
 PER_SLICE, MOST_SLICES, LEAST_MARKETS = 30, 20, 50
@@ -31,31 +32,37 @@ def bucket_stats(obs: DataFrame, keys: Sequence[str], price: str, won: str) -> D
     return out.withColumn("gap", F.col("avg_price") - F.col("rate"))
 
 
-def event_rates(obs: DataFrame, price: str, least_markets: int = LEAST_MARKETS) -> DataFrame:
+def event_rates(obs: DataFrame, price: str, least_markets: int = LEAST_MARKETS, sources: Sequence[str] = SOURCES) -> DataFrame:
     """Rates of YES by process, topic, price bucket and adaptive slice of hours before settlement.
 
     obs has ticker, gp, topic, hours, yes, source, period_us, seq and a price in dollars. A cell with enough different
     markets is cut, in order of hours, into as many slices of equal rows as its markets allow; each market counts
-    once in a slice; rates are smoothed over neighbouring slices by their markets.
+    once in a slice; rates are smoothed over neighbouring slices by their markets; the source of a slice is its most
+    frequent one, of equal ones the first in order. All windows over rows share one shuffle, by cell.
     """
     cell = ["gp", "topic", "price_bucket"]
-    rows = obs.select(*obs.columns, X.price_bucket(F.col(price)).alias("price_bucket")).where("price_bucket IS NOT NULL")
-    sizes = rows.groupBy(*cell).agg(F.count_distinct("ticker").alias("cell_markets"), F.count("*").alias("cell_rows")).where(F.col("cell_markets") >= least_markets)
-    sizes = sizes.withColumn("k", F.greatest(F.lit(1), F.least(F.floor(F.col("cell_markets") / PER_SLICE), F.lit(MOST_SLICES))).cast("int"))
-    bounds = F.transform(F.sequence(F.lit(1), F.col("k")), lambda i: F.bround(i * (F.col("cell_rows") / F.col("k"))).cast("long"))
-    sizes = sizes.withColumn("bounds", bounds)
-    order = Window.partitionBy(*cell).orderBy("hours", "ticker", "period_us", "seq")
-    placed = rows.join(F.broadcast(sizes), cell).withColumn("rn", F.row_number().over(order) - 1)
-    placed = placed.withColumn("bucket_index", F.size(F.filter("bounds", lambda b: b <= F.col("rn"))))
+    rows = obs.select(*cell[:2], X.price_bucket(F.col(price)).alias("price_bucket"), "ticker", "hours", "period_us", "seq", "source", F.col("yes").cast("int").alias("yes")).where("price_bucket IS NOT NULL")
+    whole = Window.partitionBy(*cell)
+    once = rows.withColumn("first", (F.row_number().over(Window.partitionBy(*cell, "ticker").orderBy("hours")) == 1).cast("int"))
+    ranked = once.withColumn("rn", F.row_number().over(whole.orderBy("hours", "ticker", "period_us", "seq")) - 1)
+    sized = ranked.withColumn("cell_markets", F.sum("first").over(whole)).withColumn("cell_rows", F.count("*").over(whole)).where(F.col("cell_markets") >= least_markets)
+    k = F.greatest(F.lit(1), F.least(F.floor(F.col("cell_markets") / PER_SLICE), F.lit(MOST_SLICES))).cast("int")
+    # the slice of a row is the number of bounds at or before it: one more or less than its share of the rows, rounded
+    guess = F.floor(F.col("rn") * F.col("k") / F.col("cell_rows"))
+    bound = lambda i: F.bround(i * (F.col("cell_rows") / F.col("k"))).cast("long")
+    index = F.when(F.col("rn") < bound(F.col("guess")), F.col("guess") - 1).when((F.col("rn") >= bound(F.col("guess") + 1)) & (F.col("guess") + 1 < F.col("k")), F.col("guess") + 1).otherwise(F.col("guess"))
+    placed = sized.withColumn("k", k).withColumn("guess", guess).withColumn("bucket_index", index.cast("int"))
     slice_ = [*cell, "bucket_index"]
     # once for each market, then once for each slice
-    market = placed.groupBy(*slice_, "ticker").agg(F.avg(F.col("yes").cast("int")).alias("m"), F.count("*").alias("c"), F.min("hours").alias("h0"), F.max("hours").alias("h1"))
-    base = market.groupBy(*slice_).agg(F.min("h0").alias("hours_from"), F.max("h1").alias("hours_to"), F.sum("c").alias("n"), F.count("*").alias("n_markets"), F.avg("m").alias("p_raw"))
-    votes = placed.groupBy(*slice_, "source").agg(F.count("*").alias("votes"), F.min("rn").alias("first_rn"))
-    source = first_of(votes, slice_, F.col("votes").desc(), F.col("first_rn")).select(*slice_, "source")
-    near = Window.partitionBy(*cell).orderBy("bucket_index").rowsBetween(-REACH, REACH)
+    of = [F.col("source") == s for s in sources]
+    votes = [x for i, c in enumerate(of) for x in (F.count_if(c).alias(f"v{i}"), F.min(F.when(c, F.col("rn"))).alias(f"r{i}"))]
+    market = placed.groupBy(*slice_, "ticker").agg(F.avg("yes").alias("m"), F.count("*").alias("c"), F.min("hours").alias("h0"), F.max("hours").alias("h1"), *votes)
+    totals = [x for i in range(len(of)) for x in (F.sum(f"v{i}").alias(f"v{i}"), F.min(f"r{i}").alias(f"r{i}"))]
+    base = market.groupBy(*slice_).agg(F.min("h0").alias("hours_from"), F.max("h1").alias("hours_to"), F.sum("c").alias("n"), F.count("*").alias("n_markets"), F.avg("m").alias("p_raw"), *totals)
+    best = F.array_max(F.array(*[F.struct(F.col(f"v{i}").alias("v"), (-F.col(f"r{i}")).alias("r"), F.lit(s).alias("s")) for i, s in enumerate(sources)]))
+    near = whole.orderBy("bucket_index").rowsBetween(-REACH, REACH)
     smooth = F.sum(F.col("p_raw") * F.col("n_markets")).over(near) / F.sum("n_markets").over(near)
-    return base.join(source, slice_).withColumn("se", X.binomial_se(F.col("p_raw"), F.col("n_markets"))).withColumn("p_yes", smooth)
+    return base.withColumn("source", F.when(best["v"] > 0, best["s"])).withColumn("se", X.binomial_se(F.col("p_raw"), F.col("n_markets"))).withColumn("p_yes", smooth).drop(*[f"{x}{i}" for i in range(len(of)) for x in "vr"])
 
 
 def best_source(obs: DataFrame, key: str, source: str, order: Sequence[str]) -> DataFrame:

@@ -22,7 +22,7 @@ WINDOW w AS (PARTITION BY s.gp, s.topic, s.price_bucket ORDER BY s.bucket_index
 
 
 def _rates(m, least=C.LEAST_MARKETS):
-    return C.event_rates(m.observations.withColumn("source", F.col("origin")), "mid", least)
+    return C.event_rates(m.observations.withColumn("source", F.col("origin")), "mid", least, ("R", "A", "N"))
 
 
 @query(RATES_SQL, "observations")

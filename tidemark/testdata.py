@@ -42,8 +42,9 @@ class Market:
         )
 
     @cached_property
-    def candles(self) -> DataFrame:
-        joined = self.raw("lineitem").join(self.settled.select("ticker", "o_orderkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+    def quoted(self) -> DataFrame:
+        """Quotes with all of their market: a quote names its market by the order, so J01 and the ticker come from one join."""
+        joined = self.raw("lineitem").join(self.settled, F.col("l_orderkey") == F.col("o_orderkey"))
         return joined.select(
             "ticker",
             F.unix_micros(F.col("l_shipdate").cast("timestamp")).alias("period_us"),
@@ -52,8 +53,16 @@ class Market:
             F.floor(F.col("l_extendedprice") / 1000).cast("int").alias("volume"),
             (F.col("l_partkey") * 1000 + F.col("l_linenumber")).alias("seq"),
             F.col("l_returnflag").alias("origin"),
+            "event_ticker",
+            "series",
+            "result",
+            "settled_us",
         )
 
+    @cached_property
+    def candles(self) -> DataFrame:
+        return self.quoted.drop("event_ticker", "series", "result", "settled_us")
+
     @cached_property
     def tape(self) -> DataFrame:
         price = F.when(F.col("event_id") % 2 == 0, 85 + F.col("event_id") % 13).otherwise(3 + F.col("event_id") % 13)
@@ -76,7 +85,7 @@ class Market:
     @cached_property
     def observations(self) -> DataFrame:
         """Quotes before settlement with their market's result and class."""
-        joined = self.candles.join(self.settled.where(F.col("result").isNotNull()).select("ticker", "series", "event_ticker", "result", "settled_us"), "ticker").join(F.broadcast(self.classes), "series", "left")
+        joined = self.quoted.where(F.col("result").isNotNull()).join(F.broadcast(self.classes), "series", "left")
         known = joined.withColumn("gp", F.coalesce("gp", F.lit("unknown"))).withColumn("topic", F.coalesce("topic", F.lit("unknown")))
         good = known.where("period_us < settled_us AND bid > 0 AND ask > 0 AND ask - bid <= 10 AND bid + ask BETWEEN 1 AND 199")
         return good.withColumn("hours", (F.col("settled_us") - F.col("period_us")) / F.lit(3.6e9)).withColumn("mid2", F.col("bid") + F.col("ask")).withColumn("mid", F.col("mid2") / F.lit(200.0)).withColumn("yes", F.col("result") == "yes")
