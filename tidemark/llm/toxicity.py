@@ -132,9 +132,9 @@ def _gradients(p: dict, x: np.ndarray, valid: np.ndarray, kept: dict, mid: tuple
 
 
 def _in_parts(texts: list[str]) -> Iterator[tuple[int, pa.Array]]:
-    """Index of the first and texts of each part of a few hundred kilobytes: memory doesn't grow with the sample."""
+    """Index of the first and texts of each part of about a hundred kilobytes: memory doesn't grow with the sample."""
     column = pa.array(texts, pa.string())
-    for i, j in by_bytes(column, 1 << 19):
+    for i, j in by_bytes(column, 1 << 17):
         yield i, column.slice(i, j - i)
 
 
@@ -193,6 +193,7 @@ def fit(texts: list[str], toxic: list[int], seed: int = 1) -> dict:
         kept_valid.append(valid)
         kept_text.append(at + text[chosen])
     all_feats, all_slots, all_valid = np.concatenate(kept_feats, 2), np.concatenate(kept_slots, 1), np.concatenate(kept_valid, 1)
+    del kept_feats, kept_slots, kept_valid, other
     cut = np.searchsorted(np.concatenate(kept_text), np.arange(len(texts) + 1))
     adam = gru.Adam({k: v for k, v in p.items() if k != "embed"}, RATE)
     total = EPOCHS * -(-len(texts) // BATCH)
