@@ -153,8 +153,8 @@ def _counts(texts: list[str], label: np.ndarray, half: np.ndarray) -> dict[str,
 
 def _tables(counts: dict[str, np.ndarray], texts: np.ndarray, halves: list[int]) -> dict:
     """Log odds by bucket from some halves of the sample; texts: (half, label) numbers of texts."""
-    negatives, positives = texts[halves].sum(0)
-    return {name: _odds(*c[halves].sum(0)[::-1], positives, negatives) for name, c in counts.items()}
+    negatives, positives = texts[halves].sum(0).tolist()
+    return {name: _odds(*c[halves].sum(0, dtype=np.float32)[::-1], positives, negatives) for name, c in counts.items()}
 
 
 def fit(texts: list[str], toxic: list[int], seed: int = 1) -> dict:
