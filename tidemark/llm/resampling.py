@@ -75,7 +75,8 @@ def _weigh(ratio_at):
         for rows, w in blocks(batches, marks=True):
             bucket, text = _buckets(w)
             weight = np.bincount(text, ratio_at.value[bucket], len(w.first) - 1)
-            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(weight)], ["doc_id", "log_weight"])
+            # without any word bincount gives whole numbers
+            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(weight.astype(float))], ["doc_id", "log_weight"])
 
     return work
 
