@@ -226,6 +226,24 @@ def test_decontamination(spark, odd, empty):
     assert decontaminate.leaks(frame, benchmark.limit(0)).count() == 0
 
 
+def test_short_and_rewritten_items(spark):
+    """Items of 15 to 24 words with up to 45% of their words replaced but the answer kept, wherever the windows fall: none is lost."""
+    rng = np.random.default_rng(11)
+    vocabulary = np.array([f"t{i:03d}" for i in range(600)])
+    text = lambda n: rng.choice(vocabulary, n, p=np.arange(600, 0, -1) / 180300).tolist()
+    items, docs = [], []
+    for i in range(200):
+        item = text(15 + i % 10)
+        items.append((i, " ".join(item)))
+        changed, most = list(item), int(0.45 * len(item))
+        for k in rng.choice(len(item) - 5, most, replace=False):
+            changed[k] = text(1)[0]
+        docs.append((i, " ".join(text(40 + i % 12) + (changed if i % 4 else item) + text(60))))
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.leaks(spark.createDataFrame(docs, "doc_id long, text string"), benchmark).collect()}
+    assert got == {(i, i) for i in range(200)}
+
+
 def test_common_subsequence():
     rng = np.random.default_rng(4)
     for _ in range(50):

@@ -4,7 +4,9 @@
    factorisation of the passages' Gram matrix needs one pass: each task adds up document frequencies and the product of
    its part with a random test matrix, both of fixed size, and the driver finishes a Nystroem decomposition of the sum.
 2. Search: overlapping windows of all texts and of all benchmark items are projected to the leading factors; pairs of high
-   cosine are candidates.
+   cosine are candidates. Where a window dilutes or cuts an item its cosine is low, so there is an exact way as well: a text
+   that lacks no more than m of an item's n words has KEYS at least of its m + KEYS rarest different ones, and each place
+   where so many of them are close together is a candidate too. No stretch of up to 2 n words that the check accepts is lost.
 3. Check: a candidate is a leak if the longest common subsequence of words covers most of the item, or a good part of it
    and the answer (the last words of the item) is there as well.
 """
@@ -33,6 +35,8 @@ SHARED = 0.4
 #: Leak at so large a part of the item in order, or at a smaller one if the answer is there.
 COVERED, PARAPHRASED = 0.65, 0.55
 ANSWER = 5
+#: Different rare words of an item that must be close together in a text, by the exact way.
+KEYS = 3
 #: Items searched for at once, and so the most that is broadcast.
 ITEMS_AT_ONCE = 4096
 SLICES = 64
@@ -137,15 +141,15 @@ def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out()
 
 
-def fit(docs: DataFrame) -> np.ndarray:
-    """(TERMS, FACTORS): TF-IDF weight times factor of each term, from all passages of all texts."""
+def fit(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(TERMS, FACTORS): TF-IDF weight times factor of each term, from all passages of all texts; and the passages with each term."""
     parts = docs.select("text").mapInArrow(_gather, GATHERED).repartition(SLICES, "slice").sortWithinPartitions("slice").mapInArrow(_add_up, GATHERED)
     rows = sorted(parts.collect(), key=lambda r: r["slice"])  # SLICES rows of a fixed size
     if not rows:
-        return np.zeros((TERMS, FACTORS), np.float32)
+        return np.zeros((TERMS, FACTORS), np.float32), np.zeros(TERMS, np.int64)
     frequency = np.concatenate([np.frombuffer(r["frequency"], np.int64) for r in rows])
     product = np.concatenate([np.frombuffer(r["product"], np.float64) for r in rows]).reshape(TERMS, TESTS)
-    return factors(frequency, product, rows[0]["total"])
+    return factors(frequency, product, rows[0]["total"]), frequency
 
 
 def factors(frequency: np.ndarray, product: np.ndarray, total: int) -> np.ndarray:
@@ -181,9 +185,9 @@ def _bits(runs_: np.ndarray) -> np.ndarray:
 
 
 class Items:
-    """Benchmark items as arrays: windows with their factors, and words."""
+    """Benchmark items as arrays: windows with their factors, words, and rare words. How rare decides what a search costs, not what it finds."""
 
-    def __init__(self, ids: list, texts: list[str], table: np.ndarray):
+    def __init__(self, ids: list, texts: list[str], table: np.ndarray, frequency: np.ndarray):
         w = Words(*flat(pa.array(texts, pa.string())))
         term = _terms(w)
         self.ids = ids
@@ -203,6 +207,22 @@ class Items:
         size = np.array(end, int) - np.array(begin, int)
         self.bits = _bits(_term_runs(term, np.array(begin, int), np.array(end, int), PASSAGE)) if item else np.zeros((0, 4), np.uint64)
         self.need = np.ceil(SHARED * np.minimum(size, np.bitwise_count(self.bits).sum(1)))
+        self.least = [next((k for k in range(1, len(x)) if k / len(x) >= PARAPHRASED), len(x)) for x in self.words]
+        self.span = np.array([2 * len(x) for x in self.words], int)
+        self.bags = [np.unique(x, return_counts=True) for x in self.words]
+        # repeated words may be all that a text has: then one word of any is enough
+        self.keys = np.array([max(1, min(KEYS, len(bag) - len(x) + m)) for x, (bag, _), m in zip(self.words, self.bags, self.least, strict=True)], int)
+        pairs = []
+        for i, (x, a) in enumerate(zip(self.words, w.first.tolist(), strict=False)):
+            rarest = dict.fromkeys(x[np.argsort(frequency[term[a : a + len(x)]], kind="stable")].tolist())
+            most = len(x) - self.least[i] + int(self.keys[i])
+            pairs += [(y, i) for y in list(rarest)[:most]]
+        pairs.sort()
+        self.key, self.key_at = np.unique(np.array([x for x, _ in pairs], np.uint64), return_index=True)
+        self.key_at = np.r_[self.key_at, len(pairs)]
+        self.owner = np.array([i for _, i in pairs], int)
+        self.maybe = np.zeros(1 << 16, bool)
+        self.maybe[self.key >> np.uint64(48)] = True
 
     @staticmethod
     def _answer(text: str) -> np.ndarray:
@@ -228,6 +248,30 @@ def _within(part: np.ndarray, whole: np.ndarray) -> bool:
     return len(part) > 0 and len(whole) >= len(part) and bool((np.lib.stride_tricks.sliding_window_view(whole, len(part)) == part).all(1).any())
 
 
+def close_keys(items: Items, w: Words) -> Iterator[tuple[int, int, int, int]]:
+    """(text, item, low, high): neighbouring blocks of span words that have enough rare words of an item together; each stretch of span words lies within two such blocks."""
+    at = np.flatnonzero(items.maybe[w.hash >> np.uint64(48)])
+    place = np.searchsorted(items.key, w.hash[at])
+    right = items.key[np.minimum(place, len(items.key) - 1)] == w.hash[at]
+    at, place = at[right], place[right]
+    many = items.key_at[place + 1] - items.key_at[place]
+    item = items.owner[np.repeat(items.key_at[place] - (np.cumsum(many) - many), many) + np.arange(many.sum())]
+    at, place = np.repeat(at, many), np.repeat(place, many)
+    first = w.first[np.searchsorted(w.first, at, "right") - 1]
+    span = items.span[item]
+    begin = at - (at - first) % span
+    before = begin > first
+    group = np.r_[item * len(w) + begin, (item * len(w) + begin - span)[before]]
+    different = np.unique(group * len(items.key) + np.r_[place, place[before]]) // len(items.key)
+    group, count = np.unique(different, return_counts=True)
+    item, begin = np.divmod(group, len(w))
+    good = count >= items.keys[item]
+    item, begin = item[good], begin[good]
+    text = np.searchsorted(w.first, begin, "right") - 1
+    high = np.minimum(w.first[text + 1], begin + 2 * items.span[item])
+    yield from zip(text.tolist(), item.tolist(), begin.tolist(), high.tolist(), strict=True)
+
+
 def search(items: Items, table: np.ndarray, w: Words) -> Iterator[tuple[int, int, float, float, bool]]:
     """(text, item, cosine, covered, answer) of each leak in a few texts. table has a row of zeros last."""
     if not len(w) or not len(items.item):
@@ -243,32 +287,39 @@ def search(items: Items, table: np.ndarray, w: Words) -> Iterator[tuple[int, int
     vectors[follows[window]] += part[pairs]
     bits[follows[window]] |= run_bits[pairs]
     vectors = _unit(vectors)
-    best: dict[tuple[int, int], tuple[float, list[int]]] = {}
+    best: dict[tuple[int, int], list[tuple[int, int]]] = {}
     for i in range(0, len(window), 2048):
         cosine = (vectors[i : i + 2048] @ items.vectors.T).ravel()
         hit = np.flatnonzero(cosine >= COSINE)
         at, query = np.divmod(hit, len(items.item))
         good = np.bitwise_count(bits[at + i] & items.bits[query]).sum(1) >= items.need[query]
         for k in np.flatnonzero(good):
-            key = (int(text[window[at[k] + i]]), int(items.item[query[k]]))
-            c, places = best.setdefault(key, (0.0, []))
-            places.append(int(start[window[at[k] + i]]))
-            best[key] = (max(c, float(cosine[hit[k]])), places)
-    for (doc, item), (cosine_, places) in best.items():
-        words, a, b = items.words[item], int(w.first[doc]), int(w.first[doc + 1])
+            doc, item, p = int(text[window[at[k] + i]]), int(items.item[query[k]]), int(start[window[at[k] + i]])
+            n = len(items.words[item])
+            best.setdefault((doc, item), []).append((max(int(w.first[doc]), p - n), min(int(w.first[doc + 1]), p + PASSAGE + n)))
+    for doc, item, low, high in close_keys(items, w):
+        best.setdefault((doc, item), []).append((low, high))
+    for (doc, item), places in best.items():
+        words = items.words[item]
         covered, answer, done = 0.0, False, -1
-        for p in sorted(set(places)):
-            low, high = max(a, p - len(words)), min(b, p + PASSAGE + len(words))
+        for low, high in sorted(set(places)):
             if high <= done:
                 continue
             done = high
             region = w.hash[low:high]
-            share = common_subsequence(words, region) / len(words)
+            bag, times = items.bags[item]
+            place = np.minimum(np.searchsorted(bag, region), len(bag) - 1)
+            known = bag[place] == region
+            # no more words can be in order than there are
+            if np.minimum(np.bincount(place[known], minlength=len(bag)), times).sum() < items.least[item]:
+                continue
+            share = common_subsequence(words, region[known]) / len(words)
             if share >= covered:
                 end = items.answers[item]
                 covered, answer = share, _within(end, region)
         if covered >= COVERED or covered >= PARAPHRASED and answer:
-            yield doc, item, cosine_, covered, answer
+            near = (text[window] == doc) & (start[window] < max(high for _, high in places)) & (start[window] + PASSAGE > min(low for low, _ in places))
+            yield doc, item, float((vectors[near] @ items.vectors[items.item == item].T).max()), covered, answer
 
 
 def _search(table_at, items_at):
@@ -291,7 +342,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     window. Rows that repeat a doc_id are reported each; a null doc_id is reported as null. Empty tables give an empty result.
     """
     spark = docs.sparkSession
-    table = fit(docs)
+    table, frequency = fit(docs)
     table_at = spark.sparkContext.broadcast(table)
     rows = docs.select("doc_id", "text")
     named = benchmark.where("text is not null").select("item_id", "text")
@@ -299,7 +350,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     out = None
     for k in range(max(1, rounds)):
         some = named.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(max(1, rounds))) == k).orderBy("item_id", "text").collect()
-        items = spark.sparkContext.broadcast(Items([r.item_id for r in some], [r.text for r in some], table))
+        items = spark.sparkContext.broadcast(Items([r.item_id for r in some], [r.text for r in some], table, frequency))
         found = rows.mapInArrow(_search(table_at, items), FOUND)
         out = found if out is None else out.unionByName(found)
     return out
