@@ -244,6 +244,18 @@ def test_short_and_rewritten_items(spark):
     assert got == {(i, i) for i in range(200)}
 
 
+def test_each_region_is_decided_alone(spark):
+    """A part of 0.56 with the answer is a leak, though another of 0.6 without it is in the same text."""
+    rng = np.random.default_rng(12)
+    filler = lambda n: [f"f{x}" for x in rng.integers(0, 5000, n)]
+    item = [f"t{i}" for i in range(25)]
+    smaller, larger = item[11:], item[:15]
+    docs = [(1, " ".join(filler(40) + smaller + filler(200) + larger + filler(40))), (2, " ".join(filler(40) + larger + filler(40)))]
+    benchmark = spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")
+    got = decontaminate.leaks(spark.createDataFrame(docs, "doc_id long, text string"), benchmark).collect()
+    assert [(r.doc_id, r.item_id, r.covered, r.answer) for r in got] == [(1, 7, 0.56, True)]
+
+
 def test_common_subsequence():
     rng = np.random.default_rng(4)
     for _ in range(50):

@@ -314,10 +314,13 @@ def search(items: Items, table: np.ndarray, w: Words) -> Iterator[tuple[int, int
             if np.minimum(np.bincount(place[known], minlength=len(bag)), times).sum() < items.least[item]:
                 continue
             share = common_subsequence(words, region[known]) / len(words)
-            if share >= covered:
-                end = items.answers[item]
-                covered, answer = share, _within(end, region)
-        if covered >= COVERED or covered >= PARAPHRASED and answer:
+            if share < PARAPHRASED:
+                continue
+            whole = _within(items.answers[item], region)
+            if share >= COVERED or whole:
+                # of the regions that are leaks, each by itself, the one with the most of the item
+                covered, answer = max((covered, answer), (share, whole))
+        if covered:
             near = (text[window] == doc) & (start[window] < max(high for _, high in places)) & (start[window] + PASSAGE > min(low for low, _ in places))
             yield doc, item, float((vectors[near] @ items.vectors[items.item == item].T).max()), covered, answer
 
