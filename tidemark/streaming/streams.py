@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -73,7 +74,17 @@ def spliced(stream: DataFrame, table: str, keys: list[str], checkpoint: str):
 
 
 def run_once(stream: DataFrame, name: str, mode: str = "append", each: Callable | None = None) -> DataFrame:
-    """ST03: all that is there, once, as a table."""
-    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+    """ST03: all that is there, once, as a table in Parquet under the shared folder; no row passes through the driver. In complete mode the last batch is the table, otherwise all batches are."""
+    spark = stream.sparkSession
+    base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
+    path, schema, done = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}", stream.schema, []
+
+    def write(batch: DataFrame, n: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batches/{n}")
+        done.append(n)
+
+    q = stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", f"{path}/log").trigger(availableNow=True).start()
     q.awaitTermination()
-    return stream.sparkSession.table(name)
+    if not done:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(f"{path}/batches/{max(done) if mode == 'complete' else '*'}")
