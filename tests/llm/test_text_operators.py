@@ -196,6 +196,16 @@ def test_jaccard_join(spark, sf, odd, empty):
     assert kept.columns == odd.columns
 
 
+def test_prefixes_are_shortened(spark):
+    """Pairs of similarity 45 / 56, two of which share no node at the full depth and one none at a hash less: all are linked."""
+    rows = []
+    for k, i in enumerate([413, 620, *range(20)]):
+        base = [f"p{i}w{x}" for x in range(49)]
+        rows += [(2 * k, " ".join(base + [f"a{i}x{x}" for x in range(5)])), (2 * k + 1, " ".join(base + [f"b{i}x{x}" for x in range(6)]))]
+    got = jaccard_join.similarity_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.class_id, r.n_links) for r in got) == [(d, d - d % 2, 1) for d in range(44)]
+
+
 def test_blocks_of_a_large_cluster(spark, monkeypatch):
     """More near copies than a block holds: every link is counted once."""
     monkeypatch.setattr(jaccard_join, "BLOCK", 8)
