@@ -8,9 +8,11 @@ import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.llm import chat, decontaminate, exact_dedup, jaccard_join, language, mixing, queries, resampling, token_files, toxicity, warc
 from tidemark.llm.textnum import TABLE
+from tidemark.llm.textnum import shingles as _shingles
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, rid string, n string, copies int, rep int, good string, label string"
 
@@ -206,9 +208,92 @@ def test_prefixes_are_shortened(spark):
     assert sorted((r.doc_id, r.class_id, r.n_links) for r in got) == [(d, d - d % 2, 1) for d in range(44)]
 
 
+def test_shortening_finds_what_full_labels_miss(spark):
+    """A pair that shares its first six hashes of one tree, and seven of none, meets at the target of the library and not at one that full labels reach."""
+    assert [jaccard_join.shortest(t) for t in (0.99, 0.999, 0.9999, 0.99999)] == [8, 7, 6, 5]
+    rng = np.random.default_rng(9)
+    one = rng.integers(0, 1 << 16, jaccard_join.HASHES).astype(np.uint16)
+    two = one.copy()
+    two[6 :: jaccard_join.DEPTH] ^= 1
+    two[5 :: jaccard_join.DEPTH] ^= np.where(np.arange(jaccard_join.TREES) == 3, 0, 1).astype(np.uint16)
+    noise = rng.integers(0, 1 << 16, (50, jaccard_join.HASHES)).astype(np.uint16)
+    rows = [(i, x.tobytes()) for i, x in enumerate([one, two, *noise])]
+    reps = spark.createDataFrame([(i, bytearray(x)) for i, x in rows], "rep long, sig binary")
+    for target, want in ((0.9999, [(0, 1)]), (0.999, []), (0.99, [])):
+        assert [tuple(sorted(r)) for r in jaccard_join.near_links(reps, target).collect()] == want
+
+
+def test_tries_over_many_tasks(spark):
+    """Every pair that shares a prefix in a tree is in one node, however the sorted labels are cut."""
+    rng = np.random.default_rng(10)
+    sig = rng.integers(0, 3, (200, jaccard_join.HASHES)).astype(np.uint16)
+    label = [[(bytes([t]) + s.reshape(jaccard_join.TREES, -1)[t].astype(">u2").tobytes()) for t in range(jaccard_join.TREES)] for s in sig]
+    want = set()
+    by = defaultdict(set)
+    for i, labels in enumerate(label):
+        for x in labels:
+            by[x[: 1 + 2 * 6]].add(i)
+    for found in by.values():
+        if len(found) > 1:
+            want.add(frozenset(found))
+    reps = spark.createDataFrame([(i, bytearray(s.tobytes())) for i, s in enumerate(sig)], "rep long, sig binary")
+    for parts in (1, 7):
+        rows = reps.mapInArrow(jaccard_join._labels, "rep long, label binary").repartitionByRange(parts, "label", "rep").sortWithinPartitions("label", "rep").mapInArrow(jaccard_join._matched(6), "rep long, node long, rest long").collect()
+        nodes = defaultdict(set)
+        for r in rows:
+            nodes[r.node].add(r.rep)
+        assert {frozenset(x) for x in nodes.values() if len(x) > 1} == want
+
+
+def test_node_levels():
+    """Links of a node equal those of comparing all its pairs, as components."""
+    rng = np.random.default_rng(11)
+    base = rng.integers(0, 256, (5, jaccard_join.HASHES)).astype(np.uint8)
+    sketch = base[rng.integers(0, 5, 60)]
+    noisy = rng.random(sketch.shape) < rng.random((60, 1)) * 0.25
+    sketch = np.where(noisy, rng.integers(0, 256, sketch.shape), sketch).astype(np.uint8)
+    rest = np.sort(rng.integers(0, 3, 60) << 16 | rng.integers(0, 3, 60))
+    label = jaccard_join.link_node(sketch, rest, 2)
+    near = (sketch[:, None] == sketch[None]).sum(2) >= np.ceil(jaccard_join.NEAR * jaccard_join.HASHES)
+    pairs = np.argwhere(near)
+    want = jaccard_join._spanning([(pairs[:, 0], pairs[:, 1])], 60)
+    assert (label == want).all() and len(set(want.tolist())) < 60
+
+
+def test_words_of_one_polynomial_hash_stay_apart(spark):
+    """Two words of 1,024 letters, one the other's complement in the Thue-Morse order, collide in every polynomial modulo 2**64."""
+    bits = [bin(i).count("1") % 2 for i in range(1024)]
+    rows = [(1, "".join("ab"[b] for b in bits)), (2, "".join("ba"[b] for b in bits))]
+    got = jaccard_join.similarity_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(tuple(r) for r in got) == [(1, 1, 0), (2, 2, 0)]
+
+
+def test_shingles_of_one_hash_are_told_apart(monkeypatch):
+    monkeypatch.setattr(jaccard_join, "shingles", lambda w, n: (lambda v, f: (v % np.uint64(3), f))(*_shingles(w, n)))
+    sets = jaccard_join.numbered([b"a b c d e f", b"a b c d e g", b"x"])
+    assert [len(s) for s in sets] == [2, 2, 1] and len(set(sets[0]) & set(sets[1])) == 1 and not set(sets[2]) & set(sets[0])
+
+
+def test_one_row_of_each_class_stays(spark):
+    """Rows that repeat a doc_id are decided each by its words."""
+    base = [f"w{i}" for i in range(60)]
+    near = " ".join([*base, "more"])
+    rows = [(1, " ".join(base), "x"), (1, " ".join(base).upper(), "y"), (1, "something else", "z"), (2, near, "x"), (3, None, None), (None, near, None), (2, "only this", "q")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, of_doc string")
+    got = jaccard_join.one_of_each_class(docs).collect()
+    # either of the rows 1 with the same words stays, or, if its digest is less, none but it
+    assert sorted((r.doc_id or 0, (r.text or "").lower()) for r in got) == sorted([(0, near), (1, " ".join(base)), (1, "something else"), (2, "only this"), (3, "")])
+
+
+def test_digest_in_columns_equals_signing(odd):
+    signed = {r.rid: r.same for r in jaccard_join.sign(odd.coalesce(1)).collect()}
+    columns = {r.rid: r.same for r in odd.coalesce(1).select(F.monotonically_increasing_id().alias("rid"), jaccard_join.same_words(F.col("text")).alias("same")).collect()}
+    assert signed == columns
+
+
 def test_blocks_of_a_large_cluster(spark, monkeypatch):
     """More near copies than a block holds: every link is counted once."""
-    monkeypatch.setattr(jaccard_join, "BLOCK", 8)
+    monkeypatch.setattr(jaccard_join, "LEAST", 8)
     base = [f"w{i}" for i in range(60)]
     rows = [(i, " ".join([*base[: i % 50 + 5], f"new{i}", *base[i % 50 + 5 :]])) for i in range(40)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")

@@ -1,11 +1,13 @@
 """Words of many texts as numpy arrays: one pass over the bytes, no loop over words.
 
 A word is a run of bytes other than ASCII white space and punctuation, with A-Z in lower case; bytes of 128 and more
-count as letters. Its hash is a polynomial of its bytes, modulo 2**64, mixed.
+count as letters. Its hash takes eight bytes at a time, each mixed into what came before, so that no two words of up to
+eight bytes share one and longer ones do only by chance; words of more than LONG bytes are digested.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,6 +23,9 @@ _P = 0x9E3779B97F4A7C15 | 1
 #: 0 for a blank, 1 for a letter, 2 for punctuation, after MARKS.
 _KINDS = np.array([0 if b == 32 else 1 if TABLE[b] != 32 else 2 for b in range(256)], np.uint8)
 _POWERS: dict[str, np.ndarray] = {}
+LONG = 64
+#: The lowest so many bytes of a number.
+_LOWEST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -53,6 +58,24 @@ def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[at[0] : at[-1]], at - at[0]
 
 
+def word_hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A hash of each byte range; ranges hold no zero byte."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    eight = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+    size = end - begin
+    out = mix((eight[begin] & _LOWEST[np.minimum(size, 8)]) + np.uint64(_P))
+    more, at = np.flatnonzero((size > 8) & (size <= LONG)), 8
+    while len(more):
+        part = eight[begin[more] + at] & _LOWEST[np.minimum(size[more] - at, 8)]
+        out[more] = mix(out[more] * np.uint64(0xD6E8FEB86659FD93) + part)
+        at += 8
+        more = more[size[more] > at]
+    for i in np.flatnonzero(size > LONG).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(data[begin[i] : end[i]].tobytes(), digest_size=8).digest(), "little")
+    return out
+
+
 class Words:
     """Words of a few texts: begin and end (bytes), hash, and first (index of each text's first word, with the end last)."""
 
@@ -73,15 +96,33 @@ class Words:
         self.end = np.flatnonzero(stop) + 1
         self.first = np.searchsorted(self.begin, at)
         self.at = at
-        p, inverse = _powers(n + 1)
-        self.sums = np.zeros(n + 1, np.uint64)
-        np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * p[:-1], out=self.sums[1:])
-        self.inverse = inverse
-        self.hash = self.spans(self.begin, self.end)
+        self.sums: np.ndarray | None = None
+        self.hash = word_hashes(self.data, self.begin, self.end)
 
     def spans(self, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """Hashes of byte ranges."""
-        return mix((self.sums[end] - self.sums[begin]) * self.inverse[begin])
+        """Hashes of short byte ranges, of one length each: a polynomial of the bytes, modulo 2**64, mixed."""
+        p, inverse = _powers(len(self.data) + 1)
+        if self.sums is None:
+            self.sums = np.zeros(len(self.data) + 1, np.uint64)
+            np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * p[:-1], out=self.sums[1:])
+        return mix((self.sums[end] - self.sums[begin]) * inverse[begin])
+
+    def joined(self) -> list[bytes | None]:
+        """The words of each text with a blank between, None without words: texts have the same words if these are equal."""
+        letter = self.data != 32
+        ends = np.zeros(len(self.data), bool)
+        ends[self.end[self.end < len(self.data)]] = True
+        # a letter stays, and so does the place after a word; where a text's last word ends at its edge there is no such place
+        keep = letter | ends
+        kept = self.data[keep]
+        at = np.concatenate([[0], np.cumsum(keep)])[self.at]
+        return [t or None for t in (kept[a:b].tobytes().strip(b" ") for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True))]
+
+    def names(self) -> pa.Array:
+        """The words themselves."""
+        size = self.end - self.begin
+        offsets = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
+        return pa.Array.from_buffers(pa.large_binary(), len(self), [None, pa.py_buffer(offsets), pa.py_buffer(self.data[self.data != 32])])
 
     def __len__(self) -> int:
         return len(self.begin)
