@@ -374,6 +374,85 @@ def test_language(spark, odd, empty):
     assert language.predict_languages(empty).count() == 0
 
 
+def plain_gru(inputs, u, back):
+    """A gated recurrent layer, one step and one text at a time."""
+    hidden = u.shape[1]
+    sig = lambda v: 1 / (1 + np.exp(-v))
+    h, out = np.zeros(hidden), [None] * len(inputs)
+    for t in range(len(inputs))[:: -1 if back else 1]:
+        z, r = sig(inputs[t][:hidden] + u[:hidden] @ h), sig(inputs[t][hidden : 2 * hidden] + u[hidden : 2 * hidden] @ h)
+        n = np.tanh(inputs[t][2 * hidden :] + r * (u[2 * hidden :] @ h))
+        h = out[t] = (1 - z) * n + z * h
+    return np.array(out)
+
+
+def test_language_network_against_a_plain_loop():
+    rng = np.random.default_rng(8)
+    texts = ["a", "some text of more than sixty-four bytes, so that it is read in pieces of which each starts anew", "é" * 40, ""]
+    sample = [(lang, bytes(rng.integers(97, 120, language.SPAN).astype(np.uint8)), int(rng.integers(1, 65))) for lang in "xyz" for _ in range(20)]
+    model = language.fit(sample)
+    got = language.document_probabilities(model, *language.flat(pa.array(texts)))
+    for text, probabilities in zip(texts, got, strict=True):
+        raw, sums = text.encode(), np.zeros(3)
+        for at in range(0, len(raw), language.SPAN):
+            piece = list(raw[at : at + language.SPAN])
+            h = [plain_gru(model[f"in_{s}"][:, piece].T.astype(float), model[f"u_{s}"].astype(float), s == "b") for s in "fb"]
+            for a, b in zip(*h, strict=True):
+                e = np.exp(model["out"] @ np.r_[a, b] + model["bias"][:, 0])
+                sums += e / e.sum()
+        assert np.allclose(probabilities, sums / max(1, len(raw)), atol=1e-4)
+
+
+def test_toxicity_network_against_a_plain_loop():
+    """Scores of whole texts from the model's numbers, with words, n-grams, windows and steps one by one."""
+    rng = np.random.default_rng(7)
+    model = toxicity.initial(3) | {"word": rng.standard_normal(1 << toxicity.WORD_BITS).astype(np.float32), "gram": rng.standard_normal(1 << toxicity.GRAM_BITS).astype(np.float32)}
+    model["embed"] *= 20
+    texts = ["", "one two", " ".join(f"word{i % 7}s" for i in range(75)), "ab " * 40 + "strange-words everywhere"]
+    got = toxicity.scores(model, pa.array(texts))
+    for text, score in zip(texts, got, strict=True):
+        rows = []
+        for x in words(text):
+            padded = b" " + x + b" "
+            one = toxicity.Words(np.frombuffer(padded, np.uint8), np.array([0, len(padded)]))
+            bucket = int(one.hash[0] >> np.uint64(64 - toxicity.WORD_BITS))
+            values, chars = [], []
+            for size in toxicity.GRAMS:
+                for k in range(len(padded) - size + 1):
+                    g = int((one.spans(np.array([k]), np.array([k + size]))[0] + np.uint64(size)) >> np.uint64(64 - toxicity.GRAM_BITS))
+                    values.append(model["gram"][g])
+                    if size == toxicity.GRAMS[0]:
+                        chars.append(model["chars"][:, g >> (toxicity.GRAM_BITS - toxicity.CHAR_BITS)])
+            rows.append(np.r_[model["word"][bucket], max([0, *values]), np.mean(values) if values else 0, model["embed"][:, bucket], np.mean(chars, 0) if chars else np.zeros(toxicity.CHARS)])
+        worst, at = -np.inf, 0
+        while True:
+            x = np.array(rows[at : at + toxicity.WINDOW]).reshape(-1, toxicity.INPUTS)
+            h = np.concatenate([plain_gru(x @ model[f"w_{s}"].T + model[f"c_{s}"][:, 0], model[f"u_{s}"].astype(float), s == "b").reshape(len(x), toxicity.HIDDEN) for s in "fb"], axis=1)
+            a = np.exp(np.tanh(h @ model["att"].T) @ model["pick"]) if len(x) else np.zeros(0)
+            pooled = (a / a.sum()) @ h if len(x) else np.zeros(2 * toxicity.HIDDEN)
+            worst = max(worst, model["out"] @ pooled + model["bias"][0])
+            if at + toxicity.WINDOW >= len(rows):
+                break
+            at += toxicity.STRIDE
+        assert abs(score - 1 / (1 + np.exp(-worst))) < 1e-4
+
+
+def test_odds_of_a_sample(spark):
+    """The counts of all tasks, slice by slice, against a plain count of the texts with each word."""
+    rng = np.random.default_rng(6)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 30, 12)) for _ in range(80)]
+    rows = [(t, int(i % 3 == 0), int(i % 2), i) for i, t in enumerate(texts)]
+    tables = toxicity.tables_from(spark.createDataFrame(rows, "text string, toxic int, half int, row long").repartition(3))
+    for table, halves in zip(tables, ([0], [1], [0, 1]), strict=True):
+        some = [r for r in rows if r[2] in halves]
+        for x in range(30):
+            has = [r for r in some if f"w{x}" in r[0].split()]
+            pos, neg, all_pos = sum(r[1] for r in has), sum(1 - r[1] for r in has), sum(r[1] for r in some)
+            want = np.log((pos + 1) / (all_pos + 2)) - np.log((neg + 1) / (len(some) - all_pos + 2)) if pos + neg >= toxicity.SEEN else 0
+            w = toxicity.Words(np.frombuffer(f"w{x}".encode(), np.uint8), np.array([0, len(f"w{x}")]))
+            assert abs(table["word"][int(w.hash[0] >> np.uint64(64 - toxicity.WORD_BITS))] - np.clip(want, -4, 6)) < 1e-5
+
+
 def test_toxicity(spark, odd, empty, labels):
     docs, marks = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     toxic = {r.doc_id: r.toxic for r in marks.collect()}

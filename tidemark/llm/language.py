@@ -1,7 +1,12 @@
-"""Language identification: a bidirectional gated recurrent network over bytes labels every position; a document's probabilities are the mean over its positions."""
+"""Language identification: a bidirectional gated recurrent network over bytes labels every position; a document's probabilities are the mean over its positions.
+
+The network starts anew every SPAN bytes, which bounds what a position sees of its text, and a cut may fall within a
+character. All positions of all pieces count.
+"""
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -48,16 +53,29 @@ def _softmax(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def fit(texts: list[str], langs: list[str], seed: int = 1) -> dict:
-    """Parameters of the network: for each direction a table of inputs by byte and recurrent weights; weights of the labels."""
-    names = sorted(set(langs))
+def _choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Up to FIT_PIECES pieces of each text, drawn by a hash of the text: (lang, piece, used), of a fixed size each."""
+    for batch in batches:
+        for i, j in by_bytes(batch.column(0), 1 << 20):
+            rows = batch.slice(i, j - i)
+            raw, at = flat(rows.column(0))
+            if not len(raw):
+                continue
+            begin, used, owner = cuts(at)
+            first = np.searchsorted(owner, np.arange(len(at)))
+            keep = np.concatenate([a + np.random.default_rng(zlib.crc32(raw[x:y].tobytes())).permutation(b - a)[:FIT_PIECES] for a, b, x, y in zip(first, first[1:], at, at[1:], strict=False)]).astype(int)
+            lang = rows.column(1).take(pa.array(owner[keep]))
+            cut = pieces(raw, begin[keep], used[keep]).T
+            yield pa.RecordBatch.from_arrays([lang, pa.array([np.ascontiguousarray(c).tobytes() for c in cut], pa.binary()), pa.array(used[keep].astype(np.int32))], ["lang", "piece", "used"])
+
+
+def fit(sample: list[tuple[str, bytes, int]], seed: int = 1) -> dict:
+    """Parameters of the network from pieces (lang, SPAN bytes, how many of them count): for each direction a table of inputs by byte and recurrent weights; weights of the labels."""
+    names = sorted({lang for lang, _, _ in sample})
     rng = np.random.default_rng(seed)
-    raw, at = flat(pa.array(texts, pa.string()))
-    begin, used, owner = cuts(at)
-    first = np.searchsorted(owner, np.arange(len(texts) + 1))
-    keep = np.concatenate([np.zeros(0, int), *[a + rng.permutation(b - a)[:FIT_PIECES] for a, b in zip(first, first[1:], strict=False)]])
-    used, label = used[keep], np.array([names.index(x) for x in langs], int)[owner[keep]]
-    rows = pieces(raw, begin[keep], used) if len(keep) else np.zeros((SPAN, 0), np.uint8)
+    number = {n: k for k, n in enumerate(names)}
+    used, label = np.array([u for _, _, u in sample], int), np.array([number[x] for x, _, _ in sample], int)
+    rows = np.frombuffer(b"".join(x for _, x, _ in sample), np.uint8).reshape(-1, SPAN).T
     p = {"out": (rng.standard_normal((len(names), 2 * HIDDEN)) * 0.3).astype(np.float32), "bias": np.zeros((len(names), 1), np.float32)}
     for side in ("f", "b"):
         p[f"in_{side}"] = (rng.standard_normal((3 * HIDDEN, 256)) * 0.3).astype(np.float32)
@@ -129,16 +147,21 @@ def predict_languages(docs: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
     """doc_id, held_out, lang_pred, score of each row of docs.
 
     Learned from text and lang of rows that aren't held out and whose lang isn't null. A null text, an empty one, one
-    without a letter, and any text if there is nothing to learn from are `und` with score 0. Rows stay as they are,
-    repeated ones too; an empty table gives an empty result.
+    without a letter, and any text if there is nothing to learn from are `und` with score 0. Very long texts are read whole,
+    piece by piece. Rows stay as they are, repeated ones too; a null doc_id is the text `null` for the fold; other columns
+    are ignored. An empty table gives an empty result.
     """
     spark = docs.sparkSession
     rows = fold(docs.select("doc_id", "text", "lang"), 4, 2)
     order = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).cast("binary"))
     known = rows.where("not held_out and lang is not null and text is not null")
-    # the sample is drawn from ids alone; only its rows' texts move
+    # the sample is drawn from ids alone; of its rows only pieces of a fixed size leave the tasks that read them
     ids = known.select("doc_id").orderBy(order, "doc_id").limit(fit_rows).distinct().withColumnRenamed("doc_id", "of")
-    learn = known.join(F.broadcast(ids), F.col("doc_id").eqNullSafe(F.col("of")), "left_semi").orderBy(order, "doc_id", "lang", F.xxhash64("text")).limit(fit_rows).select("text", "lang").collect()
-    model = spark.sparkContext.broadcast(fit([r.text for r in learn], [r.lang for r in learn]))
+    met = known.join(F.broadcast(ids), F.col("doc_id").eqNullSafe(F.col("of")), "left_semi").withColumn("number", F.xxhash64("lang", "text"))
+    # ids that repeat could bring more rows than that: the first by hash stay
+    last = met.select(order.alias("by"), "number").orderBy("by", "number").limit(fit_rows).agg(F.max(F.struct("by", "number")).alias("last"))
+    learn = met.join(F.broadcast(last), F.struct(order, F.col("number")) <= F.col("last")).select("text", "lang")
+    sample = sorted(tuple(r) for r in learn.mapInArrow(_choose, "lang string, piece binary, used int").collect())
+    model = spark.sparkContext.broadcast(fit(sample))
     ready = rows.select("doc_id", "held_out", "text", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("letters"))
     return ready.mapInArrow(_predict(model), OUT)
