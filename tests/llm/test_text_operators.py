@@ -14,7 +14,7 @@ from tidemark.llm import chat, decontaminate, exact_dedup, jaccard_join, languag
 from tidemark.llm.textnum import TABLE
 from tidemark.llm.textnum import shingles as _shingles
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, rid string, n string, copies int, rep int, good string, label string"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, rid string, n string, copies int, rep int, good string, label string, _source string, _target double, _rate int, _copies long, _copy int, _drop long, plan int, of_source int, copy int, of_doc int, of_words string, its_words string"
 
 
 def words(text):
@@ -27,8 +27,9 @@ def odd(spark):
     base = "one two three four five six seven eight nine ten eleven twelve"
     long = " ".join(f"w{i % 977}x{i % 31}" for i in range(40_000))
     texts = [None, "", "", "   ", "...", "A", "a", base, base.upper(), base + " more", long, long + " end", "Ünïcode ŁÓDŹ <|endoftext|> 中文", "a\tb\r\nc", base]
-    rows = [(i, t, [None, "en", "fr"][i % 3], [None, "a", "b", "c"][i % 4], None, "x", "y", 1, 2, "g", None) for i, t in enumerate(texts)]
-    rows += [(None, "one two three", "en", "a", 1, None, None, None, None, None, None), rows[7], rows[7]]
+    clash = ("s", 0.5, 1, 2, 3, 4, 5, 6, 7, 8, "w", "i")
+    rows = [(i, t, [None, "en", "fr"][i % 3], [None, "a", "b", "c"][i % 4], None, "x", "y", 1, 2, "g", None, *clash) for i, t in enumerate(texts)]
+    rows += [(None, "one two three", "en", "a", 1, *[None] * 18), rows[7], rows[7]]
     return spark.createDataFrame(rows, SCHEMA)
 
 
@@ -339,6 +340,69 @@ def test_short_and_rewritten_items(spark):
     assert got == {(i, i) for i in range(200)}
 
 
+def spread_items(extra, n=60, words_of=40):
+    """Items, each spread through a text with so many common words after each of its own, and background texts."""
+    rng = np.random.default_rng(21)
+    vocabulary = np.array([f"t{i:04d}" for i in range(4000)])
+    weight = 1 / np.arange(1, 4001)
+    text = lambda k: rng.choice(vocabulary, k, p=weight / weight.sum()).tolist()
+    items = [text(words_of) for _ in range(n)]
+    docs = [(i, " ".join([*text(30), *[y for x in item for y in [x, *vocabulary[rng.integers(0, 30, extra)]]], *text(30)])) for i, item in enumerate(items)]
+    docs += [(1000 + i, " ".join(text(int(rng.integers(20, 400))))) for i in range(1500)]
+    return [(i, " ".join(x)) for i, x in enumerate(items)], docs
+
+
+@pytest.mark.parametrize("extra", [0, 1, 2])
+def test_spread_items_are_found(spark, extra):
+    """Recall of the search against the check's own definition on items spread over up to three times their words."""
+    items, docs = spread_items(extra)
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.leaks(frame, benchmark).collect()}
+    assert got == {(i, i) for i in range(60)}
+
+
+def leaks_by_force(docs, items):
+    """All stretches of all texts against all items, by the definition of the check."""
+    found = set()
+    for item_id, text in items:
+        item = words(text)
+        n = len(item)
+        for doc_id, body in docs:
+            w = words(body)
+            if not n or len(set(item) & set(w)) < 0.3 * len(set(item)):
+                continue
+            for begin in range(len(w)):
+                if w[begin] in item:
+                    part = w[begin : begin + decontaminate.SPREAD * n]
+                    number = {x: k for k, x in enumerate({*item, *part})}
+                    share = decontaminate.common_subsequence(np.array([number[x] for x in item]), np.array([number[x] for x in part])) / n
+                    answer = item[-decontaminate.ANSWER :]
+                    whole = any(part[k : k + len(answer)] == answer for k in range(len(part) - len(answer) + 1))
+                    if share >= decontaminate.COVERED or share >= decontaminate.PARAPHRASED and whole:
+                        found.add((doc_id, item_id))
+                        break
+    return found
+
+
+def test_leaks_against_all_pairs(spark, sf):
+    docs, items = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "benchmark"))
+    got = {(r.doc_id, r.item_id) for r in decontaminate.leaks(docs, items).collect()}
+    want = leaks_by_force([(r.doc_id, r.text) for r in docs.collect()], [(r.item_id, r.text) for r in items.collect()])
+    assert got == want and want
+
+
+def test_leaks_row_by_row(spark):
+    """Repeated items and rows are reported each; rows that repeat a doc_id stay or go by their own text."""
+    item = " ".join(f"t{i}" for i in range(20))
+    benchmark = spark.createDataFrame([(7, item), (7, item), (None, item)], "item_id long, text string")
+    rows = [(1, f"a b {item} c", 1), (1, "clean", 2), (None, item, 3), (2, f"{item} x", 4), (2, f"{item} x", 5), (3, None, 6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _drop int")
+    got = sorted((r.doc_id or 0, r.item_id or 0) for r in decontaminate.leaks(docs, benchmark).collect())
+    assert got == sorted((d, i) for d in (1, 0, 2, 2) for i in (7, 7, 0))
+    assert sorted(r._drop for r in decontaminate.without_leaks(docs, benchmark).collect()) == [2, 6]
+
+
 def test_each_region_is_decided_alone(spark):
     """A part of 0.56 with the answer is a leak, though another of 0.6 without it is in the same text."""
     rng = np.random.default_rng(12)

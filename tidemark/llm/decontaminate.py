@@ -6,9 +6,10 @@
 2. Search: overlapping windows of all texts and of all benchmark items are projected to the leading factors; pairs of high
    cosine are candidates. Where a window dilutes or cuts an item its cosine is low, so there is an exact way as well: a text
    that lacks no more than m of an item's n words has KEYS at least of its m + KEYS rarest different ones, and each place
-   where so many of them are close together is a candidate too. No stretch of up to 2 n words that the check accepts is lost.
-3. Check: a candidate is a leak if the longest common subsequence of words covers most of the item, or a good part of it
-   and the answer (the last words of the item) is there as well.
+   where so many of them are close together is a candidate too.
+3. Check: a candidate is a leak if, within a stretch of at most SPREAD times the item's words, the longest common subsequence
+   of words covers most of the item, or a good part of it and the answer is there as well. The answer is the last ANSWER
+   words of the item, as the table has no column for it. No stretch that this accepts is lost by the search.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import runs, save
+from tidemark.llm.shared import runs
 from tidemark.llm.textnum import Words, blocks, flat
 
 PASSAGE = 24
@@ -30,15 +31,19 @@ ITEM_STEP = 6
 TERM_BITS = 13
 FACTORS, TESTS = 48, 64
 COSINE = 0.45
-#: A window must have so large a share of the different terms of the item's window before word order is compared.
-SHARED = 0.4
+#: Bits of a set of terms.
+SET_BITS = 512
+#: An item may be spread over so many times its own words.
+SPREAD = 3
 #: Leak at so large a part of the item in order, or at a smaller one if the answer is there.
 COVERED, PARAPHRASED = 0.65, 0.55
 ANSWER = 5
 #: Different rare words of an item that must be close together in a text, by the exact way.
 KEYS = 3
-#: Items searched for at once, and so the most that is broadcast.
-ITEMS_AT_ONCE = 4096
+#: Bytes of items searched for at once, and so the most that is broadcast; more take another pass over the texts.
+ITEM_BYTES = 8 << 20
+#: Cosines computed at once.
+AT_ONCE = 1 << 22
 SLICES = 64
 #: Bytes of text and passages of a term that are summed at once.
 CHUNK, EIGHT = 1 << 19, 8
@@ -176,14 +181,25 @@ def _unit(x: np.ndarray) -> np.ndarray:
 
 
 def _bits(runs_: np.ndarray) -> np.ndarray:
-    """(runs, 4): 256 bits, of which each term of a run sets one."""
-    out = np.zeros((len(runs_), 4), np.uint64)
-    for k in range(4):
-        hit = (runs_ < TERMS) & ((runs_ >> 6) % 4 == k)
+    """(runs, SET_BITS / 64): the bits that the terms of each run set."""
+    out = np.zeros((len(runs_), SET_BITS // 64), np.uint64)
+    for k in range(SET_BITS // 64):
+        hit = (runs_ < TERMS) & ((runs_ >> 6) % (SET_BITS // 64) == k)
         out[:, k] = np.bitwise_or.reduce(np.where(hit, np.uint64(1) << (runs_ % 64).astype(np.uint64), np.uint64(0)), axis=1)
     return out
 
 
+def _around(bits: np.ndarray, text: np.ndarray, many: int) -> np.ndarray:
+    """For each run the bits of it, the next one, and so many before and after, as far as they are the same text's."""
+    out = bits.copy()
+    for k in range(-many, many + 2):
+        if k > 0:
+            out[:-k] |= np.where((text[k:] == text[:-k])[:, None], bits[k:], np.uint64(0))
+        elif k < 0:
+            out[-k:] |= np.where((text[:k] == text[-k:])[:, None], bits[:k], np.uint64(0))
+    return out
+
+
 class Items:
     """Benchmark items as arrays: windows with their factors, words, and rare words. How rare decides what a search costs, not what it finds."""
 
@@ -204,11 +220,15 @@ class Items:
         self.item = np.array(item, int)
         sums = np.concatenate([np.zeros((1, FACTORS)), np.cumsum(table[term].astype(np.float64), axis=0)])
         self.vectors = _unit((sums[end] - sums[begin]).astype(np.float32)) if item else np.zeros((0, FACTORS), np.float32)
-        size = np.array(end, int) - np.array(begin, int)
-        self.bits = _bits(_term_runs(term, np.array(begin, int), np.array(end, int), PASSAGE)) if item else np.zeros((0, 4), np.uint64)
-        self.need = np.ceil(SHARED * np.minimum(size, np.bitwise_count(self.bits).sum(1)))
         self.least = [next((k for k in range(1, len(x)) if k / len(x) >= PARAPHRASED), len(x)) for x in self.words]
-        self.span = np.array([2 * len(x) for x in self.words], int)
+        self.span = np.array([SPREAD * len(x) for x in self.words], int)
+        # a region with enough words of an item has so many of the bits that all its words set
+        ends = [(a, b) for a, b in zip(w.first[:-1].tolist(), w.first[1:].tolist(), strict=True)]
+        sets = [_bits(term[None, a:b].astype(np.int64))[0] if b > a else np.zeros(SET_BITS // 64, np.uint64) for a, b in ends]
+        self.bits = np.array(sets, np.uint64).reshape(len(ends), SET_BITS // 64)
+        self.need = np.array([k - len(x) for k, x in zip(self.least, self.words, strict=True)], int) + np.bitwise_count(self.bits).sum(1).astype(int)
+        #: Runs before and after a window that the region around it reaches.
+        self.reach = np.array([-(-len(x) // STEP) for x in self.words], int)
         self.bags = [np.unique(x, return_counts=True) for x in self.words]
         # repeated words may be all that a text has: then one word of any is enough
         self.keys = np.array([max(1, min(KEYS, len(bag) - len(x) + m)) for x, (bag, _), m in zip(self.words, self.bags, self.least, strict=True)], int)
@@ -283,46 +303,62 @@ def search(items: Items, table: np.ndarray, w: Words) -> Iterator[tuple[int, int
     # a window is a run and the next one; a text's last run is a window of its own only if it is its first as well
     first = np.r_[True, text[1:] != text[:-1]]
     window = np.flatnonzero(follows | first)
-    vectors, bits, pairs = part[window], run_bits[window], window[follows[window]] + 1
-    vectors[follows[window]] += part[pairs]
-    bits[follows[window]] |= run_bits[pairs]
+    vectors = part[window]
+    vectors[follows[window]] += part[window[follows[window]] + 1]
     vectors = _unit(vectors)
     best: dict[tuple[int, int], list[tuple[int, int]]] = {}
-    for i in range(0, len(window), 2048):
-        cosine = (vectors[i : i + 2048] @ items.vectors.T).ravel()
-        hit = np.flatnonzero(cosine >= COSINE)
+    around: dict[int, np.ndarray] = {}
+    rows = max(1, AT_ONCE // len(items.item))
+    for i in range(0, len(window), rows):
+        hit = np.flatnonzero((vectors[i : i + rows] @ items.vectors.T).ravel() >= COSINE)
         at, query = np.divmod(hit, len(items.item))
-        good = np.bitwise_count(bits[at + i] & items.bits[query]).sum(1) >= items.need[query]
-        for k in np.flatnonzero(good):
-            doc, item, p = int(text[window[at[k] + i]]), int(items.item[query[k]]), int(start[window[at[k] + i]])
-            n = len(items.words[item])
-            best.setdefault((doc, item), []).append((max(int(w.first[doc]), p - n), min(int(w.first[doc + 1]), p + PASSAGE + n)))
-    for doc, item, low, high in close_keys(items, w):
-        best.setdefault((doc, item), []).append((low, high))
-    for (doc, item), places in best.items():
-        words = items.words[item]
+        at, item = window[at + i], items.item[query]
+        for reach in np.unique(items.reach[item]).tolist():
+            mine = np.flatnonzero(items.reach[item] == reach)
+            if reach not in around:
+                around[reach] = _around(run_bits, text, reach)
+            enough = np.bitwise_count(around[reach][at[mine]] & items.bits[item[mine]]).sum(1) >= items.need[item[mine]]
+            for k in mine[enough].tolist():
+                doc, which, p = int(text[at[k]]), int(item[k]), int(start[at[k]])
+                n = len(items.words[which])
+                best.setdefault((doc, which), []).append((max(int(w.first[doc]), p - n), min(int(w.first[doc + 1]), p + PASSAGE + n)))
+    for doc, which, low, high in close_keys(items, w):
+        best.setdefault((doc, which), []).append((low, high))
+    for (doc, which), places in best.items():
         covered, answer, done = 0.0, False, -1
         for low, high in sorted(set(places)):
-            if high <= done:
-                continue
-            done = high
-            region = w.hash[low:high]
-            bag, times = items.bags[item]
-            place = np.minimum(np.searchsorted(bag, region), len(bag) - 1)
-            known = bag[place] == region
-            # no more words can be in order than there are
-            if np.minimum(np.bincount(place[known], minlength=len(bag)), times).sum() < items.least[item]:
-                continue
-            share = common_subsequence(words, region[known]) / len(words)
-            if share < PARAPHRASED:
-                continue
-            whole = _within(items.answers[item], region)
-            if share >= COVERED or whole:
-                # of the regions that are leaks, each by itself, the one with the most of the item
-                covered, answer = max((covered, answer), (share, whole))
+            if high > done:
+                done = high
+                # of the stretches that are leaks, each by itself, the one with the most of the item
+                covered, answer = max((covered, answer), region_leaks(items, which, w.hash[low:high]))
         if covered:
             near = (text[window] == doc) & (start[window] < max(high for _, high in places)) & (start[window] + PASSAGE > min(low for low, _ in places))
-            yield doc, item, float((vectors[near] @ items.vectors[items.item == item].T).max()), covered, answer
+            yield doc, which, float((vectors[near] @ items.vectors[items.item == which].T).max()), covered, answer
+
+
+def region_leaks(items: Items, which: int, region: np.ndarray) -> tuple[float, bool]:
+    """(covered, answer) of the stretch of a region that is most of a leak; (0, False) if none is one."""
+    words, (bag, times), span = items.words[which], items.bags[which], int(items.span[which])
+    place = np.minimum(np.searchsorted(bag, region), len(bag) - 1)
+    at = np.flatnonzero(bag[place] == region)
+    # no more words can be in order than there are
+    if np.minimum(np.bincount(place[at], minlength=len(bag)), times).sum() < items.least[which]:
+        return 0.0, False
+    if common_subsequence(words, region[at]) / len(words) < PARAPHRASED:
+        return 0.0, False
+    best = (0.0, False)
+    last = -1
+    for k, begin in enumerate(at.tolist()):
+        end = int(np.searchsorted(at, begin + span))
+        if end == last:  # the stretch before has all that this one has
+            continue
+        last = end
+        share = common_subsequence(words, region[at[k:end]]) / len(words)
+        if share >= PARAPHRASED:
+            whole = _within(items.answers[which], region[begin : begin + span])
+            if share >= COVERED or whole:
+                best = max(best, (share, whole))
+    return best
 
 
 def _search(table_at, items_at):
@@ -338,28 +374,52 @@ def _search(table_at, items_at):
     return work
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id, item_id, cosine, covered, answer: a row for each row of docs and item that it leaks.
-
-    Null and empty texts and items, and those without words, leak nothing; an item of less than PASSAGE words has one
-    window. Rows that repeat a doc_id are reported each; a null doc_id is reported as null. Empty tables give an empty result.
-    """
+def _item_groups(docs: DataFrame, benchmark: DataFrame) -> list:
+    """Broadcasts of the factors and of the items, ITEM_BYTES of their texts in each."""
     spark = docs.sparkSession
     table, frequency = fit(docs)
     table_at = spark.sparkContext.broadcast(table)
-    rows = docs.select("doc_id", "text")
     named = benchmark.where("text is not null").select("item_id", "text")
-    rounds = -(-named.count() // ITEMS_AT_ONCE)
-    out = None
-    for k in range(max(1, rounds)):
-        some = named.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(max(1, rounds))) == k).orderBy("item_id", "text").collect()
-        items = spark.sparkContext.broadcast(Items([r.item_id for r in some], [r.text for r in some], table, frequency))
-        found = rows.mapInArrow(_search(table_at, items), FOUND)
+    size = named.agg(F.coalesce(F.sum(F.octet_length("text") + 8), F.lit(0))).first()[0]
+    groups, out = max(1, -(-size // ITEM_BYTES)), []
+    for k in range(groups):
+        some = named.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(groups)) == k).orderBy("item_id", "text").collect()
+        out.append((table_at, spark.sparkContext.broadcast(Items([r.item_id for r in some], [r.text for r in some], table, frequency))))
+    return out
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """doc_id, item_id, cosine, covered, answer: a row for each row of docs and row of benchmark that it leaks.
+
+    Null and empty texts and items, and those without words, leak nothing; an item of less than PASSAGE words has one
+    window. Rows that repeat a doc_id, and benchmark rows that repeat an item, are reported each; a null doc_id or item_id
+    is reported as null; other columns are ignored. Of a text's stretches that leak an item, the one with the most of it is
+    reported. Empty tables give an empty result.
+    """
+    rows, out = docs.select("doc_id", "text"), None
+    for table_at, items_at in _item_groups(docs, benchmark):
+        found = rows.mapInArrow(_search(table_at, items_at), FOUND)
         out = found if out is None else out.unionByName(found)
     return out
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Rows of docs whose doc_id leaks no item, all columns unchanged; rows with a null doc_id stay."""
-    drop = save(leaks(docs, benchmark).where("doc_id is not null").select(F.col("doc_id").alias("_drop")).distinct(), "leaks")
-    return docs.join(drop, F.col("doc_id") == F.col("_drop"), "left_anti")
+    """Rows of docs that leak no item, all columns unchanged.
+
+    Each row is decided by its text alone, so rows that repeat a doc_id, or have none, go or stay each by itself. Null and
+    empty texts stay, and all rows if there are no items; columns may have any name. An empty table gives an empty result.
+    """
+
+    def clean(table_at, items_at):
+        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            table, items = _with_none(table_at.value), items_at.value
+            for rows, w in blocks(batches, limit=CHUNK):
+                keep = np.ones(rows.num_rows, bool)
+                keep[[d for d, *_ in search(items, table, w)]] = False
+                yield rows.filter(pa.array(keep))
+
+        return work
+
+    for table_at, items_at in _item_groups(docs, benchmark):
+        docs = docs.mapInArrow(clean(table_at, items_at), docs.schema)
+    return docs

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import uniform
+from tidemark.llm.shared import fresh, save, uniform
 
 #: Up to so many sources the table of rates (a few dozen bytes each) is broadcast; beyond, the join shuffles.
 BROADCAST_SOURCES = 50_000
@@ -43,31 +43,38 @@ def rates(sizes: DataFrame, most: int = MOST) -> DataFrame:
 
 
 def with_copies(docs: DataFrame, table: DataFrame, seed: int = SEED) -> DataFrame:
-    """docs with source_size, target, rate and copies: floor(rate), and one more with the fraction as probability, drawn from a hash of doc_id."""
-    table = table.select(F.col("source").alias("_source"), *[F.col(c).alias(f"_{c}") for c in ("source_size", "target", "rate")])
-    if table.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES:
+    """plan: a struct of source_size, target, rate and copies beside each row of docs, under a name of its own that is the last column. copies is floor(rate), and one more with the fraction as probability, drawn from a hash of doc_id."""
+    plan, of = fresh(docs, "plan"), fresh(docs, "of_source")
+    # the text is counted once: what follows reads one row a source
+    table = save(table.select(F.col("source").alias(of), F.struct("source_size", "target", "rate").alias(plan)), "rates")
+    if table.count() <= BROADCAST_SOURCES:
         table = F.broadcast(table)
-    joined = docs.join(table, F.col("source").eqNullSafe(F.col("_source")), "left").drop("_source")
-    whole = F.floor("_rate")
-    return joined.withColumn("_copies", (whole + (uniform(F.col("doc_id"), seed) < F.col("_rate") - whole).cast("long")).cast("long"))
+    joined = docs.join(table, F.col("source").eqNullSafe(F.col(of)), "left").drop(of)
+    rate = F.col(f"{plan}.rate")
+    copies = F.floor(rate) + (uniform(F.col("doc_id"), seed) < rate - F.floor(rate)).cast("long")
+    return joined.withColumn(plan, F.struct(f"{plan}.source_size", f"{plan}.target", f"{plan}.rate", copies.cast("long").alias("copies")))
 
 
 def mix(docs: DataFrame, most: int = MOST, seed: int = SEED) -> DataFrame:
     """The mixed documents: each row of docs as often as its source's rate says, all its columns unchanged.
 
     A null source is a source of its own, after all others; a null or empty text has size 0 and is copied at its
-    source's rate like any other; rows that repeat a doc_id draw alike. An empty table gives an empty result.
+    source's rate like any other; rows that repeat a doc_id, and those without one, draw alike. Columns may have any name.
+    An empty table gives an empty result.
     """
     table = rates(docs.select("source", size(F.col("text")).alias("size")), most)
-    plan = with_copies(docs, table, seed).where("_copies > 0")
-    return plan.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*docs.columns)
+    plan = with_copies(docs, table, seed)
+    copies = F.col(f"{plan.columns[-1]}.copies").cast("int")
+    copy = fresh(plan, "copy")
+    return plan.where(copies > 0).withColumn(copy, F.explode(F.sequence(F.lit(1), copies))).select(*docs.columns)
 
 
 def mixing_plan(docs: DataFrame, most: int = MOST, seed: int = SEED) -> DataFrame:
     """doc_id, size, source_size, target, taken of every row: what mix() takes of it."""
     sized = docs.select("doc_id", "source", size(F.col("text")).alias("size"))
     plan = with_copies(sized, rates(sized, most), seed)
-    return plan.select("doc_id", "size", F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), (F.col("size") * F.col("_copies")).alias("taken"))
+    at = plan.columns[-1]
+    return plan.select("doc_id", "size", f"{at}.source_size", f"{at}.target", (F.col("size") * F.col(f"{at}.copies")).alias("taken"))
 
 
 ORACLE = f"""
