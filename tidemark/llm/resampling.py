@@ -20,7 +20,7 @@ FIT_ROWS = 20_000
 SHARE = 0.5
 SEED = 11
 BINS = 1024
-OUT = "doc_id long, log_weight double"
+OUT = "doc_id long, draw string, log_weight double"
 GATHERED = "slice int, raw binary, target binary"
 
 
@@ -55,7 +55,7 @@ def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> np.ndarray:
-    """Log ratio of the two models by bucket: the raw model from all rows of docs, the target model from rows labelled as good."""
+    """Log ratio of the two models by bucket: the raw model from all rows of docs, the target model from the first fit_rows ids labelled as good; a null text or label adds nothing. Zeros without such rows."""
     good = labels.where("quality = 1 and doc_id is not null").select("doc_id").distinct()
     ids = good.orderBy(F.md5(F.col("doc_id").cast("string").cast("binary")), "doc_id").limit(fit_rows).withColumn("good", F.lit(True))
     marked = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id", "left").select("text", F.coalesce("good", F.lit(False)).alias("good"))
@@ -76,7 +76,7 @@ def _weigh(ratio_at):
             bucket, text = _buckets(w)
             weight = np.bincount(text, ratio_at.value[bucket], len(w.first) - 1)
             # without any word bincount gives whole numbers
-            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(weight.astype(float))], ["doc_id", "log_weight"])
+            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(2), pa.array(weight.astype(float))], ["doc_id", "draw", "log_weight"])
 
     return work
 
@@ -100,13 +100,16 @@ def kth_largest(keys: DataFrame, k: int) -> float:
 def resample(docs: DataFrame, labels: DataFrame, share: float = SHARE, seed: int = SEED) -> DataFrame:
     """doc_id, log_weight, gumbel_key, selected of each row of docs: the share of rows with the largest key is selected.
 
-    A null or empty text weighs as much in both models: 0. Rows that repeat doc_id and text have one key; ties at the last
-    place are all selected. Without rows labelled as good all weights are 0. An empty table gives an empty result.
+    A null or empty text weighs as much in both models: 0. The draw is by doc_id and text, so rows without a doc_id draw
+    each for themselves and rows that repeat both have one key; ties at the last place are all selected. Very long texts
+    are read whole; other columns are ignored. Without rows labelled as good all weights are 0. An empty table gives an
+    empty result.
     """
     ratio = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
-    weights = docs.select("doc_id", "text").mapInArrow(_weigh(ratio), OUT)
-    noise = -F.log(-F.log(uniform(F.col("doc_id"), seed) * (1 - 2.0**-40) + 2.0**-41))
-    keys = save(weights.withColumn("gumbel_key", F.col("log_weight") + noise), "resampled")
+    drawn = docs.select("doc_id", "text", F.concat_ws("|", F.col("doc_id").cast("string"), F.xxhash64("text").cast("string")).alias("draw"))
+    weights = drawn.mapInArrow(_weigh(ratio), OUT)
+    noise = -F.log(-F.log(uniform(F.col("draw"), seed) * (1 - 2.0**-40) + 2.0**-41))
+    keys = save(weights.select("doc_id", "log_weight", (F.col("log_weight") + noise).alias("gumbel_key")), "resampled")
     k = round(keys.count() * share)
     last = kth_largest(keys, k) if k else float("inf")
     return keys.withColumn("selected", F.col("gumbel_key") >= F.lit(last))
