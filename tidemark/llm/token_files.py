@@ -11,7 +11,6 @@ row a file, and its line end after the end mark of the stream, which readers don
 from __future__ import annotations
 
 import base64
-import gc
 import json
 import zlib
 from collections.abc import Iterator
@@ -29,85 +28,23 @@ ROWS = 64
 #: A file is closed at the document that brings it to so many tokens.
 FILE_TOKENS = 1 << 22
 END_ID = 2
-#: Encodings kept by a worker: of words as they stand, and of the tokenizer's own pieces. Full ones start anew.
-WORDS_KEPT, PIECES_KEPT = 400_000, 800_000
-_STOPS = frozenset(".,;:!?")
-# The pattern by which word_bpe_49k.json cuts its text.
-PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-
 READ = "doc_id long, part int, start_in_part long, n_tokens long, ids_crc32 long"
 
 
-class WordEncoder:
-    """Encodes a text by its words, each encoded by the tokenizer once and then looked up.
+_TOKENIZERS: dict[str, object] = {}
 
-    This tokenizer drops white space and never joins or looks across it, so the ids of a text are the ids of its
-    words. Words are parted at space, tab, CR and LF only; other white space stays in a word and the tokenizer handles it.
-    A word with characters beyond Latin letters (U+0250 and more, where lower case and composition may depend on the
-    library), or with a special token's string, is encoded as it stands; other new words are first cut into the
-    tokenizer's pieces, of which fewer are new.
-    """
 
-    def __init__(self, tokenizer_file: str, dtype: str):
-        import regex
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(tokenizer_file)
-        self.dtype = dtype
-        self.cut = regex.compile(PIECES).findall
-        self.words: dict[str, bytes] = {"": b""}
-        self.pieces: dict[str, bytes] = {}
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def learn(self, words: list[str]) -> None:
-        if len(self.words) > WORDS_KEPT:
-            self.words = {"": b""}
-        if len(self.pieces) > PIECES_KEPT:
-            self.pieces = {}
-        plain, cut, odd = [], [], []
-        for w in words:
-            if "<|" in w or not (w.isascii() or max(w) < "\u0250" and "\u0130" not in w):
-                odd.append(w)
-                continue
-            plain.append(w)
-            if w.isalpha():
-                cut.append((w.lower(),))
-            elif w[-1:] in _STOPS and w[:-1].isalpha():
-                cut.append((w[:-1].lower(), w[-1]))
-            else:
-                cut.append(self.cut(w.lower()))
-        new = list({p for ps in cut for p in ps}.difference(self.pieces))
-        self.pieces.update(zip(new, self._ids(new), strict=True))
-        self.words.update(zip(odd, self._ids(odd), strict=True))
-        get = self.pieces.__getitem__
-        for w, ps in zip(plain, cut, strict=True):
-            self.words[w] = b"".join(map(get, ps))
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        parted = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        used = set().union(*parted)
-        if new := used.difference(self.words):
-            if len(self.words) > WORDS_KEPT:
-                new = used
-            self.learn(list(new))
-            self.words.setdefault("", b"")
-        get = self.words.__getitem__
-        return [b"".join(map(get, p)) for p in parted]
-
-
-_ENCODERS: dict[tuple, WordEncoder] = {}
-
-
-def _encoder(tokenizer_file: str, dtype: str) -> WordEncoder:
-    key = (tokenizer_file, dtype)
-    if key not in _ENCODERS:
+def encode(tokenizer_file: str, texts: list[str], dtype: str) -> list[bytes]:
+    """Ids of whole texts by the tokenizers library, without special tokens. A worker loads a tokenizer once."""
+    if tokenizer_file not in _TOKENIZERS:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        _ENCODERS[key] = WordEncoder(*key)
-    return _ENCODERS[key]
+        from tokenizers import Tokenizer
+
+        _TOKENIZERS[tokenizer_file] = Tokenizer.from_file(tokenizer_file)
+    found = _TOKENIZERS[tokenizer_file].encode_batch_fast(texts, add_special_tokens=False)
+    return [np.array(e.ids, dtype).tobytes() for e in found]
 
 
 def stream_file(ids: bytes, dtype: str, meta: dict, length: int = LENGTH, rows: int = ROWS) -> bytes:
@@ -129,8 +66,6 @@ def stream_file(ids: bytes, dtype: str, meta: dict, length: int = LENGTH, rows:
 
 def _write(tokenizer_file: str, dtype: str, end_id: int, length: int, file_tokens: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gc.disable()  # the caches hold no cycles, and walking through them costs more than encoding
-        encode = _encoder(tokenizer_file, dtype)
         end = np.array([end_id], dtype).tobytes()
         part, before = TaskContext.get().partitionId(), 0
         held: list[bytes] = []
@@ -150,9 +85,9 @@ def _write(tokenizer_file: str, dtype: str, end_id: int, length: int, file_token
         total = 0
         for batch in batches:
             column = batch.column(1)
-            for i, j in by_bytes(column, 1 << 21):
+            for i, j in by_bytes(column, 1 << 20):
                 texts = [t or "" for t in column.slice(i, j - i).to_pylist()]
-                for doc, ids in zip(batch.column(0).slice(i, j - i).to_pylist(), encode(texts), strict=True):
+                for doc, ids in zip(batch.column(0).slice(i, j - i).to_pylist(), encode(tokenizer_file, texts, dtype), strict=True):
                     held += [ids, end]
                     docs.append(doc)
                     lengths.append((len(ids) + len(end)) // len(end))
@@ -162,19 +97,23 @@ def _write(tokenizer_file: str, dtype: str, end_id: int, length: int, file_token
                         total = 0
         if docs:
             yield file()
-        gc.enable()
 
     return work
 
 
 def write_token_files(docs: DataFrame, path: str, tokenizer_file: str, end_id: int = END_ID, length: int = LENGTH, file_tokens: int = FILE_TOKENS, parts: int | None = None) -> None:
-    """Write (doc_id, text) under path. Null and empty texts are the end id alone; a null doc_id comes first; rows that repeat a doc_id go by text. An empty table writes no sequences."""
+    """Write (doc_id, text) under path; other columns are ignored.
+
+    Null and empty texts are the end id alone; a null doc_id comes first; rows that repeat a doc_id go by a hash of the text. A very long
+    text is one document of one file. An empty table writes no sequences.
+    """
     from tokenizers import Tokenizer
 
     spark = docs.sparkSession
     dtype = "<u2" if Tokenizer.from_file(tokenizer_file).get_vocab_size() <= 1 << 16 else "<u4"
     parts = parts or max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2)
-    dealt = docs.select("doc_id", "text").repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
+    # a doc_id that many rows repeat, or lack, is dealt out over tasks as well
+    dealt = docs.select("doc_id", "text", F.xxhash64("text").alias("tie")).repartitionByRange(parts, "doc_id", "tie").sortWithinPartitions("doc_id", "tie")
     files = dealt.mapInArrow(_write(tokenizer_file, dtype, end_id, length, file_tokens), "content binary")
     files.select(F.col("content").cast("string").alias("value")).write.option("maxRecordsPerFile", 1).text(path)
 
@@ -215,7 +154,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def read_documents(spark, path: str) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 of each document in the files. Parts, of which there are as many as tasks wrote, give each other's starts."""
+    """doc_id, start, n_tokens, ids_crc32 of each document in the files. Parts, of which there are as many as tasks wrote, give each other's starts. A null doc_id is read as null; a folder without sequences gives an empty result."""
     files = spark.read.format("binaryFile").load(path).select("content")
     found = save(files.mapInArrow(_read, READ), "tokens")
     sizes = found.groupBy("part").agg(F.sum("n_tokens").alias("n"))
@@ -225,6 +164,7 @@ def read_documents(spark, path: str) -> DataFrame:
 
 
 def round_trip(docs: DataFrame, tokenizer_file: str) -> DataFrame:
+    """Write docs and read the files back; nulls, repeats, other columns and empty tables as in write_token_files."""
     path = scratch(docs.sparkSession, "token-files")
     write_token_files(docs, path, tokenizer_file)
     return read_documents(docs.sparkSession, path)
