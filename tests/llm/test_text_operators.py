@@ -619,3 +619,52 @@ def test_pipeline(spark, sf):
     want = sum(d[1] == d[2] for d in near_by_force(docs.collect()))
     assert kept.count() == want and kept.columns == docs.columns
     assert corpus_pipeline.run(spark, sf).count() > 0
+
+
+@pytest.mark.parametrize("name", ["odd", "empty"])
+def test_pipeline_on_odd_tables(request, spark, odd, labels, tmp_path, name):
+    """All stages, one after the other, on nulls, repeats, long texts and clashing names, and on an empty table."""
+    import corpus_pipeline
+
+    docs = request.getfixturevalue(name)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    labels.limit(0).write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, "one two three four five six seven eight nine ten"), (None, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    now = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for k, (stage, step) in enumerate(corpus_pipeline.STAGES[:-1]):
+        out = step(spark, now, str(tmp_path))
+        assert out.columns == docs.columns, stage
+        out.write.parquet(f"{tmp_path}/{k}")
+        now = spark.read.parquet(f"{tmp_path}/{k}")
+    rows = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert len(rows) == now.count()
+    if name == "odd":
+        left = [r.text for r in spark.read.parquet(f"{tmp_path}/2").collect()]
+        assert not any("one two three four five six seven" in (t or "").lower() for t in left) and left.count("") == 2
+        # the null one, the empty ones, those without letters, the one without an id and one of each class are there
+        assert sorted(t or "" for t in left if len(t or "") < 50) == sorted(["", "", "", "   ", "...", "A", "Ünïcode ŁÓDŹ <|endoftext|> 中文", "a\tb\r\nc", "one two three"])
+    else:
+        assert not rows
+
+
+def test_pipeline_stages_by_force(spark, sf, tmp_path):
+    """What the stages keep of a whole table, against brute force for near duplicates and leaks, and what the token files then hold."""
+    import corpus_pipeline
+    from tokenizers import Tokenizer
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    kept = corpus_pipeline.drop_near_duplicates(spark, docs, sf)
+    classes = {d[1]: d[2] for d in near_by_force(docs.collect())}
+    assert sorted(r.doc_id for r in kept.collect()) == sorted({c for c in classes.values()})
+    items = spark.read.parquet(f"{sf}/benchmark.parquet")
+    leaking = {d for d, _ in leaks_by_force([(r.doc_id, r.text) for r in docs.collect()], [(r.item_id, r.text) for r in items.collect()])}
+    clean = corpus_pipeline.drop_leaks(spark, docs, sf)
+    assert sorted(r.doc_id for r in clean.collect()) == sorted(set(classes) - leaking)
+    mixed = corpus_pipeline.mix_sources(spark, docs, sf)
+    taken = {r.doc_id: r.taken // r.size for r in mixing.mixing_plan(docs).collect() if r.size}
+    from collections import Counter
+
+    assert {d: n for d, n in Counter(r.doc_id for r in mixed.collect()).items() if d in taken} == {d: n for d, n in taken.items() if n}
+    t = Tokenizer.from_file(queries.tokenizer_path())
+    want = sorted((r.doc_id, zlib.crc32(np.array([*t.encode(r.text or "", add_special_tokens=False).ids, 2], "<u4").tobytes())) for r in mixed.collect())
+    assert sorted((r.doc_id, r.ids_crc32) for r in corpus_pipeline.write_tokens(spark, mixed, sf).collect()) == want

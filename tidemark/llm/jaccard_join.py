@@ -364,17 +364,21 @@ def one_of_each_class(docs: DataFrame) -> DataFrame:
     It is the one with the least doc_id, and of rows with that doc_id the one whose words have the least digest; of rows
     that repeat both, any one. Rows without words and rows with a null doc_id are no duplicates and stay.
     """
-    rows = save(_classes(docs, TARGET).where("same is not null").select("doc_id", "same", "class_no"), "near-classes")
+    rows = save(_classes(docs, TARGET).select("doc_id", "same", "class_no"), "near-classes")
     # one row a class, combined before the shuffle
-    best = rows.groupBy("class_no").agg(F.min(F.struct("doc_id", "same")).alias("best"))
+    best = rows.where("class_no is not null").groupBy("class_no").agg(F.min(F.struct("doc_id", "same")).alias("best"))
     id_, key, words_ = fresh(docs, "of_doc"), fresh(docs, "of_words"), fresh(docs, "its_words")
-    counted = rows.groupBy("class_no", "doc_id", "same").agg(F.count("*").alias("n"))
-    judged = save(counted.join(best, "class_no").select(F.col("doc_id").alias(id_), F.col("same").alias(key), (F.struct("doc_id", "same") == F.col("best")).alias("stays"), "n"), "near-copies")
-    known = docs.withColumn(words_, same_words(F.col("text")))
-    met = (known["doc_id"] == F.col(id_)) & (F.col(words_) == F.col(key))
-    leave = judged.where("not stays or n > 1").select(id_, key)
-    out = known.join(leave, met, "left_anti").select(*docs.columns)
-    again = judged.where("stays and n > 1").select(id_, key)
-    if not again.isEmpty():
-        out = out.unionByName(known.join(again, met, "left_semi").dropDuplicates(["doc_id", words_]).select(*docs.columns))
+    best = save(best.select(F.col("best.doc_id").alias(id_), F.col("best.same").alias(key)), "near-best")
+    repeated = save(rows.where("doc_id is not null").groupBy(F.col("doc_id").alias(id_)).agg(F.count("*").alias("n")).where("n > 1").select(id_), "repeated-ids")
+    stay = best.select(id_).unionByName(rows.where("same is null and doc_id is not null").select(F.col("doc_id").alias(id_)))
+    by_id = docs["doc_id"] == F.col(id_)
+    if repeated.isEmpty():  # an id says which row
+        return docs.join(stay, by_id, "left_semi").unionByName(docs.where("doc_id is null"))
+    single = docs.join(repeated, by_id, "left_anti")
+    many = docs.join(repeated, by_id, "left_semi").withColumn(words_, same_words(F.col("text")))
+    kept = many.join(best, (many["doc_id"] == F.col(id_)) & (F.col(words_) == F.col(key)), "left_semi").dropDuplicates(["doc_id", words_])
+    parts = [single.join(stay, single["doc_id"] == F.col(id_), "left_semi"), single.where("doc_id is null"), kept, many.where(F.col(words_).isNull())]
+    out = parts[0].select(*docs.columns)
+    for part in parts[1:]:
+        out = out.unionByName(part.select(*docs.columns))
     return out
