@@ -1,6 +1,8 @@
 """Joins and models against literal loops."""
 
+import math
 import random
+from collections import defaultdict
 
 from pyspark.sql import functions as F
 
@@ -144,11 +146,126 @@ CANDIDATE = "scenario string, period_us long, rank int, ticker string, event_tic
 
 
 def test_replay_cash(spark):
-    rows = [("s", 1, i, f"t{i}", f"e{i}", "yes", 50, 1, 1, 1, 10, "yes") for i in range(3)] + [("s", 20, 0, "t9", "e9", "no", 8, 10, 10, 21, 30, "yes")]
+    """Vectors: 38 and -462 for 5 at 92, 918 and -82 for 10 at 8, after a fee; three orders of 50 with 120 in cash are two trades."""
+    fee = lambda p, q: math.ceil(round(0.0175 * q * p / 100 * (1 - p / 100) * 100, 9))
+    rows = [("s", 1, i, f"t{i}", f"e{i}", "yes", 50, 1, 1, 1, 10, "yes") for i in range(3)] + [("s", 5, 0, None, *[None] * 8), ("s", 20, 0, "t9", "e9", "no", 8, 10, 10, 21, 30, "yes"), ("s", 25, 0, None, *[None] * 8)]
     got = sorted((r.ticker, r.pnl) for r in S.replay(spark.createDataFrame(rows, CANDIDATE), cash=120).collect())
-    assert got == [("t0", 50), ("t1", 50), ("t9", -80)]
+    assert got == [("t0", 49), ("t1", 49), ("t9", -80 - fee(8, 10))]
     few = S.replay(spark.createDataFrame(rows, CANDIDATE), cash=1000, limits=S.Limits(positions=1, event=0.05, deployed=0.06)).collect()
-    assert sorted(r.ticker for r in few) == ["t0"]
+    assert sorted(r.ticker for r in few) == ["t0"]  # 80 for t9 are over 5% of the cash
+    vectors = [("a", "yes", 92, 5, "yes", 38), ("b", "yes", 92, 5, "no", -462), ("c", "no", 8, 10, "no", 918), ("d", "no", 8, 10, "yes", -82)]
+    rows = [row for n, side, price, q, result, _ in vectors for row in ((n, 1, 0, "T1", "E", side, price, q, q, 1, 10, result), (n, 2, 0, None, *[None] * 8))]
+    got = {r.scenario: r.pnl + r.fee for r in S.replay(spark.createDataFrame(rows, CANDIDATE)).collect()}
+    assert got == {n: pnl + 2 for n, *_, pnl in vectors}
+
+
+def test_fills_after_settlement_do_not_count(spark):
+    rows = [("s", 1, 0, "t", "e", "yes", 50, 1, 1, 15, 10, "yes"), ("s", 5, 0, None, *[None] * 8), ("s", 20, 0, "u", "e", "yes", 50, 2, 2, 20, 40, "no"), ("s", 30, 0, None, *[None] * 8)]
+    assert [(r.ticker, r.contracts) for r in S.replay(spark.createDataFrame(rows, CANDIDATE), cash=120).collect()] == [("u", 2)]
+
+
+def replay_by_events(rows, cash, limits):
+    """One scenario, step by step: settle what is filled, then what is pending, then see fills, then place."""
+    escrow, pending, filled, trades = 0, {}, {}, []
+    fee = lambda p, q: 0 if q == 0 or not 0 < p < 100 else math.ceil(round(0.0175 * q * p / 100 * (1 - p / 100) * 100, 9))
+    for period in sorted({r[1] for r in rows}):
+        for ticker in list(filled):
+            if filled[ticker]["settled"] <= period:
+                o = filled.pop(ticker)
+                escrow -= o["cost"]
+                exit_ = 100 if o["side"] == o["result"] else 0
+                cash += exit_ * o["n"] - fee(o["price"], o["n"])
+                trades.append((ticker, o["n"], (exit_ - o["price"]) * o["n"] - fee(o["price"], o["n"])))
+        for ticker in list(pending):
+            if pending[ticker]["settled"] <= period:
+                o = pending.pop(ticker)
+                escrow -= o["cost"]
+                cash += o["price"] * (o["n"] - o["got"])
+                if o["got"]:
+                    exit_ = 100 if o["side"] == o["result"] else 0
+                    cash += exit_ * o["got"] - fee(o["price"], o["got"])
+                    trades.append((ticker, o["got"], (exit_ - o["price"]) * o["got"] - fee(o["price"], o["got"])))
+        for ticker in list(pending):
+            o = pending[ticker]
+            if o["at"] <= period:
+                o["got"] = min(o["fills"], o["n"])
+                if o["got"] >= o["n"]:
+                    filled[ticker] = pending.pop(ticker)
+        if len(pending) + len(filled) >= limits.positions:
+            continue
+        equity = cash + escrow
+        for _, _, _, ticker, event, side, price, n, fills, at, settled, result in sorted((r for r in rows if r[1] == period and r[3] is not None), key=lambda r: (r[2], r[3])):
+            cost = price * n
+            everything = [*pending.values(), *filled.values()]
+            if ticker in pending or ticker in filled or cost > cash or settled <= period or escrow + cost > limits.deployed * equity:
+                continue
+            if sum(o["cost"] for o in everything if o["event"] == event) + cost > limits.event * equity:
+                continue
+            pending[ticker] = {"event": event, "side": side, "price": price, "n": n, "fills": fills, "at": at, "settled": settled, "result": result, "cost": cost, "got": 0}
+            cash, escrow = cash - cost, escrow + cost
+    for ticker, o in [*filled.items(), *pending.items()]:
+        if o["got"]:
+            exit_ = 100 if o["side"] == o["result"] else 0
+            trades.append((ticker, o["got"], (exit_ - o["price"]) * o["got"] - fee(o["price"], o["got"])))
+    return sorted(trades)
+
+
+def test_replay_against_a_loop(spark):
+    rng = random.Random(5)
+    rows = []
+    for s in range(6):
+        for i in range(150):
+            period = rng.randrange(0, 60)
+            n = rng.randrange(1, 6)
+            rows.append((f"s{s}", period, rng.randrange(3), f"t{rng.randrange(40)}", f"e{rng.randrange(8)}", rng.choice(["yes", "no"]), rng.randrange(3, 98), n, rng.randrange(0, n + 1), period + rng.randrange(0, 20), period + rng.randrange(0, 30), rng.choice(["yes", "no"])))
+    limits = S.Limits(deployed=0.5, event=0.2, positions=6)
+    got = defaultdict(list)
+    for r in S.replay(spark.createDataFrame(rows, CANDIDATE), cash=1500, limits=limits).collect():
+        got[r.scenario].append((r.ticker, r.contracts, r.pnl))
+    for s in range(6):
+        want = replay_by_events([r for r in rows if r[0] == f"s{s}"], 1500, limits)
+        assert sorted(got[f"s{s}"]) == want and len(want) > 5
+
+
+def test_queue_summary_against_a_loop(spark):
+    rng = random.Random(6)
+    tape = [(f"T{rng.randrange(3)}", rng.randrange(0, 60), i, rng.randrange(84, 94), rng.choice(["yes", "no"]), rng.randrange(1, 9)) for i in range(600)]
+    orders = []
+    for i in range(250):
+        at, side = rng.randrange(0, 50), rng.choice(["yes", "no"])
+        orders.append((i, f"T{rng.randrange(3)}", side, rng.randrange(85, 94) if side == "yes" else rng.randrange(6, 16), rng.randrange(1, 40), rng.randrange(0, 30), at, at + rng.randrange(0, 30)))
+    frame = spark.createDataFrame(orders, "order_id long, ticker string, side string, limit int, quantity int, ahead int, placed_us long, end_us long")
+    prints = spark.createDataFrame(tape, "ticker string, ts_us long, trade_id long, yes_cents int, taker_side string, count int")
+    got = {r.order_id: (r.filled, r.first_s) for r in W.queue_summary(frame, prints).collect()}
+    for i, ticker, side, limit, quantity, ahead, placed, end in orders:
+        filled, first, swept = 0, None, False
+        for t, at, _, cents, taker, n in sorted(tape, key=lambda r: (r[1], r[2])):
+            price = cents if side == "yes" else 100 - cents
+            if t != ticker or not placed <= at <= end or taker == side or price > limit:
+                continue
+            swept = swept or price < limit
+            if not swept:
+                n, ahead = max(0, n - ahead), max(0, ahead - n)
+            n = min(n, quantity - filled)
+            if n and first is None:
+                first = (at - placed) / 1e6
+            filled += n
+        assert got[i] == (filled, first), i
+    slow = {r.order_id: (r.filled, r.first_s) for r in W.fill_summary(frame, W.queue_fills(frame, prints)).collect()}
+    assert slow == got
+
+
+def test_best_pairs_against_all_pairs(spark):
+    rng = random.Random(7)
+    legs = [(f"E{i % 30}", f"T{i:03d}", rng.choice(["yes", "no"]), rng.choice([None, *range(8)]), rng.randrange(0, 5)) for i in range(300)]
+    got = {r.e: (r.y_t, r.n_t) for r in S.best_ordered_pair(spark.createDataFrame(legs, "e string, t string, side string, strike int, v int"), "e", "side", "strike", "v", "t").collect()}
+    # strikes in order, equal ones too, or unknown
+    want = {}
+    for e in {r[0] for r in legs}:
+        pairs = [(-(y[4] + n[4]), y[1], n[1]) for y in legs for n in legs if y[0] == n[0] == e and y[2] == "yes" and n[2] == "no" and (y[3] is None or n[3] is None or y[3] < n[3])]
+        if pairs:
+            want[e] = min(pairs)[1:]
+    assert got == want
 
 
 def test_track(spark):
@@ -165,6 +282,10 @@ def test_splice_precedence(spark):
     for old, new, want in ((("live", 1), ("historical", 2), 2), (("historical", 1), ("historical", 2), 1), (("historical", 1), ("live", 2), 1)):
         got = K.splice(row(1, *old), row(1, *new), ["k"], "origin").collect()
         assert [r.v for r in got] == [want]
+        # a tie that would put the new row first changes nothing between a stored row and a new one
+        tied = K.splice(row(1, *old), row(1, *new), ["k"], "origin", F.col("v").desc()).collect()
+        assert [r.v for r in tied] == [want]
+    assert [r.v for r in K.splice(row(1, "live", 1), row(1, "live", 2), ["k"], "origin", F.col("v").desc()).collect()] == [1]
     fresh = K.insert_new(row(1, "live", 1), row(1, "live", 2).union(row(2, "live", 3)).union(row(2, "live", 4)), ["k"], F.col("v").desc())
     assert [(r.k, r.v) for r in fresh.collect()] == [(2, 4)]
     up = K.overwrite_upsert(row(1, "a", 1).union(row(3, "a", 3)), row(1, "b", 9).union(row(2, "b", 2)), ["k"], keep=["origin"])
@@ -175,7 +296,8 @@ def test_publish_and_partitions(spark, tmp_path):
     path = str(tmp_path / "t")
     for n in (3, 5):
         K.publish(spark.range(n), path)
-        assert spark.read.parquet(path).count() == n
+        assert K.published(spark, path).count() == n
+    assert K.published(spark, str(tmp_path / "none")) is None
     sides = str(tmp_path / "s")
     K.overwrite_partitions(spark.createDataFrame([(1, "yes"), (2, "no")], "v int, side string"), sides, "side")
     K.overwrite_partitions(spark.createDataFrame([(9, "no")], "v int, side string"), sides, "side")

@@ -18,3 +18,46 @@ def test_results_are_files(spark, tmp_path, mode):
     assert out.count() == want[mode] and out.inputFiles()
     if mode == "complete":
         assert sorted(map(tuple, out.collect())) == [(0, 15), (1, 15)]
+
+
+def test_splice_goes_on_from_its_checkpoint(spark, tmp_path):
+    """Batches that come after a restart are spliced once each: historical over live, stored rows before new ones of their origin."""
+    from tidemark.operators.sinks import published
+
+    source, table, log = (str(tmp_path / n) for n in ("in", "table", "log"))
+    schema = "k int, origin string, v int"
+    for rows, want in (([(1, "live", 1), (2, "historical", 1)], {1: 1, 2: 1}), ([(1, "historical", 2), (2, "historical", 2), (3, "live", 1)], {1: 2, 2: 1, 3: 1}), ([(1, "live", 3), (3, "live", 2)], {1: 2, 2: 1, 3: 1})):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
+        streams.spliced(streams.files(spark, source, schema, 1), table, ["k"], log).start().awaitTermination()
+        assert {r.k: r.v for r in published(spark, table).collect()} == want
+
+
+def test_state_survives_a_restart(spark, tmp_path):
+    """ST10: running sums go on where the checkpoint left them."""
+    source, log, got = str(tmp_path / "in"), str(tmp_path / "log"), {}
+
+    def keep(batch, _):
+        got.update({r.key: (r.n, r.cum, r.peak, r.drawdown) for r in batch.collect()})
+
+    for ids, want in ((range(0, 4), (4, 6, 6, 0)), (range(4, 6), (6, 15, 15, 0))):
+        spark.createDataFrame([(i, 7, i) for i in ids], "id long, user long, pnl long").coalesce(1).write.mode("append").parquet(source)
+        stream = streams.drawdowns(streams.files(spark, source, "id long, user long, pnl long", 1), "user")
+        stream.writeStream.foreachBatch(keep).outputMode("update").option("checkpointLocation", log).trigger(availableNow=True).start().awaitTermination()
+        assert got[7] == want
+
+
+def test_polling_stop_and_progress(spark, tmp_path):
+    """ST01, ST02, ST06, ST13, ST14: a second query takes up only what the first hasn't seen."""
+    source, out, log = (str(tmp_path / n) for n in ("in", "out", "log"))
+    for n in (3, 5):
+        spark.range(n).coalesce(1).write.mode("append").parquet(source)
+        q = streams.polled(streams.files(spark, source, "id long"), out, log, "1 second").start()
+        assert streams.stopped(q) and sum(p["rows"] for p in streams.progress(q)) == n
+    assert spark.read.parquet(out).count() == 8
+
+
+def test_with_static(spark, tmp_path):
+    spark.createDataFrame([(1, 10), (2, 20)], "k int, v int").coalesce(1).write.parquet(str(tmp_path / "in"))
+    static = spark.createDataFrame([(1, "a")], "k int, name string")
+    out = streams.run_once(streams.with_static(streams.files(spark, str(tmp_path / "in"), "k int, v int"), static, "k"), "static")
+    assert sorted(map(tuple, out.collect())) == [(1, 10, "a"), (2, 20, None)]

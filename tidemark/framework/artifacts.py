@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.framework.features import in_utc
-from tidemark.operators.sinks import publish
+from tidemark.operators.sinks import publish, published
 
 
 class Store:
@@ -41,7 +41,7 @@ class Store:
         usable = [t for t in self.times(estimator) if t <= as_of]
         if not usable or max_age is not None and as_of - usable[-1] > max_age:
             return None
-        return usable[-1], self.spark.read.parquet(self.path(estimator, usable[-1]))
+        return usable[-1], published(self.spark, self.path(estimator, usable[-1]))
 
     def metadata(self) -> DataFrame:
         """estimator and available of all tables."""

@@ -100,6 +100,64 @@ def fill_probability(orders: DataFrame, table: DataFrame, thresholds: Sequence[i
     return base.join(best, "_id", "left").select(*orders.columns, "b.level", "b.p_won", "b.p_lost")
 
 
+def _levels(tape: DataFrame, keys: DataFrame) -> DataFrame:
+    """Prints of each (ticker, side, limit) that they reach: v at the limit or past it, at the part of it at the limit itself. Prints times the limits in use of their ticker, 198 at most, whatever the number of orders."""
+    met = tape.select("ticker", "ts_us", "trade_id", "yes_cents", "taker_side", "count").join(keys.select("ticker", "side", "limit").distinct(), "ticker")
+    price = F.when(F.col("side") == "yes", F.col("yes_cents")).otherwise(100 - F.col("yes_cents"))
+    hit = met.withColumn("v", X.opposing_flow(F.col("side"), F.col("limit"), F.col("yes_cents"), F.col("taker_side"), F.col("count"))).where("v > 0")
+    return hit.select("ticker", "side", "limit", "ts_us", "trade_id", "v", F.when(price == F.col("limit"), F.col("v")).otherwise(0).alias("at"))
+
+
+def flow_between(points: DataFrame, tape: DataFrame) -> DataFrame:
+    """points (ticker, side, limit, from_us, to_us, ...) with the opposing flow strictly between the two times, from running sums: no print meets a point."""
+    sums = Window.partitionBy("ticker", "side", "limit").orderBy("t", "kind")
+    prints = _levels(tape, points).select("ticker", "side", "limit", F.col("ts_us").alias("t"), F.lit(1).alias("kind"), "v")
+    numbered = points.withColumn("_id", F.monotonically_increasing_id())
+    # at one time: the end of a point, then prints, then the begin of a point
+    ends = F.explode(F.array(F.struct(F.col("from_us").alias("t"), F.lit(2).alias("kind")), F.struct(F.col("to_us").alias("t"), F.lit(0).alias("kind"))))
+    asked = numbered.select("ticker", "side", "limit", F.struct(*numbered.columns).alias("point"), ends.alias("e")).select("ticker", "side", "limit", "e.t", "e.kind", F.lit(0).alias("v"), "point")
+    seen = prints.unionByName(asked, allowMissingColumns=True).withColumn("sum", F.sum("v").over(sums.rowsBetween(Window.unboundedPreceding, Window.currentRow))).where("kind <> 1")
+    both = seen.groupBy("point._id").agg(F.first("point").alias("point"), F.max(F.when(F.col("kind") == 0, F.col("sum"))).alias("hi"), F.max(F.when(F.col("kind") == 2, F.col("sum"))).alias("lo"))
+    return both.select("point.*", F.greatest(F.lit(0).cast("long"), F.col("hi") - F.col("lo")).alias("flow")).drop("_id")
+
+
+def queue_summary(orders: DataFrame, tape: DataFrame) -> DataFrame:
+    """M05, Q41 without the single fills: order_id, filled, share, all_filled, first_s of every order, from running sums.
+
+    At the limit prints first serve the queue; from the first print past the limit on all opposing flow is the order's. With
+    A the running flow at the limit and B all opposing flow of (ticker, side, limit), an order needs both where it begins and
+    where it ends, and both before the first print past the limit in between; the first fill is there, or at the first
+    print where A exceeds what it was by more than the queue. Each is a running value over one sorted group.
+    """
+    key = ["ticker", "side", "limit"]
+    numbered = orders.withColumn("_id", F.monotonically_increasing_id())
+    point = F.struct(*numbered.columns)
+    prints = _levels(tape, orders).select(*key, F.col("ts_us").alias("t"), F.lit(1).alias("kind"), F.col("trade_id").alias("tie"), "v", "at")
+    ends = F.explode(F.array(F.struct(F.col("placed_us").alias("t"), F.lit(0).alias("kind")), F.struct(F.col("end_us").alias("t"), F.lit(2).alias("kind"))))
+    asked = numbered.select(*key, point.alias("order"), ends.alias("e")).select(*key, "e.t", "e.kind", F.lit(0).alias("v"), F.lit(0).alias("at"), "order")
+    rows = prints.unionByName(asked, allowMissingColumns=True)
+    by_time = Window.partitionBy(*key).orderBy("t", "kind", "tie")
+    upto, onward = by_time.rowsBetween(Window.unboundedPreceding, Window.currentRow), by_time.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    summed = rows.withColumn("A", F.sum("at").over(upto)).withColumn("B", F.sum("v").over(upto))
+    past = F.when((F.col("kind") == 1) & (F.col("v") > F.col("at")), F.struct("t", "A", (F.col("B") - F.col("v")).alias("B")))
+    swept = summed.withColumn("sweep", F.first(past, ignorenulls=True).over(onward))
+    # the first print where A is over a value: prints and orders on one axis, the next print's time is the least of those after
+    at_limit = swept.where("kind = 1 AND at > 0").select(*key, F.col("A").alias("x"), F.lit(1).alias("kind"), "t")
+    wanted = swept.where("kind = 0").select(*key, (F.col("A") + F.col("order.ahead")).alias("x"), F.lit(2).alias("kind"), F.lit(None).cast("long").alias("t"), F.col("order._id").alias("_id"))
+    after = Window.partitionBy(*key).orderBy("x", "kind").rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    served = at_limit.unionByName(wanted, allowMissingColumns=True).withColumn("served", F.first("t", ignorenulls=True).over(after)).where("kind = 2").select("_id", "served")
+    state = F.struct("A", "B", "sweep")
+    both = swept.where("kind <> 1").groupBy(F.col("order._id").alias("_id")).agg(F.first("order").alias("order"), F.max(F.when(F.col("kind") == 0, state)).alias("a"), F.max(F.when(F.col("kind") == 2, state)).alias("b")).join(served, "_id")
+    ahead, quantity = F.col("order.ahead"), F.col("order.quantity")
+    hit = F.col("a.sweep").isNotNull() & (F.col("a.sweep.t") <= F.col("order.end_us"))
+    at_end = F.when(hit, F.col("a.sweep.A")).otherwise(F.col("b.A"))
+    free = F.when(hit, F.col("b.B") - F.col("a.sweep.B")).otherwise(0)
+    filled = F.least(quantity, F.greatest(F.lit(0).cast("long"), at_end - F.col("a.A") - ahead) + free)
+    first = F.least(F.when(hit, F.col("a.sweep.t")), F.col("served"))
+    out = both.select("order.order_id", filled.alias("filled"), quantity.alias("quantity"), F.when(filled > 0, (first - F.col("order.placed_us")) / F.lit(1e6)).alias("first_s"))
+    return out.select("order_id", "filled", (F.col("filled") / F.col("quantity")).alias("share"), (F.col("filled") == F.col("quantity")).alias("all_filled"), "first_s")
+
+
 def queue_fills(orders: DataFrame, tape: DataFrame) -> DataFrame:
     """What each print from placed_us to end_us (both included) fills of an order with others queued ahead.
 

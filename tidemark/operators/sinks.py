@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def splice(old: DataFrame, new: DataFrame, keys: Sequence[str], origin: str, *tie: Column) -> DataFrame:
-    """One row a key. A historical row replaces a live one and stays; within a batch the first by tie wins."""
+    """One row a key. A historical row replaces a live one and stays, whatever comes later; a stored live row stays unless a historical one comes; within a batch the first by tie wins."""
     both = old.withColumn("_batch", F.lit(0)).unionByName(new.withColumn("_batch", F.lit(1)))
-    order = Window.partitionBy(*keys).orderBy((F.col(origin) == "historical").desc(), *tie, "_batch")
+    order = Window.partitionBy(*keys).orderBy((F.col(origin) == "historical").desc(), "_batch", *tie)
     return both.withColumn("_rank", F.row_number().over(order)).where("_rank = 1").drop("_rank", "_batch")
 
 
@@ -71,20 +72,40 @@ def without_columns(df: DataFrame, time_us: str, as_of_us: int, days: int, colum
     return df.select(*[F.when(~old, F.col(c)).alias(c) if c in columns else F.col(c) for c in df.columns])
 
 
+def _folders(spark: SparkSession, path: str):
+    jvm = spark._jvm.org.apache.hadoop.fs
+    return jvm, jvm.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def _versions(spark: SparkSession, path: str) -> list[int]:
+    """Published versions of a table, the oldest first: a version counts from the moment its pointer is there."""
+    jvm, fs = _folders(spark, path)
+    if not fs.exists(jvm.Path(path)):
+        return []
+    names = [f.getPath().getName() for f in fs.listStatus(jvm.Path(path))]
+    return sorted(int(n.removeprefix("_current-")) for n in names if n.startswith("_current-"))
+
+
 def publish(df: DataFrame, path: str, *partitions: str) -> None:
-    """Write beside the table, then swap by renames, so that readers see the old or the new rows."""
+    """Write a new version beside the others, then one empty pointer file, whose creation is the swap: readers see all old or all new rows, and a failure before it leaves the table as it was. The version before stays for those who read it; older ones go."""
     spark = df.sparkSession
-    staged, retired = f"{path}.staged", f"{path}.retired"
+    jvm, fs = _folders(spark, path)
+    before = _versions(spark, path)
+    new = before[-1] + 1 if before else 1
     writer = df.write.mode("overwrite")
-    (writer.partitionBy(*partitions) if partitions else writer).parquet(staged)
-    jvm = spark._jvm.org.apache.hadoop.fs
-    fs = jvm.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
-    fs.delete(jvm.Path(retired), True)
-    if fs.exists(jvm.Path(path)) and not fs.rename(jvm.Path(path), jvm.Path(retired)):
-        raise OSError(f"{path} can't be set aside")
-    if not fs.rename(jvm.Path(staged), jvm.Path(path)):
-        raise OSError(f"{staged} can't be published")
-    fs.delete(jvm.Path(retired), True)
+    (writer.partitionBy(*partitions) if partitions else writer).parquet(f"{path}/v={new}")
+    fs.create(jvm.Path(f"{path}/_current-{new}"), False).close()
+    for old in before[:-1]:
+        fs.delete(jvm.Path(f"{path}/_current-{old}"), False)
+        fs.delete(jvm.Path(f"{path}/v={old}"), True)
+
+
+def published(spark: SparkSession, path: str, schema: StructType | None = None) -> DataFrame | None:
+    """The last published version of a table; None if there is none."""
+    versions = _versions(spark, path)
+    if not versions:
+        return None
+    return (spark.read.schema(schema) if schema else spark.read).parquet(f"{path}/v={versions[-1]}")
 
 
 def overwrite_partitions(df: DataFrame, path: str, *partitions: str) -> None:

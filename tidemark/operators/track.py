@@ -47,3 +47,13 @@ def simulated_totals(trades: DataFrame, sims: int, seed: int = 42) -> DataFrame:
 def predictions(scored: pd.DataFrame) -> pd.DataFrame:
     """Predicted and observed shares of each group of a scored sample."""
     return scored.groupby("group", as_index=False).agg(n=("predicted", "size"), predicted=("predicted", "mean"), observed=("observed", "mean"))
+
+
+def running_total(df: DataFrame, order: str, value: str, name: str, width: int = 1 << 16) -> DataFrame:
+    """Df with the sum of value up to each row in the order of a number, without one sorted task: blocks of the order are summed, the sums of the blocks before are added."""
+    block = F.floor(F.col(order) / width)
+    blocked = df.withColumn("_block", block)
+    sums = blocked.groupBy("_block").agg(F.sum(value).alias("_sum"))
+    before = sums.select("_block", F.coalesce(F.sum("_sum").over(Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    inside = F.sum(value).over(Window.partitionBy("_block").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return blocked.withColumn("_inside", inside).join(before, "_block").withColumn(name, F.col("_before") + F.col("_inside")).drop("_block", "_inside", "_before")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import exprs as X
-from tidemark.operators.flow import fill_summary, queue_fills
+from tidemark.operators.flow import flow_between, queue_summary
 from tidemark.operators.joins import asof_last, first_of
 
 # Windows of recent volume in minutes, quantities and price offsets of the training grid.
@@ -72,7 +72,7 @@ def training_grid(quotes: DataFrame, offsets: Sequence[int] = OFFSETS, quantitie
 
 def virtual_orders(orders: DataFrame, tape: DataFrame) -> DataFrame:
     """Orders with recent volumes, features and the outcome of the queue simulator."""
-    done = fill_summary(orders, queue_fills(orders, tape))
+    done = queue_summary(orders, tape)
     return model_features(recent_volume(tape, orders)).join(done, "order_id")
 
 
@@ -100,8 +100,6 @@ def gbt_training_rows(candles: DataFrame, tape: DataFrame, quantities: Sequence[
     sides = F.explode(F.array(*[F.struct(F.lit(s).alias("side"), F.lit(i).alias("step")) for s in ("yes", "no") for i in range(steps + 1)]))
     grid = candles.select("*", sides.alias("c")).select("*", "c.*").drop("c")
     low = F.when(F.col("side") == "yes", F.col("bid")).otherwise(100 - F.col("ask"))
-    placed = grid.withColumn("limit", X.limit_at(low, low + F.col("ask") - F.col("bid"), F.col("step") / F.lit(float(steps)))).withColumn("row_id", F.xxhash64("ticker", "period_us", "seq", "side", "step"))
-    near = placed.join(tape.select("ticker", "ts_us", "yes_cents", "taker_side", "count"), "ticker").where("ts_us > period_us AND ts_us < settled_us")
-    flow = near.groupBy("row_id").agg(F.sum(X.opposing_flow(F.col("side"), F.col("limit"), F.col("yes_cents"), F.col("taker_side"), F.col("count"))).alias("flow"))
-    joined = placed.join(flow, "row_id", "left").withColumn("flow", F.coalesce("flow", F.lit(0)))
+    placed = grid.withColumn("limit", X.limit_at(low, low + F.col("ask") - F.col("bid"), F.col("step") / F.lit(float(steps))))
+    joined = flow_between(placed.withColumn("from_us", F.col("period_us")).withColumn("to_us", F.col("settled_us")), tape)
     return joined.select("ticker", "period_us", "side", "step", "limit", "flow", *[(F.col("flow") >= 0.3 * F.col("open_interest") + q).alias(f"filled_{q}") for q in quantities])

@@ -201,10 +201,9 @@ def k05_overwrite_upsert(m):
     return K.overwrite_upsert(old, new, ["c_custkey"], keep=["nation"])
 
 
-@query(f"SELECT id, CAST(sum(CASE WHEN won THEN 100 - entry ELSE -entry END) OVER (ORDER BY id) AS BIGINT) AS running FROM ({TRADES}) QUALIFY row_number() OVER (ORDER BY id) <= 100", "settled")
+@query(f"SELECT id, CAST(sum(CASE WHEN won THEN 100 - entry ELSE -entry END) OVER (ORDER BY id) AS BIGINT) AS running FROM ({TRADES})", "settled")
 def k15_trade_export(m):
-    first = _trades(m).orderBy("id").limit(100)
-    return first.select("id", F.sum("pnl").over(Window.orderBy("id").rowsBetween(Window.unboundedPreceding, 0)).cast("bigint").alias("running"))
+    return T.running_total(_trades(m), "id", "pnl", "running").select("id", F.col("running").cast("bigint").alias("running"))
 
 
 @query("SELECT gp, topic, CAST(mid2 // 10 AS INTEGER) AS bucket, count(DISTINCT ticker) AS markets, CAST(count(*) AS BIGINT) AS n FROM observations GROUP BY ALL HAVING count(DISTINCT ticker) >= 20", "observations")

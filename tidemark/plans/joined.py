@@ -6,6 +6,7 @@ from tidemark.operators import calibration as C
 from tidemark.operators import flow as W
 from tidemark.operators import joins as J
 from tidemark.operators import sinks as K
+from tidemark.operators import strategy as S
 from tidemark.plans.catalog import query
 
 ASOF = "SELECT s.ticker, s.event_ticker, s.result, s.settled_us, c.bid, c.ask, c.volume, c.period_us FROM settled s LEFT JOIN (SELECT s.ticker, c.bid, c.ask, c.volume, c.period_us, row_number() OVER (PARTITION BY s.ticker ORDER BY c.period_us DESC, c.seq DESC) AS rn FROM settled s JOIN candles c ON s.ticker = c.ticker AND c.period_us < s.settled_us AND c.ask - c.bid <= 20) c ON s.ticker = c.ticker AND rn = 1"
@@ -126,15 +127,14 @@ def j18_interpolate(m):
 
 @query("SELECT event_ticker, y, n, total FROM (SELECT a.event_ticker, a.o_orderkey AS y, b.o_orderkey AS n, CAST(floor(a.o_totalprice) AS BIGINT) + CAST(floor(b.o_totalprice) AS BIGINT) AS total, row_number() OVER (PARTITION BY a.event_ticker ORDER BY CAST(floor(a.o_totalprice) AS BIGINT) + CAST(floor(b.o_totalprice) AS BIGINT) DESC, a.o_orderkey, b.o_orderkey) AS rn FROM settled a JOIN settled b ON a.event_ticker = b.event_ticker AND a.o_orderkey < b.o_orderkey WHERE a.result = 'yes' AND b.result = 'no') WHERE rn = 1", "settled")
 def j21_best_pairs(m):
-    leg = lambda r, n: m.settled.where(F.col("result") == r).select("event_ticker", F.col("o_orderkey").alias(n), F.floor("o_totalprice").alias(f"v_{n}"))
-    pairs = leg("yes", "y").join(leg("no", "n"), "event_ticker").where("y < n").withColumn("total", F.col("v_y") + F.col("v_n"))
-    return J.first_of(pairs, ["event_ticker"], F.col("total").desc(), F.col("y"), F.col("n")).select("event_ticker", "y", "n", "total")
+    legs = m.settled.where("result IS NOT NULL").select("event_ticker", "result", F.col("o_orderkey").alias("order"), F.col("o_orderkey").alias("key"), F.floor("o_totalprice").alias("v"))
+    return S.best_ordered_pair(legs, "event_ticker", "result", "order", "v", "key").select("event_ticker", F.col("y_key").alias("y"), F.col("n_key").alias("n"), (F.col("y_v") + F.col("n_v")).alias("total"))
 
 
-@query("SELECT s.ticker, d.side, d.step FROM settled s, (SELECT unnest(['yes', 'no']) AS side) x, LATERAL (SELECT x.side AS side, unnest(range(0, 11)) AS step) d WHERE o_orderkey % 50 = 0", "settled")
+@query("SELECT s.ticker, d.side, d.step FROM settled s, (SELECT unnest(['yes', 'no']) AS side) x, LATERAL (SELECT x.side AS side, unnest(range(0, 11)) AS step) d", "settled")
 def j22_price_grid(m):
     sides, steps = F.explode(F.array(F.lit("yes"), F.lit("no"))), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(10).cast("bigint")))
-    return m.settled.where("o_orderkey % 50 = 0").select("ticker").withColumn("side", sides).withColumn("step", steps)
+    return m.settled.select("ticker").withColumn("side", sides).withColumn("step", steps)
 
 
 @query("SELECT ticker, coalesce(result, first_result) AS result FROM settled s LEFT JOIN (SELECT series, arg_min(result, o_orderkey) AS first_result FROM settled WHERE result IS NOT NULL GROUP BY series) f ON s.series = f.series", "settled")
@@ -167,9 +167,17 @@ def q31_structure_map(m):
     return m.settled.join(won, "ticker", "full").select("ticker", "settled_result", F.coalesce("settled_result", "o_orderpriority").alias("structure"))
 
 
-@query("SELECT l_orderkey AS k, l_linenumber AS l, arg_max(l_partkey, (prec, l_partkey)) AS v FROM (SELECT *, CASE WHEN l_returnflag = 'N' THEN 0 ELSE 1 END AS prec FROM lineitem) GROUP BY ALL")
+SPLICE_SQL = """WITH r AS (SELECT l_orderkey AS k, l_linenumber AS l, l_partkey AS v, l_returnflag <> 'N' AS historical FROM lineitem),
+stored AS (SELECT k, l, arg_max(v, (historical, v)) AS v, bool_or(historical) AS historical FROM r WHERE v % 2 = 0 GROUP BY ALL),
+past AS (SELECT k, l, max(v) AS v FROM r WHERE v % 2 = 1 AND historical GROUP BY ALL), live AS (SELECT k, l, max(v) AS v FROM r WHERE v % 2 = 1 AND NOT historical GROUP BY ALL),
+-- a historical row is inserted, or updates only where the stored origin is live; a live row is inserted or ignored
+after_past AS (SELECT coalesce(s.k, p.k) AS k, coalesce(s.l, p.l) AS l, CASE WHEN s.k IS NULL OR NOT s.historical AND p.k IS NOT NULL THEN p.v ELSE s.v END AS v FROM stored s FULL JOIN past p ON s.k = p.k AND s.l = p.l)
+SELECT coalesce(a.k, b.k) AS k, coalesce(a.l, b.l) AS l, coalesce(a.v, b.v) AS v FROM after_past a FULL JOIN live b ON a.k = b.k AND a.l = b.l"""
+
+
+@query(SPLICE_SQL)
 def k01_splice(m):
-    """Historical rows replace live ones of the same key; live ones never replace."""
+    """Historical rows replace stored live ones of the same key; stored historical ones stay, and live ones never replace."""
     rows = m.raw("lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("l"), F.col("l_partkey").alias("v"), F.when(F.col("l_returnflag") == "N", "live").otherwise("historical").alias("origin"))
     old, new = rows.where("v % 2 = 0"), rows.where("v % 2 = 1")
     return K.splice(old, new, ["k", "l"], "origin", F.col("v").desc()).select("k", "l", "v")

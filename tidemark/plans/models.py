@@ -79,13 +79,13 @@ p AS (SELECT k.*, first_us + 3600000000 * g.i AS at_us FROM tape_markets k JOIN
 v AS (SELECT p.ticker, p.at_us, p.gp, p.topic, p.result, (p.settled_us - p.at_us) / 3.6e9 AS hours, coalesce(sum(t.count) FILTER (WHERE t.ts_us >= p.at_us - 86400000000 AND t.ts_us < p.at_us), 0) AS volume, {sums} FROM p LEFT JOIN tape t ON p.ticker = t.ticker AND t.ts_us < p.settled_us GROUP BY ALL),
 o AS (SELECT gp, topic, CASE WHEN hours < 1 THEN '<1h' WHEN hours < 3 THEN '1-3h' WHEN hours < 6 THEN '3-6h' WHEN hours < 12 THEN '6-12h' WHEN hours < 24 THEN '12-24h' WHEN hours < 72 THEN '1-3d' ELSE '3-7d' END AS time_bucket, side, price, CASE WHEN volume = 0 THEN 'dead' WHEN volume <= 100 THEN 'low' WHEN volume <= 1000 THEN 'moderate' WHEN volume <= 10000 THEN 'active' ELSE 'high' END AS vol_bucket, CASE WHEN result = side THEN 'won' ELSE 'lost' END AS outcome, flow FROM ({union}))
 """.format(
-    sums=", ".join(f"coalesce(sum(t.count) FILTER (WHERE t.ts_us > p.at_us AND {c}), 0) AS {s}_{p}" for s in ("yes", "no") for p in (85, 90, 97) for c in [f"t.taker_side = 'no' AND t.yes_cents <= {p}" if s == "yes" else f"t.taker_side = 'yes' AND t.yes_cents >= {100 - p}"]),
-    union=" UNION ALL ".join(f"SELECT gp, topic, hours, volume, result, '{s}' AS side, {p} AS price, {s}_{p} AS flow FROM v" for s in ("yes", "no") for p in (85, 90, 97)),
+    sums=", ".join(f"coalesce(sum(t.count) FILTER (WHERE t.ts_us > p.at_us AND {c}), 0) AS {s}_{p}" for s in ("yes", "no") for p in range(85, 98) for c in [f"t.taker_side = 'no' AND t.yes_cents <= {p}" if s == "yes" else f"t.taker_side = 'yes' AND t.yes_cents >= {100 - p}"]),
+    union=" UNION ALL ".join(f"SELECT gp, topic, hours, volume, result, '{s}' AS side, {p} AS price, {s}_{p} AS flow FROM v" for s in ("yes", "no") for p in range(85, 98)),
 )
 
 
 def _flow(m):
-    return W.flow_observations(m.tape, m.tape_markets, (85, 90, 97))
+    return W.flow_observations(m.tape, m.tape_markets)
 
 
 @query(FLOW_SQL + "SELECT gp, topic, time_bucket, side, vol_bucket, CAST(price AS INTEGER) AS price, outcome, CAST(count(*) AS BIGINT) AS n, CAST(sum(flow) AS BIGINT) AS flow FROM o GROUP BY ALL", "tape_markets")
@@ -120,7 +120,7 @@ def m01_touches(m):
     return grid.select("ticker", "period_us", "seq", "lim", t("yes").alias("yes_touch"), t("no").alias("no_touch"))
 
 
-QUEUE_SQL = """WITH q AS (SELECT trade_id AS order_id, ticker, CASE WHEN trade_id % 40 = 0 THEN 'yes' ELSE 'no' END AS side, 90 AS lim, 30 AS quantity, 20 AS ahead, ts_us AS placed_us, ts_us + 864000000000 AS end_us FROM tape WHERE trade_id % 20 = 0),
+QUEUE_SQL = """WITH q AS (SELECT trade_id AS order_id, ticker, CASE WHEN trade_id % 40 = 0 THEN 'yes' ELSE 'no' END AS side, 90 AS lim, 30 AS quantity, 20 AS ahead, ts_us AS placed_us, ts_us + 864000000000 AS end_us FROM tape),
 h AS (SELECT q.*, t.ts_us, t.trade_id, t.count AS v, CASE WHEN side = 'yes' THEN yes_cents < lim ELSE 100 - yes_cents < lim END AS past FROM q JOIN tape t ON q.ticker = t.ticker AND t.ts_us BETWEEN q.placed_us AND q.end_us WHERE side = 'yes' AND taker_side = 'no' AND yes_cents <= lim OR side = 'no' AND taker_side = 'yes' AND yes_cents >= 100 - lim),
 w AS (SELECT *, max(CAST(past AS INTEGER)) OVER (PARTITION BY order_id ORDER BY ts_us, trade_id) = 1 AS swept FROM h),
 r AS (SELECT *, least(quantity, greatest(0, sum(CASE WHEN swept THEN 0 ELSE v END) OVER x - ahead) + sum(CASE WHEN swept THEN v ELSE 0 END) OVER x) AS filled FROM w WINDOW x AS (PARTITION BY order_id ORDER BY ts_us, trade_id)),
@@ -130,8 +130,8 @@ SELECT q.order_id, CAST(coalesce(sum(fill), 0) AS BIGINT) AS filled, (min(ts_us)
 
 @query(QUEUE_SQL, "tape")
 def m05_queue_simulator(m):
-    orders = m.tape.where("trade_id % 20 = 0").select(F.col("trade_id").alias("order_id"), "ticker", F.when(F.col("trade_id") % 40 == 0, "yes").otherwise("no").alias("side"), F.lit(90).alias("limit"), F.lit(30).alias("quantity"), F.lit(20).alias("ahead"), F.col("ts_us").alias("placed_us"), (F.col("ts_us") + 864_000_000_000).alias("end_us"))
-    return W.fill_summary(orders, W.queue_fills(orders, m.tape)).select("order_id", F.col("filled").cast("bigint").alias("filled"), "first_s")
+    orders = m.tape.select(F.col("trade_id").alias("order_id"), "ticker", F.when(F.col("trade_id") % 40 == 0, "yes").otherwise("no").alias("side"), F.lit(90).alias("limit"), F.lit(30).alias("quantity"), F.lit(20).alias("ahead"), F.col("ts_us").alias("placed_us"), (F.col("ts_us") + 864_000_000_000).alias("end_us"))
+    return W.queue_summary(orders, m.tape).select("order_id", F.col("filled").cast("bigint").alias("filled"), "first_s")
 
 
 def _candidates(m):
@@ -148,7 +148,7 @@ def r01_ev_scan(m):
 
 @query()
 def r08_replay(m):
-    """Sequential by nature: tests hold it against vectors."""
-    c = _candidates(m).withColumn("scenario", F.col("gp"))
+    """A replay for each process and month of placement, so that scenarios grow with the data. Sequential within one: tests hold it against a loop over events."""
+    c = _candidates(m).withColumn("scenario", F.concat_ws(" ", "gp", F.date_format(F.timestamp_micros("period_us"), "yyyy-MM")))
     rows = c.select("scenario", "period_us", F.lit(0).alias("rank"), "ticker", "event_ticker", "side", F.col("limit").alias("price"), "contracts", F.col("contracts").alias("filled"), F.col("period_us").alias("filled_us"), "settled_us", "result")
     return S.replay(rows, 10_000, S.Limits())

@@ -18,9 +18,9 @@ def j20_lifecycle_quotes(m):
     return V.lifecycle_quotes(markets, m.candles, (0.25, 0.5, 0.75), ["bid"]).select("ticker", "fraction", F.col("matched_at").alias("period_us"), "bid")
 
 
-@query("SELECT o.trade_id AS order_id, CAST(coalesce(sum(t.count) FILTER (WHERE t.ts_us >= o.ts_us - 1800000000), 0) AS BIGINT) AS volume_30m, CAST(coalesce(sum(t.count), 0) AS BIGINT) AS volume_2h FROM tape o LEFT JOIN tape t ON o.ticker = t.ticker AND t.ts_us < o.ts_us AND t.ts_us >= o.ts_us - 7200000000 WHERE o.trade_id % 7 = 0 GROUP BY ALL", "tape")
+@query("SELECT o.trade_id AS order_id, CAST(coalesce(sum(t.count) FILTER (WHERE t.ts_us >= o.ts_us - 1800000000), 0) AS BIGINT) AS volume_30m, CAST(coalesce(sum(t.count), 0) AS BIGINT) AS volume_2h FROM tape o LEFT JOIN tape t ON o.ticker = t.ticker AND t.ts_us < o.ts_us AND t.ts_us >= o.ts_us - 7200000000 GROUP BY ALL", "tape")
 def w07_recent_volumes(m):
-    orders = m.tape.where("trade_id % 7 = 0").select(F.col("trade_id").alias("order_id"), "ticker", F.col("ts_us").alias("placed_us"))
+    orders = m.tape.select(F.col("trade_id").alias("order_id"), "ticker", F.col("ts_us").alias("placed_us"))
     return V.recent_volume(m.tape, orders).select("order_id", "volume_30m", "volume_2h")
 
 
@@ -34,9 +34,9 @@ def m10_first_tail_backtest(m):
     return V.first_tail_backtest(m.candles, m.settled.select("ticker", "result", "settled_us"))
 
 
-@query("SELECT seq, side, CAST(lim AS INTEGER) AS lim, CAST(count(*) AS BIGINT) AS n, CAST(sum(q) AS BIGINT) AS contracts FROM (SELECT seq, 'yes' AS side, bid + o AS lim FROM candles, range(-4, 5) r(o) WHERE bid > 95 UNION ALL SELECT seq, 'no', 100 - ask + o FROM candles, range(-4, 5) r(o) WHERE bid > 95), (VALUES (1), (5), (10), (20), (50)) v(q) WHERE lim BETWEEN 1 AND 99 GROUP BY ALL", "candles")
+@query("SELECT seq, side, CAST(lim AS INTEGER) AS lim, CAST(count(*) AS BIGINT) AS n, CAST(sum(q) AS BIGINT) AS contracts FROM (SELECT seq, 'yes' AS side, bid + o AS lim FROM candles, range(-4, 5) r(o) UNION ALL SELECT seq, 'no', 100 - ask + o FROM candles, range(-4, 5) r(o)), (VALUES (1), (5), (10), (20), (50)) v(q) WHERE lim BETWEEN 1 AND 99 GROUP BY ALL", "candles")
 def m07_training_grid(m):
-    grid = V.training_grid(m.candles.where("bid > 95"))
+    grid = V.training_grid(m.candles)
     return grid.groupBy("seq", "side", F.col("limit").alias("lim")).agg(F.count("*").alias("n"), F.sum("quantity").alias("contracts"))
 
 
@@ -54,12 +54,12 @@ def m03_candle_fills(m):
 
 @query(
     """SELECT ticker, period_us, side, CAST(sum(flow) AS BIGINT) AS flow, CAST(sum(CASE WHEN flow >= 0.3 * 10 + 5 THEN 1 ELSE 0 END) AS BIGINT) AS filled FROM (SELECT g.ticker, g.period_us, g.side, g.step, coalesce(sum(CASE WHEN side = 'yes' AND taker_side = 'no' AND yes_cents <= lim OR side = 'no' AND taker_side = 'yes' AND yes_cents >= 100 - lim THEN t.count END), 0) AS flow
-    FROM (SELECT q.*, s.side, r.step, greatest(1, least(99, CASE WHEN s.side = 'yes' THEN 86 ELSE 4 END + CAST(round_even(r.step / 10.0::DOUBLE * 10, 0) AS INTEGER))) AS lim FROM (SELECT ticker, ts_us AS period_us, trade_id AS seq FROM tape WHERE trade_id % 25 = 0) q, (VALUES ('yes'), ('no')) s(side), range(0, 11) r(step)) g
+    FROM (SELECT q.*, s.side, r.step, greatest(1, least(99, CASE WHEN s.side = 'yes' THEN 86 ELSE 4 END + CAST(round_even(r.step / 10.0::DOUBLE * 10, 0) AS INTEGER))) AS lim FROM (SELECT ticker, ts_us AS period_us, trade_id AS seq FROM tape) q, (VALUES ('yes'), ('no')) s(side), range(0, 11) r(step)) g
     JOIN tape_markets k ON g.ticker = k.ticker LEFT JOIN tape t ON g.ticker = t.ticker AND t.ts_us > g.period_us AND t.ts_us < k.settled_us GROUP BY ALL) GROUP BY ALL""",
     "tape_markets",
 )
 def c09_training_rows(m):
-    quotes = m.tape.where("trade_id % 25 = 0").select("ticker", F.col("ts_us").alias("period_us"), F.col("trade_id").alias("seq"), F.lit(86).alias("bid"), F.lit(96).alias("ask"), F.lit(10).alias("open_interest")).join(m.tape_markets.select("ticker", "settled_us"), "ticker")
+    quotes = m.tape.select("ticker", F.col("ts_us").alias("period_us"), F.col("trade_id").alias("seq"), F.lit(86).alias("bid"), F.lit(96).alias("ask"), F.lit(10).alias("open_interest")).join(m.tape_markets.select("ticker", "settled_us"), "ticker")
     rows = V.gbt_training_rows(quotes, m.tape, (5,))
     return rows.groupBy("ticker", "period_us", "side").agg(F.sum("flow").cast("bigint").alias("flow"), F.count_if("filled_5").alias("filled"))
 

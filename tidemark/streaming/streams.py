@@ -8,8 +8,11 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tidemark.session import shared_folder
+
 
 def files(spark: SparkSession, path: str, schema: str, per_trigger: int = 100) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", per_trigger).parquet(path)
@@ -45,14 +48,18 @@ def with_static(stream: DataFrame, static: DataFrame, key: str) -> DataFrame:
 
 
 def drawdowns(stream: DataFrame, key: str) -> DataFrame:
-    """ST10, ST11: running pnl, peak and drawdown of each key, kept between batches. Rows of a batch go by id."""
+    """ST10, ST11: running pnl, peak and drawdown of each key, kept between batches.
+
+    Rows of a micro-batch come in Arrow batches, and each is folded into the state by itself, in the order of id within it;
+    a file stream of one file a trigger keeps the order of files. A key's rows are never all in memory.
+    """
 
     def update(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         cum, peak, n = state.get if state.exists else (0, 0, 0)
-        rows = pd.concat(list(batches)).sort_values("id")
-        for pnl in rows["pnl"]:
-            cum, n = cum + int(pnl), n + 1
-            peak = max(peak, cum)
+        for rows in batches:
+            running = cum + rows.sort_values("id")["pnl"].cumsum()
+            if len(running):
+                cum, peak, n = int(running.iloc[-1]), max(peak, int(running.max())), n + len(running)
         state.update((cum, peak, n))
         yield pd.DataFrame({"key": [k[0]], "n": [n], "cum": [cum], "peak": [peak], "drawdown": [peak - cum]})
 
@@ -60,24 +67,37 @@ def drawdowns(stream: DataFrame, key: str) -> DataFrame:
 
 
 def spliced(stream: DataFrame, table: str, keys: list[str], checkpoint: str):
-    """ST05: late and corrected rows: each batch is spliced into the table at a path, historical over live."""
-    from tidemark.operators.sinks import publish, splice
+    """ST05: late and corrected rows: each batch is spliced into the published table at a path, historical over live. A batch that is repeated after a failure changes nothing more."""
+    from tidemark.operators.sinks import publish, published, splice
 
     def merge(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
-        jvm = spark._jvm.org.apache.hadoop.fs
-        exists = jvm.Path(table).getFileSystem(spark._jsc.hadoopConfiguration()).exists(jvm.Path(table))
-        old = spark.read.schema(batch.schema).parquet(table) if exists else batch.limit(0)
-        publish(splice(old, batch, keys, "origin", F.xxhash64(*batch.columns)), table)
+        old = published(batch.sparkSession, table, batch.schema)
+        publish(splice(batch.limit(0) if old is None else old, batch, keys, "origin", F.xxhash64(*batch.columns)), table)
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True)
 
 
+def polled(stream: DataFrame, path: str, checkpoint: str, every: str = "5 minutes"):
+    """ST01, ST02, ST06: micro-batches at an interval, into Parquet. Offsets are in the checkpoint, from which a restart goes on."""
+    return stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(processingTime=every)
+
+
+def progress(query: StreamingQuery) -> list[dict]:
+    """ST13: batch, rows and rows a second of the recent micro-batches."""
+    return [{"batch": p.batchId, "rows": p.numInputRows, "rows_per_second": p.processedRowsPerSecond} for p in query.recentProgress]
+
+
+def stopped(query: StreamingQuery, seconds: int = 60) -> bool:
+    """ST14: take up what is there, then stop; whether the query ended in time."""
+    query.processAllAvailable()
+    query.stop()
+    return bool(query.awaitTermination(seconds))
+
+
 def run_once(stream: DataFrame, name: str, mode: str = "append", each: Callable | None = None) -> DataFrame:
     """ST03: all that is there, once, as a table in Parquet under the shared folder; no row passes through the driver. In complete mode the last batch is the table, otherwise all batches are."""
     spark = stream.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
-    path, schema, done = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}", stream.schema, []
+    path, schema, done = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}", stream.schema, []
 
     def write(batch: DataFrame, n: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/batches/{n}")
