@@ -88,10 +88,10 @@ def filled_by_passes(rows: DataFrame, column: str, passes: Sequence[tuple[DataFr
     return out.select(*[F.coalesce(*found).alias(column) if c == column else F.col(c) for c in rows.columns])
 
 
-def missing_months(df: DataFrame, time_us: str) -> DataFrame:
-    """Months between the first and the last row that have none."""
+def missing_months(df: DataFrame, time_us: str, *keys: str) -> DataFrame:
+    """Of each key, or of all rows, months between the first and the last row that have none."""
     month = F.date_trunc("month", F.timestamp_micros(F.col(time_us))).cast("date")
-    have = df.select(month.alias("month")).distinct()
-    ends = have.agg(F.min("month").alias("a"), F.max("month").alias("b"))
-    every = ends.select(F.explode(F.expr("sequence(a, b, interval 1 month)")).alias("month"))
-    return every.join(have, "month", "left_anti")
+    have = df.select(*keys, month.alias("month")).distinct()
+    ends = have.groupBy(*keys).agg(F.min("month").alias("a"), F.max("month").alias("b"))
+    every = ends.select(*keys, F.explode(F.expr("sequence(a, b, interval 1 month)")).alias("month"))
+    return every.join(have, [*keys, "month"], "left_anti")

@@ -85,10 +85,10 @@ def j10_latest_run(m):
     return J.first_of(m.raw("events"), ["event_type"], F.col("event_id").desc()).select(F.col("event_type").alias("dataset_id"), F.col("event_id").alias("last_run"), "value")
 
 
-@query("WITH h AS (SELECT DISTINCT CAST(date_trunc('month', l_shipdate) AS DATE) AS month FROM lineitem WHERE l_partkey = 7) SELECT strftime(CAST(g.m AS DATE), '%Y-%m') AS month FROM generate_series((SELECT min(month) FROM h)::TIMESTAMP, (SELECT max(month) FROM h)::TIMESTAMP, INTERVAL 1 MONTH) g(m) WHERE CAST(g.m AS DATE) NOT IN (SELECT month FROM h)")
+@query("WITH h AS (SELECT DISTINCT l_partkey AS part, CAST(date_trunc('month', l_shipdate) AS DATE) AS month FROM lineitem), g AS (SELECT part, CAST(unnest(generate_series(min(month)::TIMESTAMP, max(month)::TIMESTAMP, INTERVAL 1 MONTH)) AS DATE) AS month FROM h GROUP BY part) SELECT part, strftime(g.month, '%Y-%m') AS month FROM g ANTI JOIN h USING (part, month)")
 def j11_missing_months(m):
-    rows = m.raw("lineitem").where("l_partkey = 7").select(F.unix_micros(F.col("l_shipdate").cast("timestamp")).alias("at_us"))
-    return J.missing_months(rows, "at_us").select(F.date_format("month", "yyyy-MM").alias("month"))
+    rows = m.raw("lineitem").select(F.col("l_partkey").alias("part"), F.unix_micros(F.col("l_shipdate").cast("timestamp")).alias("at_us"))
+    return J.missing_months(rows, "at_us", "part").select("part", F.date_format("month", "yyyy-MM").alias("month"))
 
 
 @query("SELECT ticker FROM settled s WHERE EXISTS (SELECT 1 FROM candles c WHERE c.ticker = s.ticker AND c.volume > 50 AND c.period_us < s.settled_us)", "candles")
