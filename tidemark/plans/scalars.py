@@ -54,10 +54,10 @@ def x18_limit_at(m):
     return m.candles.select("ticker", "seq", X.limit_at(F.col("bid"), F.col("ask"), F.lit(0.3)).cast("int").alias("lim"))
 
 
-@query("SELECT ticker, seq, round((mid - 0.5) / greatest(hours / 24.0, 1 / 48.0::DOUBLE), 6) AS per_day, round(CASE WHEN hours > 0 THEN (mid - 0.5) / (hours / 24.0) ELSE mid - 0.5 END, 6) AS no_floor FROM observations", "observations")
+@query("SELECT ticker, seq, round((mid - 0.5) / greatest(hours / 24.0, 1 / 48.0::DOUBLE), 9) AS per_day, round(CASE WHEN hours > 0 THEN (mid - 0.5) / (hours / 24.0) ELSE mid - 0.5 END, 9) AS no_floor FROM observations", "observations")
 def x21_edge_per_day(m):
     edge, days = F.col("mid") - 0.5, F.col("hours") / F.lit(24.0)
-    return m.observations.select("ticker", "seq", F.round(X.edge_per_day(edge, days), 6).alias("per_day"), F.round(R.ev_per_day(edge, days), 6).alias("no_floor"))
+    return m.observations.select("ticker", "seq", F.round(X.edge_per_day(edge, days), 9).alias("per_day"), F.round(R.ev_per_day(edge, days), 9).alias("no_floor"))
 
 
 @query(f"SELECT trade_id, round(p * 0.3 * (100 - yes_cents - fee) - (1 - p) * 0.7 * (yes_cents + fee), 6) AS ev FROM (SELECT *, CASE WHEN taker_side = 'no' THEN 1 - 0.95::DOUBLE ELSE 0.95::DOUBLE END AS p, {FEE.format(c='yes_cents', q=1)} AS fee FROM tape)", "tape")
