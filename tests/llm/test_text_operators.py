@@ -309,7 +309,7 @@ def test_digest_in_columns_equals_signing(odd):
 
 def test_blocks_of_a_large_cluster(spark, monkeypatch):
     """More near copies than a block holds: every link is counted once."""
-    monkeypatch.setattr(jaccard_join, "LEAST", 8)
+    monkeypatch.setattr(jaccard_join, "LEAST", 4)
     base = [f"w{i}" for i in range(60)]
     rows = [(i, " ".join([*base[: i % 50 + 5], f"new{i}", *base[i % 50 + 5 :]])) for i in range(40)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")

@@ -33,8 +33,8 @@ HASHES = TREES * DEPTH
 TARGET = 0.9999
 #: Pairs whose signatures agree in a smaller share than this aren't verified: five standard errors below the threshold.
 NEAR = 0.8 - 5 * (0.8 * 0.2 / HASHES) ** 0.5
-#: Texts in a block of a node or a cluster: the least and the most. Groups of more than the least are cut into eight blocks, larger ones into more.
-LEAST, BLOCK, SPREAD = 256, 2048, 8
+#: Texts in a block of a node or a cluster: the least and the most. Groups of more than the least are cut into up to SPREAD blocks, larger ones into more.
+LEAST, BLOCK, SPREAD = 128, 2048, 16
 #: Words in a block of a cluster, about.
 BLOCK_WORDS = 1 << 20
 
