@@ -32,7 +32,7 @@ TERM_BITS = 13
 FACTORS, TESTS = 48, 64
 COSINE = 0.45
 #: Bits of a set of terms.
-SET_BITS = 512
+SET_BITS = 2048
 #: An item may be spread over so many times its own words.
 SPREAD = 3
 #: Leak at so large a part of the item in order, or at a smaller one if the answer is there.
@@ -182,11 +182,10 @@ def _unit(x: np.ndarray) -> np.ndarray:
 
 def _bits(runs_: np.ndarray) -> np.ndarray:
     """(runs, SET_BITS / 64): the bits that the terms of each run set."""
-    out = np.zeros((len(runs_), SET_BITS // 64), np.uint64)
-    for k in range(SET_BITS // 64):
-        hit = (runs_ < TERMS) & ((runs_ >> 6) % (SET_BITS // 64) == k)
-        out[:, k] = np.bitwise_or.reduce(np.where(hit, np.uint64(1) << (runs_ % 64).astype(np.uint64), np.uint64(0)), axis=1)
-    return out
+    out = np.zeros((len(runs_), SET_BITS), bool)
+    row, place = np.nonzero(runs_ < TERMS)
+    out[row, runs_[row, place] % SET_BITS] = True
+    return np.packbits(out, axis=1).view(np.uint64)
 
 
 def _around(bits: np.ndarray, text: np.ndarray, many: int) -> np.ndarray:
@@ -268,8 +267,8 @@ def _within(part: np.ndarray, whole: np.ndarray) -> bool:
     return len(part) > 0 and len(whole) >= len(part) and bool((np.lib.stride_tricks.sliding_window_view(whole, len(part)) == part).all(1).any())
 
 
-def close_keys(items: Items, w: Words) -> Iterator[tuple[int, int, int, int]]:
-    """(text, item, low, high): neighbouring blocks of span words that have enough rare words of an item together; each stretch of span words lies within two such blocks."""
+def close_keys(items: Items, w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """text, item, low and high of candidates: neighbouring blocks of span words that have enough rare words of an item together; each stretch of span words lies within two such blocks."""
     at = np.flatnonzero(items.maybe[w.hash >> np.uint64(48)])
     place = np.searchsorted(items.key, w.hash[at])
     right = items.key[np.minimum(place, len(items.key) - 1)] == w.hash[at]
@@ -289,7 +288,7 @@ def close_keys(items: Items, w: Words) -> Iterator[tuple[int, int, int, int]]:
     item, begin = item[good], begin[good]
     text = np.searchsorted(w.first, begin, "right") - 1
     high = np.minimum(w.first[text + 1], begin + 2 * items.span[item])
-    yield from zip(text.tolist(), item.tolist(), begin.tolist(), high.tolist(), strict=True)
+    return text, item, begin, high
 
 
 def search(items: Items, table: np.ndarray, w: Words) -> Iterator[tuple[int, int, float, float, bool]]:
@@ -322,8 +321,19 @@ def search(items: Items, table: np.ndarray, w: Words) -> Iterator[tuple[int, int
                 doc, which, p = int(text[at[k]]), int(item[k]), int(start[at[k]])
                 n = len(items.words[which])
                 best.setdefault((doc, which), []).append((max(int(w.first[doc]), p - n), min(int(w.first[doc + 1]), p + PASSAGE + n)))
-    for doc, which, low, high in close_keys(items, w):
-        best.setdefault((doc, which), []).append((low, high))
+    of_text, of_item, low, high = close_keys(items, w)
+    if len(low):
+        # regions as ranges of runs: the bits of all of them, two numbers a range, of which every other result counts
+        runs_before = np.searchsorted(text, np.arange(len(w.first) - 1))
+        begin = runs_before[of_text] + (low - w.first[of_text]) // STEP
+        end = runs_before[of_text] + (high - 1 - w.first[of_text]) // STEP + 1
+        padded = np.concatenate([run_bits, np.zeros((1, run_bits.shape[1]), np.uint64)])
+        for k in range(0, len(low), 8192):
+            some = slice(k, k + 8192)
+            inside = np.bitwise_or.reduceat(padded, np.stack([begin[some], end[some]], axis=1).ravel(), axis=0)[::2]
+            enough = np.bitwise_count(inside & items.bits[of_item[some]]).sum(1) >= items.need[of_item[some]]
+            for j in (np.flatnonzero(enough) + k).tolist():
+                best.setdefault((int(of_text[j]), int(of_item[j])), []).append((int(low[j]), int(high[j])))
     for (doc, which), places in best.items():
         covered, answer, done = 0.0, False, -1
         for low, high in sorted(set(places)):
