@@ -188,15 +188,29 @@ def _bits(runs_: np.ndarray) -> np.ndarray:
     return np.packbits(out, axis=1).view(np.uint64)
 
 
-def _around(bits: np.ndarray, text: np.ndarray, many: int) -> np.ndarray:
-    """For each run the bits of it, the next one, and so many before and after, as far as they are the same text's."""
-    out = bits.copy()
-    for k in range(-many, many + 2):
-        if k > 0:
-            out[:-k] |= np.where((text[k:] == text[:-k])[:, None], bits[k:], np.uint64(0))
-        elif k < 0:
-            out[-k:] |= np.where((text[:k] == text[-k:])[:, None], bits[:k], np.uint64(0))
-    return out
+class RunBits:
+    """Bits of ranges of runs, each from two ranges of a power of two: a range costs the same however long it is."""
+
+    def __init__(self, bits: np.ndarray, longest: int):
+        self.tables = [bits]
+        while 2 ** len(self.tables) <= longest:
+            last, step = self.tables[-1], 2 ** (len(self.tables) - 1)
+            wider = last.copy()
+            if len(last) > step:
+                wider[:-step] |= last[step:]
+            self.tables.append(wider)
+
+    def enough(self, begin: np.ndarray, end: np.ndarray, of: np.ndarray, need: np.ndarray) -> np.ndarray:
+        """Which ranges have so many of the bits of `of`."""
+        out = np.zeros(len(begin), bool)
+        level = np.log2(end - begin).astype(int)
+        for k in np.unique(level).tolist():
+            rows = np.flatnonzero(level == k)
+            for i in range(0, len(rows), 4096):
+                r = rows[i : i + 4096]
+                inside = (self.tables[k][begin[r]] | self.tables[k][end[r] - 2**k]) & of[r]
+                out[r] = np.bitwise_count(inside).sum(1) >= need[r]
+        return out
 
 
 class Items:
@@ -306,34 +320,25 @@ def search(items: Items, table: np.ndarray, w: Words) -> Iterator[tuple[int, int
     vectors[follows[window]] += part[window[follows[window]] + 1]
     vectors = _unit(vectors)
     best: dict[tuple[int, int], list[tuple[int, int]]] = {}
-    around: dict[int, np.ndarray] = {}
+    first_run = np.searchsorted(text, np.arange(len(w.first)))
+    ranges = RunBits(run_bits, 2 * int(items.span.max()) // STEP + 2)
     rows = max(1, AT_ONCE // len(items.item))
     for i in range(0, len(window), rows):
         hit = np.flatnonzero((vectors[i : i + rows] @ items.vectors.T).ravel() >= COSINE)
         at, query = np.divmod(hit, len(items.item))
         at, item = window[at + i], items.item[query]
-        for reach in np.unique(items.reach[item]).tolist():
-            mine = np.flatnonzero(items.reach[item] == reach)
-            if reach not in around:
-                around[reach] = _around(run_bits, text, reach)
-            enough = np.bitwise_count(around[reach][at[mine]] & items.bits[item[mine]]).sum(1) >= items.need[item[mine]]
-            for k in mine[enough].tolist():
-                doc, which, p = int(text[at[k]]), int(item[k]), int(start[at[k]])
-                n = len(items.words[which])
-                best.setdefault((doc, which), []).append((max(int(w.first[doc]), p - n), min(int(w.first[doc + 1]), p + PASSAGE + n)))
+        # a window and as many words before and after it as the item has
+        begin = np.maximum(first_run[text[at]], at - items.reach[item])
+        end = np.minimum(first_run[text[at] + 1], at + 2 + items.reach[item])
+        for k in np.flatnonzero(ranges.enough(begin, end, items.bits[item], items.need[item])).tolist():
+            doc, which, p = int(text[at[k]]), int(item[k]), int(start[at[k]])
+            n = len(items.words[which])
+            best.setdefault((doc, which), []).append((max(int(w.first[doc]), p - n), min(int(w.first[doc + 1]), p + PASSAGE + n)))
     of_text, of_item, low, high = close_keys(items, w)
-    if len(low):
-        # regions as ranges of runs: the bits of all of them, two numbers a range, of which every other result counts
-        runs_before = np.searchsorted(text, np.arange(len(w.first) - 1))
-        begin = runs_before[of_text] + (low - w.first[of_text]) // STEP
-        end = runs_before[of_text] + (high - 1 - w.first[of_text]) // STEP + 1
-        padded = np.concatenate([run_bits, np.zeros((1, run_bits.shape[1]), np.uint64)])
-        for k in range(0, len(low), 8192):
-            some = slice(k, k + 8192)
-            inside = np.bitwise_or.reduceat(padded, np.stack([begin[some], end[some]], axis=1).ravel(), axis=0)[::2]
-            enough = np.bitwise_count(inside & items.bits[of_item[some]]).sum(1) >= items.need[of_item[some]]
-            for j in (np.flatnonzero(enough) + k).tolist():
-                best.setdefault((int(of_text[j]), int(of_item[j])), []).append((int(low[j]), int(high[j])))
+    begin = first_run[of_text] + (low - w.first[of_text]) // STEP
+    end = first_run[of_text] + (high - 1 - w.first[of_text]) // STEP + 1
+    for k in np.flatnonzero(ranges.enough(begin, end, items.bits[of_item], items.need[of_item])).tolist():
+        best.setdefault((int(of_text[k]), int(of_item[k])), []).append((int(low[k]), int(high[k])))
     for (doc, which), places in best.items():
         covered, answer, done = 0.0, False, -1
         for low, high in sorted(set(places)):
