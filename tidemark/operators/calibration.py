@@ -32,20 +32,34 @@ def bucket_stats(obs: DataFrame, keys: Sequence[str], price: str, won: str) -> D
     return out.withColumn("gap", F.col("avg_price") - F.col("rate"))
 
 
+def _beside(rows: DataFrame, totals: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows with the totals of their keys, of which a null is one like any other; rows without totals go."""
+    other = totals.withColumnsRenamed({k: f"{k}_of_total" for k in keys})
+    same = [rows[k].eqNullSafe(other[f"{k}_of_total"]) for k in keys]
+    return rows.join(other, same).drop(*[f"{k}_of_total" for k in keys])
+
+
 def event_rates(obs: DataFrame, price: str, least_markets: int = LEAST_MARKETS, sources: Sequence[str] = SOURCES) -> DataFrame:
     """Rates of YES by process, topic, price bucket and adaptive slice of hours before settlement.
 
     obs has ticker, gp, topic, hours, yes, source, period_us, seq and a price in dollars. A cell with enough different
     markets is cut, in order of hours, into as many slices of equal rows as its markets allow; each market counts
     once in a slice; rates are smoothed over neighbouring slices by their markets; the source of a slice is its most
-    frequent one, of equal ones the first in order. All windows over rows share one shuffle, by cell.
+    frequent one, of equal ones the first in order. Rows are ranked within an hour of a cell and put after the counted
+    rows of the hours before, so that no task sorts a whole cell.
     """
     cell = ["gp", "topic", "price_bucket"]
-    rows = obs.select(*cell[:2], X.price_bucket(F.col(price)).alias("price_bucket"), "ticker", "hours", "period_us", "seq", "source", F.col("yes").cast("int").alias("yes")).where("price_bucket IS NOT NULL")
+    price_bucket, hour = X.price_bucket(F.col(price)).alias("price_bucket"), F.floor("hours").alias("hour")
+    rows = obs.select(*cell[:2], price_bucket, hour, "ticker", "hours", "period_us", "seq", "source", F.col("yes").cast("int").alias("yes")).where("price_bucket IS NOT NULL")
     whole = Window.partitionBy(*cell)
-    once = rows.withColumn("first", (F.row_number().over(Window.partitionBy(*cell, "ticker").orderBy("hours")) == 1).cast("int"))
-    ranked = once.withColumn("rn", F.row_number().over(whole.orderBy("hours", "ticker", "period_us", "seq")) - 1)
-    sized = ranked.withColumn("cell_markets", F.sum("first").over(whole)).withColumn("cell_rows", F.count("*").over(whole)).where(F.col("cell_markets") >= least_markets)
+    # the place of a row in its cell: the rows of all earlier hours, and its place in its own hour
+    counted = rows.groupBy(*cell, "hour", "ticker").agg(F.count("*").alias("c"))
+    hours = counted.groupBy(*cell, "hour").agg(F.sum("c").alias("c"))
+    before = F.sum("c").over(whole.orderBy("hour")) - F.col("c")
+    placed_hours = hours.select(*cell, "hour", before.alias("before"), F.sum("c").over(whole).alias("cell_rows"))
+    markets = counted.select(*cell, "ticker").distinct().groupBy(*cell).agg(F.count("*").alias("cell_markets")).where(F.col("cell_markets") >= least_markets)
+    local = rows.withColumn("local", F.row_number().over(Window.partitionBy(*cell, "hour").orderBy("hours", "ticker", "period_us", "seq")) - 1)
+    sized = _beside(local, _beside(placed_hours, markets, cell), [*cell, "hour"]).withColumn("rn", F.col("before") + F.col("local"))
     k = F.greatest(F.lit(1), F.least(F.floor(F.col("cell_markets") / PER_SLICE), F.lit(MOST_SLICES))).cast("int")
     # the slice of a row is the number of bounds at or before it: one more or less than its share of the rows, rounded
     guess = F.floor(F.col("rn") * F.col("k") / F.col("cell_rows"))
