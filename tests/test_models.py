@@ -308,3 +308,12 @@ def test_simulated_totals_repeat(spark):
     t = spark.createDataFrame([(i, 0.9, 10, 90) for i in range(50)], "id int, p double, gain int, loss int")
     a, b = (sorted(r.total for r in T.simulated_totals(t, 200).collect()) for _ in range(2))
     assert a == b and abs(sum(a) / 200) < 30
+
+
+def test_event_rates_take_a_null_as_a_key_like_any_other(spark):
+    rows = [(f"t{i % 90}", "p", None if i < 300 else 7.0 * (i % 50), i % 3 == 0, "snapshot", i, i, 0.42) for i in range(900)]
+    obs = spark.createDataFrame(rows, "ticker string, gp string, hours double, yes boolean, source string, period_us long, seq long, price double")
+    found = [C.event_rates(obs.withColumn("topic", topic.cast("string")), "price").drop("topic").orderBy("bucket_index").collect() for topic in (F.lit(None), F.lit("x"))]
+    assert found[0] == found[1]
+    assert sum(r.n for r in found[0]) == 900 and [r.n for r in found[0]] == [300, 300, 300]
+    assert found[0][0].hours_to is None
