@@ -1,4 +1,4 @@
-"""The queries of the ten operators over the driver's tables, with their SQL where SQL can say it."""
+"""The queries of the text operators over the driver's tables, with their SQL where SQL can say it."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import chat, decontaminate, exact_dedup, jaccard_join, language, mixing, resampling, token_files, toxicity, warc
+from tidemark.llm import chat, decontaminate, exact_dedup, jaccard_join, language, mixing, prefix_trie, resampling, token_files, toxicity, warc
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -63,6 +63,10 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.capture_histories(_table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "urlkey", "captured")
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.conversation_trie(_table(spark, sf_dir, "conversations"), graft_every=100)
+
+
 OP7_SQL = """
 WITH n AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents)
 SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, CAST(count(*) OVER (PARTITION BY t) AS BIGINT) AS group_size,
@@ -90,5 +94,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     import corpus_pipeline
 
-    known = {"op2_mixing": mixing.ORACLE, "op7_exact_dedup": OP7_SQL, "op10_warc": OP10_SQL}
+    known = {"op2_mixing": mixing.ORACLE, "op7_exact_dedup": OP7_SQL, "op10_warc": OP10_SQL, "op13_prefix_trie": prefix_trie.ORACLE}
     return known | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
