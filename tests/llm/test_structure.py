@@ -1,5 +1,6 @@
 """Operators on the structure of conversations and on shards, against SQL and brute force."""
 
+import functools
 import hashlib
 import random
 import zlib
@@ -8,13 +9,13 @@ from collections import defaultdict
 import duckdb
 import pytest
 
-from tidemark.llm import prefix_trie, queries
+from tidemark.llm import prefix_trie, queries, structure_repair
 
 TURNS = "conv_id long, turn long, role string, text string, key string, block int, pos int, part int, h int"
 CLASH = ("k", 1, 2, 3, 4)
 
 
-@pytest.mark.parametrize("name", ["op13_prefix_trie"])
+@pytest.mark.parametrize("name", ["op11_structure_repair", "op13_prefix_trie"])
 def test_sql(spark, sf, name):
     got = queries.queries()[name](spark, sf)
     con = duckdb.connect()
@@ -84,3 +85,67 @@ def test_trie_of_long_and_many_equal(spark):
     assert nodes.count() == 30_002 and (root.n_convs, root.n_children, root.n_leaves, root.saved_tokens) == (3001, 2, 2, 2999 * 4)
     copies = nodes.where("conv_id = 10").collect()[0]
     assert copies.ends_sha256 == hashlib.sha256(",".join(map(str, range(10, 3010))).encode()).hexdigest()
+
+
+def plain_repair(rows):
+    """All edits, from the first row on: (gaps, blank, duplicate, truncated, illegal, cost, audit, hash) of rows (turn, role, text)."""
+    follows = {"": "su", "s": "u", "u": "a", "a": "u"}
+    names = {"u": "user", "a": "assistant"}
+    faults, seen = [], set()
+    for _, role, text in rows:
+        bare = text.strip(" \t\n\v\f\r")
+        faults.append("blank" if not bare else "duplicate" if (role, text) in seen else "truncated" if bare[-1] not in ".!?" else "")
+        seen.add((role, text))
+
+    @functools.cache
+    def best(i, state, inserted):
+        found = [(0, "", ())] if i == len(rows) and state in ("", "a") else []
+        if inserted < 3:
+            for s in set(follows[state]) - {"s"}:
+                cost, edits, made = best(i, s, inserted + 1)
+                found.append((cost + 2, "I" + edits, (names[s] + ":", *made)))
+        if i < len(rows):
+            _, role, text = rows[i]
+            cost, edits, made = best(i + 1, state, 0)
+            found.append((cost + 3, "D" + edits, made))
+            if faults[i] not in ("blank", "duplicate"):
+                more = faults[i] == "truncated"
+                for s in follows[state]:
+                    cost, edits, made = best(i + 1, s, 0)
+                    if role[:1] == s:
+                        found.append((cost + more, "K" + edits, (f"{role}:{text}", *made)))
+                    if s != "s":
+                        found.append((cost + more + 2, "R" + edits, (f"{names[s]}:{text}", *made)))
+        return min(found) if found else (10**9, "", ())
+
+    cost, audit, made = best(0, "", 0)
+    turns = [t for t, _, _ in rows if t is not None]
+    illegal = sum(a[1][:1] + b[1][:1] not in ("su", "ua", "au") for a, b in zip(rows, rows[1:], strict=False))
+    return (max(turns) - min(turns) + 1 - len(set(turns)) if turns else 0, *(faults.count(f) for f in ("blank", "duplicate", "truncated")), illegal, cost, audit, hashlib.sha256("\n".join(made).encode()).hexdigest())
+
+
+def test_repair(spark):
+    draw = random.Random(5)
+    rows, want = [], {}
+    texts = ["a.", "b!", "c", "", " \t", "d.\u2028", "e. \n", "日本。", "a."]
+    order = lambda r: (r[0] is not None, r[0] or 0, r[1], hashlib.sha256(f"{len(r[1])}:{r[1]}{r[2]}".encode()).digest())
+    for conv in [None, *range(300)]:
+        n = draw.randrange(0, 9)
+        turns = sorted([(draw.choice([None, t, t, 2 * t, 3]), draw.choice(["user", "assistant", "system", " ", "", "used", "Assistant"]), draw.choice(texts)) for t in range(n)], key=order)
+        times = {t: draw.choice([1, 1, 1, 2]) for t in turns}
+        rows += [(conv, *t, times[t]) for t in turns] + [(conv, 50, "user", "gone.", 0)]
+        want[conv] = plain_repair([t for t in turns for _ in range(times[t])])
+    table = spark.createDataFrame([(*r, *CLASH) for r in rows], "conv_id long, turn long, role string, text string, times int, signature string, n int, new int, kind int, at int").repartition(3)
+    got = {r.conv_id: tuple(r)[1:] for r in structure_repair.repair(table).collect()}
+    assert got == want
+    assert structure_repair.repair(table.limit(0)).count() == 0
+
+
+def test_repair_after_damage(spark):
+    """Nulls, one long conversation, one of many equal rows, and none left."""
+    gone = next(c for c in range(10**6) if zlib.crc32(f"{c}:0".encode()) % 20 == 0)
+    rows = [(None, None, None, None), (gone, 0, "user", "x")] + [(7, t, "user" if t % 2 else "assistant", f"t{t}.") for t in range(20_000)] + [(8, 3, "user", "same.")] * 5000 + [(9, 0, "user", "x" * 5_000_000)]
+    table = spark.createDataFrame([(*r, *CLASH) for r in rows], TURNS)
+    got = {r.conv_id: r for r in structure_repair.repair(structure_repair.damage(table)).collect()}
+    assert tuple(got[gone])[1:] == (0, 0, 0, 0, 0, 0, "", hashlib.sha256(b"").hexdigest())
+    assert got[8].duplicate >= 4999 and got[8].audit == "K" + "D" * got[8].duplicate + "I" and len(got[7].audit) > 18_000 and set(got) == {None, gone, 7, 8, 9}

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import chat, decontaminate, exact_dedup, jaccard_join, language, mixing, prefix_trie, resampling, token_files, toxicity, warc
+from tidemark.llm import chat, decontaminate, exact_dedup, jaccard_join, language, mixing, prefix_trie, resampling, structure_repair, token_files, toxicity, warc
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -63,6 +63,10 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.capture_histories(_table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "urlkey", "captured")
 
 
+def op11_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return structure_repair.repair(structure_repair.damage(_table(spark, sf_dir, "conversations")))
+
+
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.conversation_trie(_table(spark, sf_dir, "conversations"), graft_every=100)
 
@@ -94,5 +98,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     import corpus_pipeline
 
-    known = {"op2_mixing": mixing.ORACLE, "op7_exact_dedup": OP7_SQL, "op10_warc": OP10_SQL, "op13_prefix_trie": prefix_trie.ORACLE}
+    known = {"op2_mixing": mixing.ORACLE, "op7_exact_dedup": OP7_SQL, "op10_warc": OP10_SQL, "op11_structure_repair": structure_repair.ORACLE, "op13_prefix_trie": prefix_trie.ORACLE}
     return known | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
