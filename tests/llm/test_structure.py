@@ -9,7 +9,7 @@ from collections import defaultdict
 import duckdb
 import pytest
 
-from tidemark.llm import prefix_trie, queries, structure_repair
+from tidemark.llm import prefix_trie, queries, sharding, structure_repair
 
 TURNS = "conv_id long, turn long, role string, text string, key string, block int, pos int, part int, h int"
 CLASH = ("k", 1, 2, 3, 4)
@@ -149,3 +149,51 @@ def test_repair_after_damage(spark):
     got = {r.conv_id: r for r in structure_repair.repair(structure_repair.damage(table)).collect()}
     assert tuple(got[gone])[1:] == (0, 0, 0, 0, 0, 0, "", hashlib.sha256(b"").hexdigest())
     assert got[8].duplicate >= 4999 and got[8].audit == "K" + "D" * got[8].duplicate + "I" and len(got[7].audit) > 18_000 and set(got) == {None, gone, 7, 8, 9}
+
+
+DOCS = "doc_id long, text string, digest string, salt int, size int, shard int, block int, n int, rows int, bytes int, parts int, hot int"
+
+
+def docs_of(spark, rows):
+    return spark.createDataFrame([(*r, "d", *[1] * 9) for r in rows], DOCS)
+
+
+def check_shards(got, rows, shards):
+    slots = defaultdict(list)
+    for r in got:
+        slots[r.shard].append(r.slot)
+    assert all(sorted(v) == list(range(len(v))) for v in slots.values()) and set(slots) <= set(range(shards))
+    want = sorted(((i is not None, i or 0), len((t or "").encode()) + 16, zlib.crc32((t or "").encode())) for i, t in rows)
+    assert sorted(((r.doc_id is not None, r.doc_id or 0), r.size, r.text_crc32) for r in got) == want
+    assert {(r.law, r.grown_shard) for r in got} <= {("bytes", None)}
+
+
+def test_shards_by_the_rule(spark):
+    """Against the rule spelled out in plain Python, all pieces in one order."""
+    draw = random.Random(3)
+    rows = [(i, f"{i} " + " ".join(draw.choice(["a", "bb", "cccc"]) * draw.randrange(1, 9) for _ in range(draw.randrange(0, 60)))) for i in range(150)]
+    got = sharding.shard_rows(docs_of(spark, rows), 5).collect()
+    check_shards(got, rows, 5)
+    total = [sum(len(t) + 16 for _, t in rows), sum(len(t.split()) for _, t in rows), len(rows)]
+    vectors = {i: [x / y for x, y in zip((len(t) + 16, len(t.split()), 1), total, strict=True)] for i, t in rows}
+    assert max(max(v) for v in vectors.values()) < 1 / 20  # none is large, so that one block holds all
+    left, want = [[1 / 5] * 3 for _ in range(5)], {}
+    for i, v in sorted(vectors.items(), key=lambda x: (-max(x[1]), hashlib.sha256(dict(rows)[x[0]].encode()).digest())):
+        want[i] = max(range(5), key=lambda s: (round(sum(a * b for a, b in zip(left[s], v, strict=True)), 14), -s))
+        left[want[i]] = [a - b for a, b in zip(left[want[i]], v, strict=True)]
+    assert {r.doc_id: r.shard for r in got} == want
+
+
+def test_shards_are_even(spark):
+    """A text that a third of all rows share, null and repeated ids, a very long text, several blocks."""
+    draw = random.Random(4)
+    rows = [(None if i % 9 == 0 else i // 2, "hot text of many rows" if i % 3 == 0 else f"{i} " + "word " * draw.randrange(0, 30)) for i in range(60_000)] + [(7, None), (7, ""), (7, "")]
+    got = sharding.shard_rows(docs_of(spark, rows).repartition(4)).collect()
+    check_shards(got, rows, 40)
+    sizes, counts, tokens = ([sum(f(r) for r in got if r.shard == s) for s in range(40)] for f in (lambda r: r.size, lambda _: 1, lambda r: r.tokens))
+    for x in (sizes, counts, tokens):
+        assert max(x) <= 1.02 * min(x)
+    assert len({r.shard for r in got if r.size == 16}) == 1
+    long = [*rows[:2000], (5, "x" * 20_000_000)]
+    check_shards(sharding.shard_rows(docs_of(spark, long), 3).collect(), long, 3)
+    assert sharding.shard_rows(docs_of(spark, [])).count() == 0

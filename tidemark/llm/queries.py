@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import chat, decontaminate, exact_dedup, jaccard_join, language, mixing, prefix_trie, resampling, structure_repair, token_files, toxicity, warc
+from tidemark.llm import chat, decontaminate, exact_dedup, jaccard_join, language, mixing, prefix_trie, resampling, sharding, structure_repair, token_files, toxicity, warc
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -67,6 +67,10 @@ def op11_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return structure_repair.repair(structure_repair.damage(_table(spark, sf_dir, "conversations")))
 
 
+def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_rows(_table(spark, sf_dir, "documents"))
+
+
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.conversation_trie(_table(spark, sf_dir, "conversations"), graft_every=100)
 
