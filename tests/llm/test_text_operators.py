@@ -1,6 +1,9 @@
 """Each operator against brute force, SQL or an exact round trip, with nulls, empty and long texts, ties and clashing columns."""
 
 import hashlib
+import re
+import subprocess
+import sys
 import zlib
 from collections import defaultdict
 
@@ -11,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.llm import chat, decontaminate, exact_dedup, jaccard_join, language, mixing, queries, resampling, token_files, toxicity, warc
-from tidemark.llm.textnum import TABLE
+from tidemark.llm.textnum import TABLE, stretches
 from tidemark.llm.textnum import shingles as _shingles
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, rid string, n string, copies int, rep int, good string, label string, _source string, _target double, _rate int, _copies long, _copy int, _drop long, plan int, of_source int, copy int, of_doc int, of_words string, its_words string"
@@ -81,6 +84,31 @@ def test_mixing(odd, empty, spark):
     assert {r.source: r.target for r in mixing.rates(sizes).collect()} == {"a": 30.0, "b": 300.0, "c": 780.0, None: 0.0}
 
 
+@pytest.mark.parametrize("kind", ["no ids, one text", "no ids", "one id", "ids"])
+def test_taken_words_come_near_targets(spark, kind):
+    """Sources of 3,000 short rows, also where rows are alike; and of many sources the rates as a plain loop has them."""
+    rows = [(i if kind == "ids" else 1 if kind == "one id" else None, f"x{s}", "a b c" if "one" in kind else f"a b c{i}") for s in range(4) for i in range(3000 + 500 * s)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    got = mixing.mixing_plan(docs).groupBy("source_size").agg(F.sum("taken").alias("taken"), F.first("target").alias("target")).collect()
+    assert len(got) == 4 and all(abs(r.taken - r.target) < 0.05 * r.target for r in got)
+    count = lambda: sorted(r["count"] * 3 for r in mixing.mix(docs).groupBy("source").count().collect())
+    mixed = count()
+    assert mixed == count() and all(abs(x - r.target) < 0.05 * r.target for x, r in zip(mixed, sorted(got, key=lambda r: r.taken), strict=True))
+
+
+def test_rates_of_many_sources(spark):
+    rng = np.random.default_rng(2)
+    sizes = {f"s{i:05d}": int(x) for i, x in enumerate(rng.integers(0, 10**6, 3000) ** 2 // 10**6)}
+    got = {r.source: r.target for r in mixing.rates(spark.createDataFrame(list(sizes.items()), "source string, size long").repartition(5)).collect()}
+    weights = {s: i % 3 + 1 for i, s in enumerate(sorted(sizes))}
+    full, left = set(), None
+    while left is None or any(weights[s] * left > 3 * sizes[s] for s in sizes if s not in full):
+        if left is not None:
+            full |= {s for s in sizes if weights[s] * left > 3 * sizes[s]}
+        left = (sum(sizes.values()) - sum(3 * sizes[s] for s in full)) / sum(weights[s] for s in sizes if s not in full)
+    assert got == pytest.approx({s: float(3 * sizes[s]) if s in full else weights[s] * left for s in sizes})
+
+
 def test_chat(spark):
     rows = [(-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assistant", "</s>[INST] ok [/INST]"), (2, 0, None, None), (3, 0, "assistant", "<\\|x <|end|> [\\ <\\\\|"), (3, 1, "user", "é"), (3, 2, "assistant", ""), (None, None, "user", "x"), (4, 0, "user", "u" * 3_000_000), (4, 1, "user", "v"), (4, 2, "assistant", "w")]
     table = spark.createDataFrame([(*r, "piece") for r in rows], "conv_id long, turn long, role string, text string, piece string")
@@ -407,6 +435,68 @@ def test_leaks_against_all_pairs(spark, sf):
     assert got == want and want
 
 
+def test_leaks_in_a_very_long_text():
+    """A text of 64 MB, searched in less than 1 GB; items wherever stretches end, and one spread over three times its words."""
+    code = """
+import resource, sys
+import numpy as np, pyarrow as pa
+from tidemark.llm import decontaminate as d
+rng = np.random.default_rng(4)
+background = rng.choice([f"t{i:04d}" for i in range(4000)], 11_300_000)
+items = [" ".join(rng.choice([f"q{i:03d}" for i in range(900)], 40)) for _ in range(24)]
+for k, item in enumerate(items[:-1]):
+    at = 470_000 * k + 88_000 + 37 * k
+    background[at : at + 40] = item.split()
+background[11_300_000 - 130 : 11_300_000 - 11 : 3] = items[-1].split()
+text = " ".join(background)
+del background
+assert len(text) > 64 << 20
+rows = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([text])], ["doc_id", "text"])
+del text
+frequency = np.ones(d.TERMS, np.int64)
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+list(d._gather(iter([rows])))
+table = np.random.default_rng(1).standard_normal((d.TERMS, d.FACTORS)).astype(np.float32)
+found = [f for _, f in d.search_rows(d.Items(list(range(24)), items, table, frequency), d._with_none(table), iter([rows]))]
+after = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+assert sorted(x[1] for x in found[0]) == list(range(24)), found
+assert after - before < 500_000, after - before
+"""
+    subprocess.run([sys.executable, "-c", code], check=True, timeout=600)
+
+
+def test_stretches():
+    rng = np.random.default_rng(3)
+    for _ in range(200):
+        text = b" ".join(b"x" * int(k) for k in rng.integers(0, 9, int(rng.integers(0, 80))))
+        limit, span = int(rng.integers(1, 60)), int(rng.integers(0, 5))
+        cut = list(stretches(text, limit, span))
+        at = [(m.start(), m.end()) for m in re.finditer(rb"x+", text)]
+        assert cut[0][0] == 0 and cut[-1][1] == len(text)
+        for k in range(len(at)):
+            last = at[min(len(at), k + max(span, 1)) - 1][1]
+            assert any(a <= at[k][0] and last <= b for a, b in cut)
+
+
+@pytest.mark.parametrize(("extra", "rewritten", "least"), [(0, 0, 1.0), (0, 8, 0.9), (1, 0, 0.9)])
+def test_latent_search_alone(spark, monkeypatch, extra, rewritten, least):
+    """The share of leaks that the cosines find without the exact way, of whole items, of items with an eighth of their words replaced, and of items spread over twice their words. Those spread over three times are diluted in every window: there the exact way is needed."""
+    monkeypatch.setattr(decontaminate, "close_keys", lambda items, w: (np.zeros(0, int),) * 4)
+    items, docs = spread_items(extra)
+    rng = np.random.default_rng(8)
+    for i, (key, body) in enumerate(docs[:60]):
+        changed = body.split()
+        for k in rng.choice(np.arange(30, len(changed) - 45), len(changed) // rewritten if rewritten else 0, replace=False):
+            changed[k] = "other"
+        docs[i] = (key, " ".join(changed))
+    table, frequency = decontaminate.fit(spark.createDataFrame(docs, "doc_id long, text string"))
+    by_hand = decontaminate.Items([i for i, _ in items], [t for _, t in items], table, frequency)
+    rows = pa.RecordBatch.from_arrays([pa.array([d for d, _ in docs]), pa.array([t for _, t in docs])], ["doc_id", "text"])
+    found = {(rows.column(0)[d].as_py(), i) for rows, hits in decontaminate.search_rows(by_hand, decontaminate._with_none(table), iter([rows])) for d, i, *_ in hits}
+    want = leaks_by_force(docs[:60], items)
+    assert found <= want and len(found) >= least * len(want) and len(want) == 60
+
+
 def test_leaks_row_by_row(spark):
     """Repeated items and rows are reported each; rows that repeat a doc_id stay or go by their own text."""
     item = " ".join(f"t{i}" for i in range(20))

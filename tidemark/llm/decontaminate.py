@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.shared import runs
-from tidemark.llm.textnum import Words, blocks, flat
+from tidemark.llm.textnum import Words, flat, long_texts_cut
 
 PASSAGE = 24
 STEP = PASSAGE // 2
@@ -30,7 +30,7 @@ STEP = PASSAGE // 2
 ITEM_STEP = 6
 TERM_BITS = 13
 FACTORS, TESTS = 48, 64
-COSINE = 0.45
+COSINE = 0.35
 #: Bits of a set of terms.
 SET_BITS = 2048
 #: An item may be spread over so many times its own words.
@@ -92,7 +92,7 @@ def _term_runs(term: np.ndarray, start: np.ndarray, end: np.ndarray, size: int)
 def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     tests = _with_none(_test_matrix())
     product, frequency, total = np.zeros((TERMS, TESTS), np.float64), np.zeros(TERMS, np.int64), 0
-    for _, w in blocks(batches, limit=CHUNK):
+    for w in (w for _, parts in long_texts_cut(batches, CHUNK, 0) for w in parts):
         if not len(w):
             continue
         term = _terms(w)
@@ -147,7 +147,7 @@ def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fit(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """(TERMS, FACTORS): TF-IDF weight times factor of each term, from all passages of all texts; and the passages with each term."""
+    """(TERMS, FACTORS): TF-IDF weight times factor of each term, from all passages of all texts; and the passages with each term. Null and empty texts have none, repeated rows count each, an empty table gives zeros."""
     parts = docs.select("text").mapInArrow(_gather, GATHERED).repartition(SLICES, "slice").sortWithinPartitions("slice").mapInArrow(_add_up, GATHERED)
     rows = sorted(parts.collect(), key=lambda r: r["slice"])  # SLICES rows of a fixed size
     if not rows:
@@ -376,11 +376,22 @@ def region_leaks(items: Items, which: int, region: np.ndarray) -> tuple[float, b
     return best
 
 
+def search_rows(items: Items, table: np.ndarray, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[tuple[int, int, float, float, bool]]]]:
+    """Rows, and what search() finds in them. A text of more than CHUNK bytes is searched stretch by stretch; any place that may hold an item lies in one."""
+    span = int(items.span.max()) if len(items.span) else 0
+    for rows, parts in long_texts_cut(batches, CHUNK, span):
+        best: dict[tuple[int, int], tuple[float, bool, float]] = {}
+        for w in parts:
+            for doc, which, cosine, covered, answer in search(items, table, w):
+                old = best.get((doc, which), (0.0, False, -1.0))
+                best[doc, which] = (*max(old[:2], (covered, answer)), max(old[2], cosine))
+        yield rows, [(doc, which, cosine, covered, answer) for (doc, which), (covered, answer, cosine) in best.items()]
+
+
 def _search(table_at, items_at):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, items = _with_none(table_at.value), items_at.value
-        for rows, w in blocks(batches, limit=CHUNK):
-            found = list(search(items, table, w))
+        for rows, found in search_rows(items, table, batches):
             if found:
                 ids = rows.column(0).to_pylist()
                 doc, item, cosine, covered, answer = zip(*found, strict=True)
@@ -408,7 +419,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     Null and empty texts and items, and those without words, leak nothing; an item of less than PASSAGE words has one
     window. Rows that repeat a doc_id, and benchmark rows that repeat an item, are reported each; a null doc_id or item_id
-    is reported as null; other columns are ignored. Of a text's stretches that leak an item, the one with the most of it is
+    is reported as null; other columns are ignored. A very long text is searched in overlapping stretches of CHUNK bytes, and its
+    passages begin anew in each. Of a text's stretches that leak an item, the one with the most of it is
     reported. Empty tables give an empty result.
     """
     rows, out = docs.select("doc_id", "text"), None
@@ -422,15 +434,16 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Rows of docs that leak no item, all columns unchanged.
 
     Each row is decided by its text alone, so rows that repeat a doc_id, or have none, go or stay each by itself. Null and
-    empty texts stay, and all rows if there are no items; columns may have any name. An empty table gives an empty result.
+    empty texts stay, and all rows if there are no items; very long texts are searched in stretches; columns may have any
+    name. An empty table gives an empty result.
     """
 
     def clean(table_at, items_at):
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             table, items = _with_none(table_at.value), items_at.value
-            for rows, w in blocks(batches, limit=CHUNK):
+            for rows, found in search_rows(items, table, batches):
                 keep = np.ones(rows.num_rows, bool)
-                keep[[d for d, *_ in search(items, table, w)]] = False
+                keep[[d for d, *_ in found]] = False
                 yield rows.filter(pa.array(keep))
 
         return work

@@ -141,6 +141,39 @@ def blocks(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = 1
             yield batch.slice(i, j - i), Words(*flat(column.slice(i, j - i)), marks)
 
 
+def stretches(text: bytes, limit: int, span: int) -> Iterator[tuple[int, int]]:
+    """Byte ranges of a text, of about limit bytes and whole words, each beginning span words before the last one ends: any span words in a row lie in one. A range grows beyond limit only where so few bytes hold no more than twice span words."""
+    low, begin = text.translate(TABLE), 0
+    while True:
+        size = limit
+        while (end := low.find(b" ", begin + size)) >= 0:
+            letter = np.frombuffer(low, np.uint8, end - begin, begin) != 32
+            starts = np.flatnonzero(letter & ~np.r_[False, letter[:-1]])
+            if not span or len(starts) > 2 * span:
+                break
+            size *= 2
+        if end < 0:
+            yield begin, len(low)
+            return
+        yield begin, end
+        begin = begin + int(starts[len(starts) - span]) if span else end
+
+
+def long_texts_cut(batches: Iterator[pa.RecordBatch], limit: int, span: int, text: str = "text") -> Iterator[tuple[pa.RecordBatch, Iterator[Words]]]:
+    """Rows and their words as blocks() gives them, but a text of more than limit bytes comes alone and as stretches, one at a time."""
+    from tidemark.llm.shared import by_bytes
+
+    for batch in batches:
+        column = batch.column(batch.schema.get_field_index(text))
+        for i, j in by_bytes(column, limit):
+            part = column.slice(i, j - i)
+            raw = part[0].as_buffer().to_pybytes() if j == i + 1 and part[0].is_valid and part[0].as_buffer().size > limit else None
+            if raw is None:
+                yield batch.slice(i, j - i), iter([Words(*flat(part))])
+            else:
+                yield batch.slice(i, 1), (Words(np.frombuffer(raw, np.uint8, b - a, a), np.array([0, b - a])) for a, b in stretches(raw, limit, span))
+
+
 def shingles(w: Words, n: int = 5) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of each n words in a row, and where each text's start, with the end last. A text of 1 to n-1 words has one shingle, all its words."""
     counts = w.counts()
