@@ -30,7 +30,7 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as their source's rate says; a document that is taken twice is there twice. A null source is one of its own; rows that repeat a doc_id draw alike."""
+    """Documents as often as their source's rate says; a document that is taken twice is there twice. A null source is one of its own; rows that repeat a doc_id and text draw each by a number of its own."""
     return mixing.mix(docs)
 
 
