@@ -30,7 +30,7 @@ STEP = PASSAGE // 2
 ITEM_STEP = 6
 TERM_BITS = 13
 FACTORS, TESTS = 48, 64
-COSINE = 0.35
+COSINE = 0.4
 #: Bits of a set of terms.
 SET_BITS = 2048
 #: An item may be spread over so many times its own words.
