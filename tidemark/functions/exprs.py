@@ -20,6 +20,8 @@ VOLUME_BOUNDS = [(0, 0, "dead"), (1, 100, "low"), (101, 1000, "moderate"), (1001
 TAIL_LOW, TAIL_HIGH = 85, 97
 MAKER_RATE, TAKER_RATE = 0.0175, 0.07
 MIN_DAYS = 1 / 48
+# Patterns of strikes in tickers, after -T, after the last dash, and of a ticker that ends in one.
+STRIKE_MARKED, STRIKE_LAST, STRIKE_SUFFIX = r"-T(-?[\d.]+)$", r"-(-?[\d.]+)$", r"-[A-Z]{0,4}[\d]+\.?[\d]*$"
 
 
 def series(ticker: Column) -> Column:
@@ -170,8 +172,8 @@ def cdf_lookup(thresholds: Column, exceed: Column, quantity: Column, n: Column,
 
 def strike_of(ticker: Column) -> Column:
     """The number after -T, or else after the last dash; null if there is none."""
-    marked = F.regexp_extract(ticker, r"-T(-?[\d.]+)$", 1)
-    plain = F.regexp_extract(ticker, r"-(-?[\d.]+)$", 1)
+    marked = F.regexp_extract(ticker, STRIKE_MARKED, 1)
+    plain = F.regexp_extract(ticker, STRIKE_LAST, 1)
     return F.coalesce(F.nullif(marked, F.lit("")), F.nullif(plain, F.lit(""))).try_cast("double")
 
 

@@ -82,22 +82,23 @@ def flow_table(obs: DataFrame, thresholds: Sequence[int] = THRESHOLDS) -> DataFr
 
 def fill_probability(orders: DataFrame, table: DataFrame, thresholds: Sequence[int] = THRESHOLDS) -> DataFrame:
     """Orders (gp, topic, hours, side, quantity, limit, volume) with level, p_won and p_lost of the first level with enough support; nulls if none has."""
-    base = orders.withColumn("_id", F.monotonically_increasing_id())
+    # numbered once and carried along: no branch is joined to another by the number
+    base = orders.select(F.monotonically_increasing_id().alias("_id"), F.struct(*orders.columns).alias("order"), "*")
     fine = X.flow_time_bucket(F.col("hours"))
     coarse, price, vol, any_ = X.coarse_time_bucket(fine), X.snap_tail(F.col("limit")).cast("string"), X.volume_bucket(F.col("volume")), F.lit("*")
     keys = [(fine, F.col("side"), vol, price), (fine, F.col("side"), any_, price), (coarse, F.col("side"), any_, price), (coarse, F.col("side"), any_, any_), (coarse, F.col("side"), any_, any_), (coarse, any_, any_, any_)]
     tried = F.explode(F.array(*[F.struct(F.lit(i).alias("level"), *[c.alias(n) for c, n in zip(k, ("k_time", "k_side", "k_vol", "k_price"), strict=True)]) for i, k in enumerate(keys, 1)]))
-    candidates = base.select("_id", "gp", "topic", "quantity", tried.alias("t")).select("_id", "gp", "topic", "quantity", "t.*")
+    candidates = base.select("_id", "order", "gp", "topic", "quantity", tried.alias("t")).select("_id", "order", "gp", "topic", "quantity", "t.*")
     curve = F.struct("exceed", "n_observations", "n_outcome")
     pairs = table.groupBy("level", "gp", "topic", F.col("time_bucket").alias("k_time"), F.col("side").alias("k_side"), F.col("vol_bucket").alias("k_vol"), F.col("price").alias("k_price")).agg(
         *[F.max(F.when(F.col("outcome") == o, curve)).alias(a) for o, a in (("won", "w"), ("lost", "l"), ("*", "m"))]
     )
     enough = F.when(F.col("level") <= 4, (F.col("w.n_observations") >= LEAST_COMBINED) & (F.col("w.n_outcome") >= LEAST_OUTCOME) & (F.col("l.n_outcome") >= LEAST_OUTCOME)).otherwise(F.col("m.n_observations") >= LEAST_COMBINED)
-    known = candidates.join(pairs.where(enough), ["level", "gp", "topic", "k_time", "k_side", "k_vol", "k_price"])
+    known = candidates.join(pairs.where(enough).withColumn("found", F.lit(True)), ["level", "gp", "topic", "k_time", "k_side", "k_vol", "k_price"], "left")
     at = F.array(*[F.lit(t) for t in thresholds])
     p = lambda c: X.cdf_lookup(at, F.col(f"{c}.exceed"), F.col("quantity"), F.col(f"{c}.n_observations"))
-    best = known.groupBy("_id").agg(F.min_by(F.struct("level", F.when(F.col("level") <= 4, p("w")).otherwise(p("m")).alias("p_won"), F.when(F.col("level") <= 4, p("l")).otherwise(p("m")).alias("p_lost")), "level").alias("b"))
-    return base.join(best, "_id", "left").select(*orders.columns, "b.level", "b.p_won", "b.p_lost")
+    best = known.groupBy("_id").agg(F.first("order").alias("order"), F.min_by(F.struct("level", F.when(F.col("level") <= 4, p("w")).otherwise(p("m")).alias("p_won"), F.when(F.col("level") <= 4, p("l")).otherwise(p("m")).alias("p_lost")), F.when(F.col("found"), F.col("level"))).alias("b"))
+    return best.select("order.*", "b.level", "b.p_won", "b.p_lost")
 
 
 def _levels(tape: DataFrame, keys: DataFrame) -> DataFrame:
@@ -130,7 +131,8 @@ def queue_summary(orders: DataFrame, tape: DataFrame) -> DataFrame:
     print where A exceeds what it was by more than the queue. Each is a running value over one sorted group.
     """
     key = ["ticker", "side", "limit"]
-    numbered = orders.withColumn("_id", F.monotonically_increasing_id())
+    # joined back by the caller's order_id, which is one an order
+    numbered = orders.withColumn("_id", F.col("order_id"))
     point = F.struct(*numbered.columns)
     prints = _levels(tape, orders).select(*key, F.col("ts_us").alias("t"), F.lit(1).alias("kind"), F.col("trade_id").alias("tie"), "v", "at")
     ends = F.explode(F.array(F.struct(F.col("placed_us").alias("t"), F.lit(0).alias("kind")), F.struct(F.col("end_us").alias("t"), F.lit(2).alias("kind"))))

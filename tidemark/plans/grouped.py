@@ -173,10 +173,21 @@ def o04_seeded_sample_by_class(m):
     return rows.where("rn <= 100").drop("rn")
 
 
-@query("SELECT ticker, period_us, bid AS price, 'a' AS kind FROM candles WHERE bid > 95 UNION ALL SELECT ticker, ts_us, yes_cents, 'b' FROM tape WHERE yes_cents > 95", "candles", "tape")
+@query(
+    """SELECT ticker, period_us, (bid + ask) / 200.0 AS price, 'hourly' AS kind FROM candles WHERE origin = 'R' UNION ALL SELECT ticker, period_us, (bid + ask) / 200.0, 'daily' FROM candles WHERE origin = 'A'
+    UNION ALL SELECT ticker, period_us, bid / 100.0, 'archive' FROM candles WHERE origin = 'N' UNION ALL SELECT ticker, ts_us, yes_cents / 100.0, 'snapshot' FROM tape""",
+    "candles",
+    "tape",
+)
 def u01_union_all(m):
-    a = m.candles.where("bid > 95").select("ticker", "period_us", F.col("bid").alias("price"), F.lit("a").alias("kind"))
-    return a.unionByName(m.tape.where("yes_cents > 95").select("ticker", F.col("ts_us").alias("period_us"), F.col("yes_cents").alias("price"), F.lit("b").alias("kind")))
+    """The four price sources, each with its own price: two kinds of candles by their middle, the archive by its bid, snapshots."""
+    quotes = {kind: m.candles.where(F.col("origin") == origin) for kind, origin in (("hourly", "R"), ("daily", "A"), ("archive", "N"))}
+    middle, bid = (F.col("bid") + F.col("ask")) / F.lit(200.0), F.col("bid") / F.lit(100.0)
+    parts = [df.select("ticker", "period_us", (bid if kind == "archive" else middle).alias("price"), F.lit(kind).alias("kind")) for kind, df in quotes.items()]
+    out = m.tape.select("ticker", F.col("ts_us").alias("period_us"), (F.col("yes_cents") / F.lit(100.0)).alias("price"), F.lit("snapshot").alias("kind"))
+    for part in parts:
+        out = out.unionByName(part)
+    return out
 
 
 @query("SELECT series, o_orderpriority FROM settled WHERE result = 'yes' UNION SELECT series, o_orderpriority FROM settled WHERE result = 'no'", "settled")

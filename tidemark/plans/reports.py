@@ -348,11 +348,15 @@ def r06_alpha_decay(m):
     return T.decayed(trades, ["user_id"], window=20).select("user_id", F.col("id").alias("event_id"), "paused")
 
 
-@query("SELECT l_orderkey AS k, l_linenumber AS l, arg_max(l_partkey, l_suppkey * 1000000 + l_partkey) AS v FROM lineitem GROUP BY ALL")
+@query("""WITH r AS (SELECT l_orderkey AS k, l_linenumber % 2 AS l, l_partkey AS v, l_suppkey * 1000000 + l_partkey AS w, l_returnflag <> 'N' AS historical, l_partkey % 2 AS batch FROM lineitem),
+stored AS (SELECT * FROM r WHERE batch = 0 QUALIFY row_number() OVER (PARTITION BY k, l ORDER BY historical DESC, w DESC) = 1)
+SELECT k, l, v FROM (SELECT * FROM stored UNION ALL SELECT * FROM r WHERE batch = 1) QUALIFY row_number() OVER (PARTITION BY k, l ORDER BY historical DESC, batch, w DESC) = 1""")
 def k02_last_of_batch(m):
-    """Rows of one key in a batch: the last counts, then the splice."""
-    rows = m.raw("lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("l"), F.col("l_partkey").alias("v"), (F.col("l_suppkey") * 1_000_000 + F.col("l_partkey")).alias("at"), F.lit("historical").alias("origin"))
-    return K.splice(rows.limit(0), rows, ["k", "l"], "origin", F.col("at").desc()).select("k", "l", "v")
+    """Two batches in which keys repeat: the last of a batch counts, then the splice into what is stored."""
+    rows = m.raw("lineitem").select(F.col("l_orderkey").alias("k"), (F.col("l_linenumber") % 2).alias("l"), F.col("l_partkey").alias("v"), (F.col("l_suppkey") * 1_000_000 + F.col("l_partkey")).alias("at"), F.when(F.col("l_returnflag") == "N", "live").otherwise("historical").alias("origin"))
+    last = F.col("at").desc()
+    stored = K.splice(rows.limit(0), rows.where("v % 2 = 0"), ["k", "l"], "origin", last)
+    return K.splice(stored, rows.where("v % 2 = 1"), ["k", "l"], "origin", last).select("k", "l", "v")
 
 
 @query("SELECT o_orderkey AS k, CASE WHEN o_orderkey % 2 = 0 THEN 'stored' ELSE 'live' END AS origin FROM orders")

@@ -54,9 +54,9 @@ def f07_favorite_space(m):
     return m.observations.select("ticker", "seq", "period_us", price.alias("favorite2"), X.favorite_won(F.col("mid"), F.col("yes")).alias("won")).where("favorite2 IS NOT NULL")
 
 
-@query("SELECT event_ticker, CAST(count(*) AS BIGINT) AS n, CAST(sum(CASE WHEN regexp_matches(ticker, '-[A-Z]{0,4}[0-9]+[.]?[0-9]*$') THEN 1 ELSE 0 END) AS BIGINT) AS n_strikes FROM settled GROUP BY event_ticker HAVING count(*) >= 2 AND sum(CASE WHEN regexp_matches(ticker, '-[A-Z]{0,4}[0-9]+[.]?[0-9]*$') THEN 1 ELSE 0 END) * 2 > count(*)", "settled")
+@query(f"SELECT event_ticker, CAST(count(*) AS BIGINT) AS n, CAST(count(*) FILTER (regexp_matches(ticker, '{X.STRIKE_SUFFIX}')) AS BIGINT) AS n_strikes FROM settled GROUP BY event_ticker HAVING n >= 2 AND n_strikes * 2 > n", "settled")
 def f08_chains(m):
-    strike = F.col("ticker").rlike(r"-[A-Z]{0,4}[\d]+\.?[\d]*$")
+    strike = F.col("ticker").rlike(X.STRIKE_SUFFIX)
     return m.settled.groupBy("event_ticker").agg(F.count("*").alias("n"), F.count_if(strike).alias("n_strikes")).where("n >= 2 AND n_strikes * 2 > n")
 
 

@@ -175,9 +175,9 @@ def p22_fills(m):
     return m.raw("events").select("event_id", F.coalesce(F.when(e % 2 == 0, e.cast("string")), F.col("user_id").cast("string")).alias("fill_id"), F.coalesce(F.when(e % 3 == 0, F.col("event_type")), F.lit("unknown")).alias("side"), F.coalesce(F.when(e % 5 > 0, F.floor("value")), F.lit(0)).cast("bigint").alias("count"))
 
 
-@query("SELECT event_id, CASE WHEN v >= 0.02 AND event_id % 7 > 0 THEN CAST(round_even(v * 100, 0) AS INTEGER) END AS bid, CASE WHEN v >= 0.02 AND event_id % 7 > 0 THEN CAST(round_even((v + 0.01) * 100, 0) AS INTEGER) END AS ask, round(event_id % 100 / 24.0::DOUBLE, 6) AS days FROM (SELECT *, floor(value) / 100 AS v FROM events WHERE value >= 2)")
+@query("SELECT event_id, CASE WHEN v > 0 AND event_id % 7 > 0 THEN CAST(round_even(v * 100, 0) AS INTEGER) END AS bid, CASE WHEN v > 0 AND event_id % 7 > 0 THEN CAST(round_even((v + 0.01) * 100, 0) AS INTEGER) END AS ask, round(event_id % 100 / 24.0::DOUBLE, 6) AS days FROM (SELECT *, floor(value) / 100 AS v FROM events)")
 def q36_days_and_prices(m):
-    e = m.raw("events").where("value >= 2").withColumn("v", F.floor("value") / 100)
+    e = m.raw("events").withColumn("v", F.floor("value") / 100)
     quote = R.cents_or_null(F.when(F.col("event_id") % 7 > 0, F.col("v")).otherwise(0.0), F.col("v") + 0.01)
     return e.select("event_id", quote["bid"].alias("bid"), quote["ask"].alias("ask"), F.round(F.col("event_id") % 100 / F.lit(24.0), 6).alias("days"))
 

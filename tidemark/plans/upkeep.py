@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tidemark.operators import health as H
 from tidemark.operators import sinks as K
 from tidemark.plans.catalog import query
+from tidemark.session import shared_folder
 from tidemark.streaming import streams as ST
 
 END = 904608000000000  # 1998-09-01
@@ -90,6 +91,20 @@ def _stream(m):
     return events.withColumn("at", F.col("ts").cast("timestamp"))
 
 
+def _in_files(m, rows_a_file=5_000_000):
+    """The events, ranges of their ids dealt out to three files at least, of which a micro-batch takes one. Files are taken by age, so they are written one after the other."""
+    path = f"{shared_folder(m.spark).rstrip('/')}/events-{uuid.uuid4().hex}"
+    events = m.raw("events")
+    rows, low, high = events.agg(F.count("*"), F.min("event_id"), F.max("event_id")).first()
+    files = max(3, -(-rows // rows_a_file))
+    for i in range(files if rows else 0):
+        a, b = (low + (high + 1 - low) * k // files for k in (i, i + 1))
+        events.where(F.col("event_id") >= a).where(F.col("event_id") < b).coalesce(1).write.mode("append").parquet(path)
+    if not rows:
+        events.write.parquet(path)
+    return ST.files(m.spark, path, events.schema, 1)
+
+
 @query("SELECT user_id, CAST(epoch_us(date_trunc('hour', ts)) AS BIGINT) AS start_us, arg_min(v, (ts, v)) AS open, max(v) AS high, min(v) AS low, arg_max(v, (ts, v)) AS close, CAST(count(*) AS BIGINT) AS volume FROM (SELECT user_id, ts, CAST(floor(value * 100) AS BIGINT) AS v FROM events) GROUP BY ALL")
 def st07_candles_from_tape(m):
     stream = _stream(m).withColumn("v", F.floor(F.col("value") * 100)).withColumn("one", F.lit(1))
@@ -117,5 +132,14 @@ def st04_once_by_key(m):
 
 @query("SELECT user_id AS key, CAST(count(*) AS BIGINT) AS n, CAST(arg_max(cum, event_id) AS BIGINT) AS cum, CAST(greatest(0, max(cum)) AS BIGINT) AS peak, CAST(greatest(0, max(cum)) - arg_max(cum, event_id) AS BIGINT) AS drawdown FROM (SELECT user_id, event_id, sum(CAST(floor(value) AS BIGINT) % 21 - 10) OVER (PARTITION BY user_id ORDER BY event_id) AS cum FROM events) GROUP BY user_id")
 def st11_running_drawdown(m):
-    rows = _stream(m).select("user_id", F.col("event_id").alias("id"), (F.floor("value") % 21 - 10).alias("pnl"))
-    return ST.run_once(ST.drawdowns(rows, "user_id"), f"drawdown_{uuid.uuid4().hex}", "update")
+    """Over several files, one a micro-batch; a key's last row counts."""
+    rows = _in_files(m).select("user_id", F.col("event_id").alias("id"), (F.floor("value") % 21 - 10).alias("pnl"))
+    return ST.run_once(ST.drawdowns(rows, "user_id"), f"drawdown_{uuid.uuid4().hex}", "update", "key")
+
+
+@query("SELECT user_id AS key, CAST(rank AS BIGINT) AS rank, event_id AS id, volume FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY volume DESC, event_id) AS rank FROM (SELECT user_id, event_id, CAST(floor(value * 100) AS BIGINT) AS volume FROM events)) WHERE rank <= 5")
+def o06_top_five(m):
+    """The five largest of each user, kept as a bounded state over several micro-batches."""
+    rows = _in_files(m).select(F.col("user_id").alias("key"), F.col("event_id").alias("id"), F.floor(F.col("value") * 100).alias("volume"))
+    with ST.rocksdb_state(m.spark):
+        return ST.run_once(ST.top_rows(rows), f"top_{uuid.uuid4().hex}", "update", "key")

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidemark.session import shared_folder
@@ -94,17 +95,66 @@ def stopped(query: StreamingQuery, seconds: int = 60) -> bool:
     return bool(query.awaitTermination(seconds))
 
 
-def run_once(stream: DataFrame, name: str, mode: str = "append", each: Callable | None = None) -> DataFrame:
-    """ST03: all that is there, once, as a table in Parquet under the shared folder; no row passes through the driver. In complete mode the last batch is the table, otherwise all batches are."""
+class TopRows(StatefulProcessor):
+    """The most rows of a key by volume, of equal ones the least id; a list state of at most that many, which a time to live in milliseconds may end."""
+
+    def __init__(self, most: int, ttl_ms: int | None) -> None:
+        self.most, self.ttl_ms = most, ttl_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.top = handle.getListState("top", "id long, volume long", self.ttl_ms)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803, ANN001
+        best = {int(i): int(v) for i, v in self.top.get()}
+        for batch in rows:
+            for i, v in zip(batch["id"].tolist(), batch["volume"].tolist(), strict=True):
+                best[i] = max(v, best.get(i, v))
+            best = dict(sorted(best.items(), key=lambda r: (-r[1], r[0]))[: self.most])
+        self.top.put(list(best.items()))
+        yield pd.DataFrame({"key": key[0], "rank": range(1, len(best) + 1), "id": list(best), "volume": list(best.values())})
+
+    def close(self) -> None:
+        pass
+
+
+def top_rows(stream: DataFrame, most: int = 5, ttl_ms: int | None = None) -> DataFrame:
+    """O06, ST10: of (key, id, volume) the rows of largest volume of each key as of each micro-batch that has rows of it: key, rank, id, volume. An id that comes again counts with its largest volume. Needs the RocksDB state store (`rocksdb_state`)."""
+    mode = "ProcessingTime" if ttl_ms else "None"
+    return stream.groupBy("key").transformWithStateInPandas(TopRows(most, ttl_ms), f"key {dict(stream.dtypes)['key']}, rank long, id long, volume long", "update", mode)
+
+
+@contextlib.contextmanager
+def rocksdb_state(spark: SparkSession) -> Iterator[None]:
+    """Queries started inside keep their state in RocksDB."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
+def run_once(stream: DataFrame, name: str, mode: str = "append", key: str | None = None) -> DataFrame:
+    """ST03: all that is there, once, as a table in Parquet under the shared folder; no row passes through the driver. In complete mode the last batch is the table; in append mode all batches are; in update mode all are as well, but with a key only the rows of each key's last batch."""
     spark = stream.sparkSession
     path, schema, done = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}", stream.schema, []
 
     def write(batch: DataFrame, n: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batches/{n}")
+        batch.write.mode("overwrite").parquet(f"{path}/batches/batch_number={n}")
         done.append(n)
 
     q = stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", f"{path}/log").trigger(availableNow=True).start()
     q.awaitTermination()
     if not done:
         return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(f"{path}/batches/{max(done) if mode == 'complete' else '*'}")
+    if mode == "complete":
+        return spark.read.schema(schema).parquet(f"{path}/batches/batch_number={max(done)}")
+    rows = spark.read.schema(f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in schema)}, batch_number long").parquet(f"{path}/batches")
+    if key:
+        newest = rows.groupBy(F.col(key).alias("_key")).agg(F.max("batch_number").alias("_newest"))
+        rows = rows.join(newest, F.col(key).eqNullSafe(F.col("_key")) & (F.col("batch_number") == F.col("_newest")), "left_semi")
+    return rows.drop("batch_number")
