@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import boundaries as B
+from tidemark.operators import calibration as C
 from tidemark.operators import intervals as I  # noqa: E741
 from tidemark.operators import storage as S
 from tidemark.plans import upkeep
@@ -156,3 +157,18 @@ def test_top_rows_over_restarts(spark, tmp_path):
 def test_one_row_a_key_over_batches(spark, sf):
     out = upkeep.st11_running_drawdown(Market(spark, sf))
     assert out.count() == out.select("key").distinct().count() and len(out.inputFiles()) > 2
+
+
+def test_smoothing_by_recursion_and_by_fold(spark):
+    draw = random.Random(6)
+    rows = [(c, i, draw.random()) for c in [None, *"abcde"] for i in range(draw.randrange(1, 21))]
+    df = spark.createDataFrame(rows, "cell string, i int, rate double")
+    plain = {}
+    for c in {r[0] for r in rows}:
+        values = [v for k, _, v in sorted(r for r in rows if r[0] == c)]
+        for i in range(len(values)):
+            near = values[max(0, i - 2) : i + 3]
+            values[i] = sum(near) / len(near)
+            plain[c, i] = pytest.approx(values[i])
+    for smoothed in (C.smoothed_recursively, C.smoothed_in_place):
+        assert {(r.cell, r.i): r.smooth for r in smoothed(df, ["cell"], "i", "rate").collect()} == plain

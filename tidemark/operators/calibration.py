@@ -106,6 +106,24 @@ def smoothed_in_place(df: DataFrame, keys: Sequence[str], order: str, value: str
     return packed.withColumn("done", done).select(*keys, F.explode(F.arrays_zip("rows", "done")).alias("z")).select(*keys, f"z.rows.{order}", F.col("z.rows.v").alias(value), F.col("z.done").alias("smooth"))
 
 
+def smoothed_recursively(df: DataFrame, keys: Sequence[str], order: str, value: str) -> DataFrame:
+    """W04 for all cells at once: a recursion whose step is the place of a slice, so that a level is one join and not one cell. keys, order, value and smooth; cells of up to a hundred slices."""
+    by_place = Window.partitionBy(*keys).orderBy(order)
+    ahead = [F.lead(value, i).over(by_place).alias(f"_v{i}") for i in (1, 2)]
+    placed = df.select(*keys, order, F.col(value).cast("double").alias(value), *ahead, F.row_number().over(by_place).alias("_i"))
+    names, same = ", ".join(f"r.{k}" for k in keys), " AND ".join(f"r.{k} <=> s.{k}" for k in keys)
+    total = f"(coalesce(s._b, 0D) + coalesce(s._a, 0D) + r.{value} + coalesce(r._v1, 0D) + coalesce(r._v2, 0D))"
+    count = "(int(s._b IS NOT NULL) + int(s._a IS NOT NULL) + 1 + int(r._v1 IS NOT NULL) + int(r._v2 IS NOT NULL))"
+    first = total.replace("coalesce(s._b, 0D) + coalesce(s._a, 0D) + ", "")
+    return df.sparkSession.sql(
+        f"""WITH RECURSIVE s AS (
+          SELECT {names}, r.{order}, r.{value}, r._i, CAST(NULL AS DOUBLE) AS _b, {first} / (1 + int(r._v1 IS NOT NULL) + int(r._v2 IS NOT NULL)) AS _a FROM {{rows}} r WHERE r._i = 1
+          UNION ALL SELECT {names}, r.{order}, r.{value}, r._i, s._a, {total} / {count} FROM s JOIN {{rows}} r ON {same} AND r._i = s._i + 1)
+        SELECT {', '.join(keys)}, {order}, {value}, _a AS smooth FROM s""",
+        rows=placed,
+    )
+
+
 def fill_rates(obs: DataFrame, candles: DataFrame, steps: int = 10, least: int = 30) -> DataFrame:
     """Shares of quotes whose limit a later candle before settlement touches, by outcome.
 

@@ -6,10 +6,11 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import exprs as X
 from tidemark.operators import boundaries as B
+from tidemark.operators import calibration as C
 from tidemark.operators import intervals as I  # noqa: E741
 from tidemark.operators import storage as S
 from tidemark.plans.catalog import query
-from tidemark.session import shared_folder
+from tidemark.session import shared_folder, written
 
 CELL = ("gp", "topic", "price_bucket")
 
@@ -118,3 +119,17 @@ def s18_bucketed_last_quotes(m, buckets=16):
     for table, df, order in ((f"quotes_{name}", m.candles.select("ticker", "period_us", "seq", "bid"), ["period_us"]), (f"markets_{name}", m.settled.select("ticker", "settled_us"), [])):
         S.write_bucketed(df, table, "ticker", order, buckets, f"{at}/{table}")
     return S.last_before(m.spark, f"quotes_{name}", f"markets_{name}", "ticker", "period_us", "settled_us", "seq", ["bid"])
+
+
+@query(
+    """WITH RECURSIVE v AS (SELECT gp, topic, CAST(mid2 // 10 AS INTEGER) AS price_bucket, avg(CAST(yes AS INTEGER)) AS rate FROM observations GROUP BY ALL),
+    r AS (SELECT *, row_number() OVER w AS i, lead(rate, 1) OVER w AS v1, lead(rate, 2) OVER w AS v2 FROM v WINDOW w AS (PARTITION BY gp, topic ORDER BY price_bucket)),
+    s AS (SELECT gp, topic, price_bucket, i, CAST(NULL AS DOUBLE) AS b, list_avg([rate, v1, v2]) AS a FROM r WHERE i = 1
+      UNION ALL SELECT r.gp, r.topic, r.price_bucket, r.i, s.a, list_avg([s.b, s.a, r.rate, r.v1, r.v2]) FROM s JOIN r ON r.gp = s.gp AND r.topic = s.topic AND r.i = s.i + 1)
+    SELECT gp, topic, price_bucket, round(a, 9) AS smooth FROM s""",
+    "observations",
+)
+def w04_recursive_smoothing(m):
+    """Rates of each cell's price buckets, where each one sees what its left neighbours have become."""
+    rates = written(_cells(m).groupBy(*CELL).agg(F.avg(F.col("yes").cast("int")).alias("rate")), "rates")
+    return C.smoothed_recursively(rates, ["gp", "topic"], "price_bucket", "rate").select(*CELL, F.round("smooth", 9).alias("smooth"))

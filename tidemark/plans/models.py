@@ -7,6 +7,8 @@ from tidemark.operators import calibration as C
 from tidemark.operators import flow as W
 from tidemark.operators import strategy as S
 from tidemark.plans.catalog import query
+from tidemark.plans.scalars import FEE
+from tidemark.session import written
 
 RATES_SQL = """WITH o AS (SELECT *, CAST(mid2 // 10 AS INTEGER) AS price_bucket FROM observations),
 cell AS (SELECT gp, topic, price_bucket, count(DISTINCT ticker) AS m, count(*) AS n FROM o GROUP BY ALL HAVING count(DISTINCT ticker) >= 50),
@@ -135,15 +137,30 @@ def m05_queue_simulator(m):
 
 
 def _candidates(m):
+    # rates, fill rates and quotes all read the observations: they are joined once
+    m.observations = written(m.observations, "observations")
     rates = _rates(m, 20).groupBy("gp", "topic", "price_bucket").agg(F.avg("p_yes").alias("p_event"))
-    quotes = m.observations.withColumn("price_bucket", X.price_bucket(F.col("mid"))).join(F.broadcast(rates), ["gp", "topic", "price_bucket"])
+    quotes = m.observations.withColumn("price_bucket", X.price_bucket(F.col("mid"))).join(rates, ["gp", "topic", "price_bucket"])
     return S.ev_scan(quotes.select("ticker", "event_ticker", "gp", "topic", "hours", "bid", "ask", "p_event", "period_us", "seq", "result", "settled_us"), _fill_rates(m))
 
 
-@query()
+EXACT = "sum(p_raw * n_markets) OVER w / sum(n_markets) OVER w"
+SCAN_SQL = f"""WITH rates AS ({RATES_SQL.replace(">= 50", ">= 20").replace(f"round({EXACT}, 9)", EXACT)}), fills AS ({FILLS_SQL}),
+pe AS (SELECT gp, topic, price_bucket, avg(p_yes) AS p_event FROM rates GROUP BY ALL),
+c AS (SELECT o.event_ticker, o.ticker, f.side, f.step, f.rate_won, f.rate_lost, CASE f.side WHEN 'yes' THEN p_event ELSE 1 - p_event END AS p,
+  CASE f.side WHEN 'yes' THEN bid ELSE 100 - ask END + CAST(round_even((f.step / 10.0::DOUBLE) * (ask - bid), 0) AS INTEGER) AS lim
+  FROM observations o JOIN pe ON o.gp = pe.gp AND o.topic = pe.topic AND o.mid2 // 10 = pe.price_bucket
+  JOIN fills f ON o.gp = f.gp AND o.topic = f.topic AND f.time_bucket = CASE WHEN hours < 1 THEN '<1h' WHEN hours < 3 THEN '<3h' WHEN hours < 6 THEN '<6h' WHEN hours < 12 THEN '<12h' WHEN hours < 24 THEN '<24h' WHEN hours < 72 THEN '<72h' WHEN hours < 168 THEN '<168h' ELSE '>168h' END WHERE ask > bid),
+e AS (SELECT *, round(p * rate_won * (100 - lim - fee) - (1 - p) * rate_lost * (lim + fee), 9) AS ev FROM (SELECT *, {FEE.format(c="lim", q=1)} AS fee FROM c) WHERE lim > 0),
+t AS (SELECT * FROM e WHERE ev > 0 QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY ev DESC, side DESC, step, lim) = 1),
+s AS (SELECT *, least(5, greatest(1, 400 // lim)) AS contracts FROM t)
+SELECT event_ticker, ticker, side, lim AS "limit", CAST(contracts AS INTEGER) AS contracts, round(ev * contracts, 6) AS total_ev FROM s QUALIFY row_number() OVER (PARTITION BY event_ticker ORDER BY ev * contracts DESC, ticker) = 1"""
+
+
+@query(SCAN_SQL.replace('AS "limit"', "AS limit_cents"), "observations")
 def r01_ev_scan(m):
-    """Each event's best order among all its quotes: SQL can't say C01 and C07 in one statement of bearable length; tests hold ev_scan against a loop."""
-    return _candidates(m).select("event_ticker", "ticker", "side", "limit", "contracts", F.round("total_ev", 6).alias("total_ev"))
+    """Each event's best order among all its quotes."""
+    return _candidates(m).select("event_ticker", "ticker", "side", F.col("limit").alias("limit_cents"), "contracts", F.round("total_ev", 6).alias("total_ev"))
 
 
 @query()

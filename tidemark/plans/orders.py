@@ -6,6 +6,7 @@ from tidemark.functions import exprs as X
 from tidemark.operators import strategy as S
 from tidemark.operators import virtual as V
 from tidemark.plans.catalog import query
+from tidemark.plans.scalars import FEE
 
 
 @query(
@@ -64,7 +65,14 @@ def c09_training_rows(m):
     return rows.groupBy("ticker", "period_us", "side").agg(F.sum("flow").cast("bigint").alias("flow"), F.count_if("filled_5").alias("filled"))
 
 
-@query()
+@query(
+    f"""WITH t AS (SELECT DISTINCT event_ticker, ticker, CAST(split_part(ticker, '-', 3) AS DOUBLE) AS strike, side, mid FROM (
+      SELECT *, 'yes' AS side, mid2 // 2 AS mid FROM (SELECT * EXCLUDE (mid) FROM observations) UNION ALL SELECT *, 'no', CAST(floor((200 - mid2) / 2.0) AS INTEGER) FROM (SELECT * EXCLUDE (mid) FROM observations)) WHERE ask - bid BETWEEN 0 AND 10 AND mid BETWEEN 85 AND 97),
+    n AS (SELECT *, 0.05::DOUBLE - {FEE.format(c="mid", q=1)} / 100.0 AS net FROM t), g AS (SELECT * FROM n WHERE net >= 0.01),
+    p AS (SELECT y.event_ticker, y.ticker AS y_ticker, n.ticker AS n_ticker, y.net + n.net AS total FROM g y JOIN g n ON y.event_ticker = n.event_ticker AND y.side = 'yes' AND n.side = 'no' AND y.strike < n.strike)
+    SELECT event_ticker, y_ticker, n_ticker, round(total / 2, 6) AS mean_net FROM p QUALIFY row_number() OVER (PARTITION BY event_ticker ORDER BY total DESC, y_ticker, n_ticker) = 1""",
+    "observations",
+)
 def r03_tail_pairs(m):
     tails = m.observations.select("event_ticker", "ticker", "gp", "topic", F.explode(X.tails(F.col("bid"), F.col("ask"))).alias("t")).select("event_ticker", "ticker", "gp", "topic", "t.side", "t.mid", X.strike_of(F.col("ticker")).alias("strike")).distinct()
     edges = m.classes.select("gp", "topic").distinct().withColumn("edge", F.lit(0.05))

@@ -109,5 +109,9 @@ def with_views(sql: str, *names: str) -> str:
     for name in names:
         order += [n for n in (*_NEEDS.get(name, []), name) if n not in order]
     prefix = ",\n".join(f"{n} AS (SELECT * FROM ({VIEWS[n]}))" for n in order)
-    body = sql.strip()
-    return f"WITH {prefix}{', ' + body[5:] if body[:5].upper() == 'WITH ' else ' ' + body}" if prefix else body
+    body, first = sql.strip(), "WITH"
+    if not prefix:
+        return body
+    if body[:15].upper() == "WITH RECURSIVE ":
+        body, first = "WITH " + body[15:], "WITH RECURSIVE"
+    return f"{first} {prefix}{', ' + body[5:] if body[:5].upper() == 'WITH ' else ' ' + body}"
