@@ -28,6 +28,13 @@ def checks(df: DataFrame, rules: Mapping[str, tuple[Column, Column, float, float
     return df.agg(*counts).select(F.explode(F.array(*each)).alias("r")).select("r.*")
 
 
+def at_least(df: DataFrame, rules: Mapping[str, tuple[Column, int]]) -> DataFrame:
+    """A row for each rule, as checks() gives them: an aggregate must reach a number; bad is what it lacks, total what it is."""
+    sums = df.agg(*[F.coalesce(c, F.lit(0)).cast("long").alias(n) for n, (c, _) in rules.items()])
+    each = [F.struct(F.lit(n).alias("check_name"), F.greatest(F.lit(0), least - F.col(n)).cast("long").alias("bad"), F.col(n).alias("total"), (F.col(n) >= least).alias("passed")) for n, (_, least) in rules.items()]
+    return sums.select(F.explode(F.array(*each)).alias("r")).select("r.*")
+
+
 def hourly_gaps(df: DataFrame, key: str, time_us: str) -> DataFrame:
     """Of each key, hours between its first and last row that have none."""
     hour = F.floor(F.col(time_us) / 3_600_000_000)

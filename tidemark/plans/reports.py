@@ -206,7 +206,7 @@ def _checks(df, rules):
 
 
 RULES = {
-    "h05": {"null_structure": ("o_orderpriority IS NULL", "true", 0.05, 0), "null_result": ("result IS NULL", "true", 0.05, 0)},
+    "h05": {"null_structure": ("nullif(o_orderpriority, '3-MEDIUM') IS NULL", "true", 0.05, 0), "null_result": ("result IS NULL", "true", 0.05, 0)},
     "h06": {"no_close_time": ("settled_us IS NULL", "true", 0, 0), "no_volume": ("o_totalprice <= 1000", "true", 0.5, 0), "stale": (f"settled_us < {END} - 30 * {DAY}", "result IS NULL", 0, 100)},
     "h07": {"no_result": ("result IS NULL", "true", 0.01, 0), "no_settled_at": ("settled_us IS NULL", "true", 0.01, 0)},
     "h08": {"inverted": ("ask < bid", f"period_us >= {END} - 7 * {DAY}", 0, 0), "missing_quote": ("bid IS NULL OR ask IS NULL", "true", 0, 0)},
@@ -214,9 +214,28 @@ RULES = {
 }
 
 
-@query(_checks_sql("settled", RULES["h05"]), "settled")
+def _least_sql(table, rules, time=""):
+    return " UNION ALL ".join(f"SELECT '{n}' AS check_name, CAST(greatest(0, {least} - value) AS BIGINT) AS bad, CAST(value AS BIGINT) AS total, value >= {least} AS passed FROM (SELECT coalesce({of.format(at=f'make_timestamp({time})')}, 0) AS value FROM {table})" for n, (of, least) in rules.items())
+
+
+def _least(df, rules, time=""):
+    return H.at_least(df, {n: (F.expr(of.format(at=f"timestamp_micros({time})")), least) for n, (of, least) in rules.items()})
+
+
+MONTH = "(year({at}) * 12 + month({at}))"
+#: A value and what it must be at least; months: those with rows less those from the first to the last.
+LEAST = {
+    "h05": {"categories": ("count(DISTINCT CASE WHEN result IS NOT NULL THEN o_orderpriority END)", 3)},
+    "h08": {"last_hour": (f"count_if(period_us > {END} - 3600000000 AND period_us <= {END})", 1), "last_day": (f"count_if(period_us > {END} - {DAY} AND period_us <= {END})", 1)},
+    "h09": {"last_day": (f"count_if(ts_us > {END} - {DAY})", 1), "months": (f"count(DISTINCT {MONTH}) - (max({MONTH}) - min({MONTH}) + 1)", 0)},
+}
+EVENTS_SQL = "(SELECT event_ticker, count(result) AS n, min(nullif(o_orderpriority, '3-MEDIUM')) AS structure FROM settled GROUP BY event_ticker)"
+EVENT_RULES = {"no_markets": ("n = 0", "true", 0.05, 0), "event_structure": ("structure IS NULL", "true", 0.10, 0)}
+
+
+@query(_checks_sql("settled", RULES["h05"]) + " UNION ALL " + _least_sql("settled", LEAST["h05"]), "settled")
 def h05_event_checks(m):
-    return _checks(m.settled, RULES["h05"])
+    return _checks(m.settled, RULES["h05"]).unionByName(_least(m.settled, LEAST["h05"]))
 
 
 @query(_checks_sql("settled", RULES["h06"]), "settled")
@@ -224,19 +243,20 @@ def h06_market_checks(m):
     return _checks(m.settled, RULES["h06"])
 
 
-@query(_checks_sql("settled", RULES["h07"]), "settled")
+@query(_checks_sql("settled", RULES["h07"]) + " UNION ALL " + _checks_sql(EVENTS_SQL, EVENT_RULES), "settled")
 def h07_settlement_checks(m):
-    return _checks(m.settled, RULES["h07"])
+    events = m.settled.groupBy("event_ticker").agg(F.count("result").alias("n"), F.min(F.nullif("o_orderpriority", F.lit("3-MEDIUM"))).alias("structure"))
+    return _checks(m.settled, RULES["h07"]).unionByName(_checks(events, EVENT_RULES))
 
 
-@query(_checks_sql("candles", RULES["h08"]), "candles")
+@query(_checks_sql("candles", RULES["h08"]) + " UNION ALL " + _least_sql("candles", LEAST["h08"]), "candles")
 def h08_snapshot_checks(m):
-    return _checks(m.candles, RULES["h08"])
+    return _checks(m.candles, RULES["h08"]).unionByName(_least(m.candles, LEAST["h08"]))
 
 
-@query(_checks_sql("tape", RULES["h09"]), "tape")
+@query(_checks_sql("tape", RULES["h09"]) + " UNION ALL " + _least_sql("tape", LEAST["h09"], "ts_us"), "tape")
 def h09_trade_checks(m):
-    return _checks(m.tape, RULES["h09"])
+    return _checks(m.tape, RULES["h09"]).unionByName(_least(m.tape, LEAST["h09"], "ts_us"))
 
 
 @query("SELECT series AS dataset_id, min(period_us) AS first, max(period_us) AS last, CAST(count(*) AS BIGINT) AS n FROM observations WHERE bid > 20 GROUP BY series", "observations")
