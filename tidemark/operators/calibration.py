@@ -79,6 +79,36 @@ def event_rates(obs: DataFrame, price: str, least_markets: int = LEAST_MARKETS,
     return base.withColumn("source", F.when(best["v"] > 0, best["s"])).withColumn("se", X.binomial_se(F.col("p_raw"), F.col("n_markets"))).withColumn("p_yes", smooth).drop(*[f"{x}{i}" for i in range(len(of)) for x in "vr"])
 
 
+def rates_by_method(obs: DataFrame, least_markets: int = LEAST_MARKETS, sources: Sequence[str] = SOURCES) -> DataFrame:
+    """C01 by each of the price methods in one pass: obs has bid, ask and trade in cents instead of a price; the method is one more part of the cell."""
+    prices = F.explode(F.array(*[F.struct(F.lit(m).alias("method"), conditioning_price(m, F.col("bid"), F.col("ask"), F.col("trade")).alias("price")) for m in METHODS]))
+    rows = obs.withColumn("_p", prices).where("_p.price IS NOT NULL").withColumn("gp", F.struct("_p.method", "gp")).withColumn("price", F.col("_p.price")).drop("_p")
+    return event_rates(rows, "price", least_markets, sources).withColumn("method", F.col("gp.method")).withColumn("gp", F.col("gp.gp"))
+
+
+def averaged_rates(questions: DataFrame, rates: DataFrame) -> DataFrame:
+    """Questions (gp, topic, hours, bid, ask, trade; prices in cents) with the mean rate and mean error of the price methods that know them, the least n_markets and the number of methods.
+
+    Of each method the first slice of its price bucket that holds hours, both ends included, counts; a trade of 0, less or null is
+    none. All methods share one index for each (gp, topic): a map from method and price bucket to its slices, 1600 slices at
+    most, which a question meets in one join. Where no method knows it, or gp or topic is null, rate, se and n_markets are null.
+    """
+    slot = lambda m, bucket: METHODS.index(m) * 20 + bucket
+    number = F.element_at(F.create_map(*[F.lit(x) for m in METHODS for x in (m, slot(m, 0))]), F.col("method")) + F.col("price_bucket")
+    slices = rates.groupBy("gp", "topic", number.alias("slot")).agg(F.array_sort(F.collect_list(F.struct("bucket_index", "hours_from", "hours_to", "p_yes", "se", "n_markets"))).alias("slices"))
+    index = slices.groupBy("gp", "topic").agg(F.map_from_entries(F.collect_list(F.struct("slot", "slices"))).alias("_index"))
+    joined = questions.join(index, ["gp", "topic"], "left")
+
+    def known(m: str) -> Column:
+        bucket = X.price_bucket(conditioning_price(m, F.col("bid"), F.col("ask"), F.col("trade")))
+        return F.try_element_at(F.filter(F.try_element_at("_index", slot(m, bucket)), lambda s: F.col("hours").between(s["hours_from"], s["hours_to"])), F.lit(1))
+
+    hits = joined.withColumn("_hits", F.filter(F.array(*[known(m) for m in METHODS]), lambda h: h.isNotNull()))
+    mean = lambda c: F.try_divide(F.aggregate("_hits", F.lit(0.0), lambda s, h: s + h[c]), F.size("_hits"))
+    found = {"rate": mean("p_yes"), "se": mean("se"), "n_markets": F.array_min(F.transform("_hits", lambda h: h["n_markets"])), "n_methods": F.greatest(F.size("_hits"), F.lit(0))}
+    return hits.select(*questions.columns, *[c.alias(n) for n, c in found.items()])
+
+
 def best_source(obs: DataFrame, key: str, source: str, order: Sequence[str]) -> DataFrame:
     """All rows of the first source, in order, that a key has."""
     rank = F.array_position(F.array(*[F.lit(s) for s in order]), F.col(source))

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import contextlib
+from collections.abc import Iterator, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -21,6 +22,28 @@ def freshness(df: DataFrame, time: str, rows: Column | None = None) -> DataFrame
     return used.agg(F.min(time).alias("first"), F.max(time).alias("last"), F.count("*").alias("n"))
 
 
+@contextlib.contextmanager
+def _footers(spark: SparkSession) -> Iterator[None]:
+    """While it lasts, Parquet aggregates are pushed to the files' footers."""
+    wanted = {"spark.sql.sources.useV1SourceList": "", "spark.sql.parquet.aggregatePushdown": "true"}
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    try:
+        for k, v in wanted.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def footer_counts(spark: SparkSession, path: str, *columns: str) -> DataFrame:
+    """N, and first and last value of each column (whole numbers, floating point, dates), of Parquet files from their footers: no data page is read, and the numbers are exact. One row, made when this is called."""
+    with _footers(spark):
+        ends = [f(c).alias(f"{n}_{c}") for c in columns for f, n in ((F.min, "first"), (F.max, "last"))]
+        found = spark.read.parquet(path).agg(F.count("*").alias("n"), *ends)
+        return spark.createDataFrame(found.collect(), found.schema)
+
+
 def checks(df: DataFrame, rules: Mapping[str, tuple[Column, Column, float, float]]) -> DataFrame:
     """A row for each rule: name, bad, total, passed. A rule is (what is bad, among which rows, share allowed, number allowed); all are counted in one pass."""
     counts = [c for n, (bad, among, _, _) in rules.items() for c in (F.count_if(among & F.coalesce(bad, F.lit(False))).alias(f"bad_{n}"), F.count_if(among).alias(f"all_{n}"))]
