@@ -30,6 +30,9 @@ def inferred(spark: SparkSession, path: str, share: float = 1.0, tolerance: floa
 
 def read_csv(spark: SparkSession, path: str, share: float = 1.0, tolerance: float = 0.0, **options: str) -> DataFrame:
     """Typed rows; a line with another number of fields or with a value of another type is kept whole in _corrupt_record, with nulls for what didn't parse. Other rows have null there."""
-    schema = StructType([*inferred(spark, path, share, tolerance, **options).fields, StructField(CORRUPT, StringType())])
-    # all columns are parsed, whichever a query reads, so that a line is bad or good in every query
-    return spark.read.schema(schema).options(header=True, mode="PERMISSIVE", columnNameOfCorruptRecord=CORRUPT, columnPruning=False, enforceSchema=False, **options).csv(path)
+    found = inferred(spark, path, share, tolerance, **options)
+    schema = StructType([*found.fields, StructField(CORRUPT, StringType())])
+    rows = spark.read.schema(schema).options(header=True, mode="PERMISSIVE", columnNameOfCorruptRecord=CORRUPT, columnPruning=False, enforceSchema=False, **options).csv(path)
+    # only what a query reads is parsed: whoever asks for bad lines reads all columns, so that a line is bad in every query or in none
+    whole = F.length(F.concat_ws("", *[F.col(f"`{c}`").cast("string") for c in found.names])) >= 0
+    return rows.withColumn(CORRUPT, F.when(F.col(CORRUPT).isNotNull() & whole, F.col(CORRUPT)))

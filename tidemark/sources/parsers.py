@@ -41,9 +41,9 @@ def candles(df: DataFrame, body: str, *keep: str) -> DataFrame:
 
 
 def ladder(dollars: Column, plain: Column) -> Column:
-    """[[price, quantity], ...] of either format as an array of struct(price in cents, quantity)."""
-    new = F.transform(dollars, lambda x: F.struct(cents(x[0]).alias("price"), x[1].try_cast("double").cast("int").alias("quantity")))
-    old = F.transform(plain, lambda x: F.struct(x[0].try_cast("int").alias("price"), x[1].try_cast("int").alias("quantity")))
+    """[[price, quantity], ...] of either format as an array of struct(price in cents, quantity); what a level lacks is null."""
+    new = F.transform(dollars, lambda x: F.struct(cents(F.get(x, 0)).alias("price"), F.get(x, 1).try_cast("double").cast("int").alias("quantity")))
+    old = F.transform(plain, lambda x: F.struct(F.get(x, 0).try_cast("int").alias("price"), F.get(x, 1).try_cast("int").alias("quantity")))
     return F.coalesce(new, old)
 
 
