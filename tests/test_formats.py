@@ -13,10 +13,13 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import calibration as C
 from tidemark.operators import health as H
+from tidemark.operators import joins as J
+from tidemark.operators import track as T
 from tidemark.session import ROOT
 from tidemark.sources import append as A
 from tidemark.sources import delimited as D
 from tidemark.sources import documents as N
+from tidemark.sources import parsers as P
 
 BOOKS = [
     ("new", '{"orderbook_fp":{"yes_dollars":[["0.85","100.00"],["0.295","7.9"]],"no_dollars":null}}', ("new", [(85, 100), (30, 7)], [])),
@@ -180,6 +183,27 @@ def test_footer_counts_read_no_data(spark, tmp_path):
     assert spark.conf.get("spark.sql.parquet.aggregatePushdown") == "false"
 
 
+def test_series_pages_without_missing_values(spark):
+    pages = [(1, '{"count":4,"observations":[{"date":"2024-01-01","value":"."},{"date":"2024-01-02","value":"1.5"},{"date":"2024-01-03","value":""},{"date":"2024-01-04","value":null}]}'), (2, '{"observations":[{"date":"x","value":2},{"date":"2024-02-01","value":"-3e2"},{"value":"many"}]}'), (3, "{"), (4, None), (5, '{"observations":[]}')]
+    got = P.series_observations(spark.createDataFrame(pages, "k int, body string"), "body", "k").collect()
+    assert sorted((r.k, str(r.date), r.value) for r in got) == [(1, "2024-01-02", 1.5), (2, "2024-02-01", -300.0), (2, "None", 2.0)]
+
+
+def test_event_columns_double_no_market(spark):
+    markets = spark.createDataFrame([("m1", "e1"), ("m2", "e1"), ("m3", "e2"), ("m4", "e3"), ("m5", None)], "ticker string, event_ticker string")
+    events = spark.createDataFrame([("e1", "c", "t"), ("e1", "b", "u"), ("e2", None, "x"), (None, "n", "n")], "event_ticker string, category string, title string")
+    got = sorted(tuple(r) for r in J.with_event(markets, events, event_category="category", event_title="title").collect())
+    assert got == [("m1", "e1", "b", "u"), ("m2", "e1", "b", "u"), ("m3", "e2", None, "x"), ("m4", "e3", None, None), ("m5", None, None, None)]
+
+
+def test_running_totals_over_blocks_of_blocks(spark):
+    rows = [(i * 7 % 401 - 50, i) for i in range(401)]
+    want = {k: sum(v for j, v in rows if j <= k) for k, _ in rows}
+    got = {r.k: r.run for r in T.running_total(spark.createDataFrame(rows, "k long, v long").repartition(4), "k", "v", "run", 5).collect()}
+    assert got == want
+    assert T.running_total(spark.createDataFrame([], "k long, v long"), "k", "v", "run").count() == 0
+
+
 def test_averaged_rates(spark):
     cell = lambda m, b, i, low, high, p, se, n: ("g", "t", m, b, i, low, high, p, se, n)
     rates = spark.createDataFrame(

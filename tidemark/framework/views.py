@@ -97,7 +97,7 @@ def event_rate_estimator(observations: str = "observations", price: str = "price
 
 def classification_estimator(classes: str = "classes") -> Estimator:
     """The class of each series."""
-    return Estimator("classification", lambda f, _: f[classes].dropDuplicates(["series"]), (classes,), (), lambda t, q: q.join(F.broadcast(t), "series", "left"))
+    return Estimator("classification", lambda f, _: f[classes].dropDuplicates(["series"]), (classes,), (), lambda t, q: q.join(t, "series", "left"))
 
 
 def temporal_validation(registry: Registry, estimator: Estimator, boundaries: Sequence[datetime], questions: Callable[[datetime, datetime], DataFrame], metric: Column) -> DataFrame:

@@ -74,6 +74,12 @@ def class_of(markets: DataFrame, events: DataFrame, classes: DataFrame, values:
     return keyed.select(*markets.columns, *[F.coalesce(*[F.col(f"_{v}{i}") for i in (1, 2, 3)]).alias(v) for v in values])
 
 
+def with_event(markets: DataFrame, events: DataFrame, **names: str) -> DataFrame:
+    """Markets with columns of their event, given as new name = column of events; nulls where the event is unknown or null. Of events that are stored twice the row with the least values counts, so that no market is doubled."""
+    known = events.groupBy("event_ticker").agg(F.min(F.struct(*[F.col(c).alias(n) for n, c in names.items()])).alias("_event"))
+    return markets.join(known, "event_ticker", "left").select(*markets.columns, *[F.col(f"_event.{n}").alias(n) for n in names])
+
+
 def filled_by_passes(rows: DataFrame, column: str, passes: Sequence[tuple[DataFrame, Sequence[Column], str]]) -> DataFrame:
     """Rows whose column is null or empty take it from the first pass that has it: (table, join condition, its column)."""
     out, found = rows, [F.nullif(F.col(column), F.lit(""))]

@@ -50,10 +50,17 @@ def predictions(scored: pd.DataFrame) -> pd.DataFrame:
 
 
 def running_total(df: DataFrame, order: str, value: str, name: str, width: int = 1 << 16) -> DataFrame:
-    """Df with the sum of value up to each row in the order of a number, without one sorted task: blocks of the order are summed, the sums of the blocks before are added."""
-    block = F.floor(F.col(order) / width)
-    blocked = df.withColumn("_block", block)
-    sums = blocked.groupBy("_block").agg(F.sum(value).alias("_sum"))
-    before = sums.select("_block", F.coalesce(F.sum("_sum").over(Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    """Df with the sum of value up to each row in the order of a whole number, without one sorted task.
+
+    Blocks of width numbers are summed, and blocks of width blocks: a row has the sums of the outer blocks before, of the blocks
+    before within its outer block, and of the rows before within its block. The one sort of all outer blocks has a row for
+    each width * width numbers. Rows of one number go in any order.
+    """
+    blocked = df.withColumn("_block", F.floor(F.col(order) / width)).withColumn("_outer", F.floor(F.col("_block") / width))
+    sums = blocked.groupBy("_outer", "_block").agg(F.sum(value).alias("_sum"))
+    earlier = lambda *by: (Window.partitionBy(*by) if by else Window).orderBy("_outer", "_block").rowsBetween(Window.unboundedPreceding, -1)
+    outer = sums.groupBy("_outer").agg(F.sum("_sum").alias("_sum")).withColumn("_block", F.lit(0))
+    starts = outer.select("_outer", F.coalesce(F.sum("_sum").over(earlier()), F.lit(0)).alias("_start"))
+    before = sums.withColumn("_near", F.coalesce(F.sum("_sum").over(earlier("_outer")), F.lit(0))).join(starts, "_outer").select("_block", (F.col("_start") + F.col("_near")).alias("_before"))
     inside = F.sum(value).over(Window.partitionBy("_block").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return blocked.withColumn("_inside", inside).join(before, "_block").withColumn(name, F.col("_before") + F.col("_inside")).drop("_block", "_inside", "_before")
+    return blocked.withColumn("_inside", inside).join(before, "_block").withColumn(name, F.col("_before") + F.col("_inside")).drop("_block", "_outer", "_inside", "_before")

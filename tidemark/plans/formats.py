@@ -74,6 +74,14 @@ def s12_nested_contracts(m):
     return out.select("o_custkey", "market_id", "contract_id", "buy_yes", "sell_yes", F.round("spread_bps", 6).alias("spread_bps"))
 
 
+@query("SELECT l_suppkey AS series, CAST(l_shipdate AS DATE) AS date, l_extendedprice AS value, l_orderkey FROM lineitem WHERE l_returnflag = 'A' OR (l_returnflag = 'N' AND l_linenumber % 2 = 0)")
+def s08_series_observations(m):
+    """Observations of series in pages, a page for each order and series: those that are missing drop."""
+    value = F.when(F.col("l_returnflag") == "R", ".").when((F.col("l_returnflag") == "N") & (F.col("l_linenumber") % 2 > 0), F.when(F.col("l_partkey") % 2 == 0, "")).otherwise(F.col("l_extendedprice").cast("string"))
+    page = m.raw("lineitem").groupBy(F.col("l_suppkey").alias("series"), "l_orderkey").agg(F.collect_list(F.struct(F.date_format("l_shipdate", "yyyy-MM-dd").alias("date"), value.alias("value"))).alias("observations"))
+    return P.series_observations(page.select("series", "l_orderkey", F.to_json(F.struct("observations")).alias("body")), "body", "series", "l_orderkey")
+
+
 @query(
     """SELECT l_returnflag, 'bigint,double,string,timestamp' AS kinds, CAST(count(*) AS BIGINT) AS n, CAST(count(*) FILTER (bad) AS BIGINT) AS n_bad, CAST(sum(CASE WHEN NOT bad THEN CAST(l_quantity AS BIGINT) END) AS BIGINT) AS quantity, CAST(sum(l_orderkey) AS BIGINT) AS keys
     FROM (SELECT *, (l_orderkey + l_linenumber) % 997 = 0 AS bad FROM lineitem) GROUP BY l_returnflag"""

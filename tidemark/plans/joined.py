@@ -22,7 +22,7 @@ def j01_calibration_curve(m):
 @query("SELECT s.ticker, coalesce(gp, 'unknown') AS gp, coalesce(topic, 'unknown') AS topic FROM settled s LEFT JOIN (SELECT * FROM classes WHERE gp <> 'ASIA') c ON s.series = c.series", "settled", "classes")
 def j02_classify(m):
     known = m.classes.where("gp <> 'ASIA'")
-    return m.settled.join(F.broadcast(known), "series", "left").select("ticker", F.coalesce("gp", F.lit("unknown")).alias("gp"), F.coalesce("topic", F.lit("unknown")).alias("topic"))
+    return m.settled.join(known, "series", "left").select("ticker", F.coalesce("gp", F.lit("unknown")).alias("gp"), F.coalesce("topic", F.lit("unknown")).alias("topic"))
 
 
 @query(ASOF, "candles")
@@ -49,7 +49,14 @@ def j06_fallback_classes(m):
     plain = m.classes.where("topic <> 'T1'").select("series", F.when(F.col("series") >= "S2", F.col("gp")).alias("gp"), "topic")
     known = plain.unionByName(m.classes.select(F.concat(F.lit("KX"), "series").alias("series"), "gp", F.lit(None).cast("string").alias("topic")))
     events = m.settled.where("o_orderkey % 3 = 0").select("event_ticker", "series").distinct()
-    return J.class_of(m.settled.select("ticker", "event_ticker"), events, F.broadcast(known)).select("ticker", "gp", "topic")
+    return J.class_of(m.settled.select("ticker", "event_ticker"), events, known).select("ticker", "gp", "topic")
+
+
+@query("SELECT s.ticker, s.event_ticker, e.category AS event_category, e.title AS event_title FROM settled s LEFT JOIN (SELECT DISTINCT 'S' || c_nationkey || '-' || c_custkey AS event_ticker, c_mktsegment AS category, c_name AS title FROM customer WHERE c_custkey % 5 > 0) e ON s.event_ticker = e.event_ticker", "settled")
+def j07_event_titles(m):
+    """Markets with category and title of their event, where that has been collected; some events are stored twice."""
+    events = m.raw("customer").where("c_custkey % 5 > 0").select(F.concat(F.lit("S"), "c_nationkey", F.lit("-"), "c_custkey").alias("event_ticker"), F.col("c_mktsegment").alias("category"), F.col("c_name").alias("title"), F.explode(F.sequence(F.lit(0), (F.col("c_custkey") % 2).cast("int"))))
+    return J.with_event(m.settled.select("ticker", "event_ticker"), events, event_category="category", event_title="title")
 
 
 MATERIAL_SQL = f"""WITH last AS ({ASOF}), far AS (SELECT ticker, max(period_us) AS period_us FROM candles GROUP BY ticker)
@@ -62,7 +69,7 @@ def j08_materialization(m):
     """Settled markets with their last quote before settlement and class: the weekly table."""
     left = m.settled.where("result IS NOT NULL").select("ticker", "event_ticker", "series", "result", "settled_us")
     priced = J.asof_last(left, m.candles.where("ask - bid <= 20"), "ticker", "settled_us", "period_us", ["bid", "ask"], tie=["seq"])
-    known = priced.join(F.broadcast(m.classes), "series", "left")
+    known = priced.join(m.classes, "series", "left")
     hours = (F.col("settled_us") - F.col("matched_at")) / F.lit(3.6e9)
     return known.select("ticker", "event_ticker", "result", "settled_us", "bid", "ask", hours.alias("hours"), F.when(F.col("bid").isNull(), "none").otherwise("candle").alias("source"), F.coalesce("gp", F.lit("unknown")).alias("gp"), F.coalesce("topic", F.lit("unknown")).alias("topic"))
 

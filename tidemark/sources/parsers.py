@@ -127,6 +127,12 @@ def daily_series(df: DataFrame, prices: str, volumes: str, *keep: str) -> DataFr
     return rows.groupBy(*keep, "date").agg(F.min_by("price", "i").alias("price"), F.min_by("volume", "i").alias("volume"))
 
 
+def series_observations(df: DataFrame, body: str, *keep: str) -> DataFrame:
+    """Date and value of the observations in pages of a series; missing ones ('.', empty, null) and values that are no number drop, as do pages that don't parse."""
+    o = df.select(*keep, F.explode(F.from_json(body, "observations array<struct<date: string, value: string>>")["observations"]).alias("o"))
+    return o.select(*keep, F.col("o.date").try_cast("date").alias("date"), F.col("o.value").try_cast("double").alias("value")).where("value IS NOT NULL")
+
+
 def api_windows(spark, first: str, last: str, done: DataFrame | None = None) -> DataFrame:
     """Months from first to last, newest first, without those in done(month)."""
     every = spark.sql(f"SELECT explode(sequence(date_trunc('month', date '{first}'), date_trunc('month', date '{last}'), interval 1 month)) AS month").withColumn("month", F.to_date("month"))

@@ -85,7 +85,7 @@ class Market:
     @cached_property
     def observations(self) -> DataFrame:
         """Quotes before settlement with their market's result and class."""
-        joined = self.quoted.where(F.col("result").isNotNull()).join(F.broadcast(self.classes), "series", "left")
+        joined = self.quoted.where(F.col("result").isNotNull()).join(self.classes, "series", "left")
         known = joined.withColumn("gp", F.coalesce("gp", F.lit("unknown"))).withColumn("topic", F.coalesce("topic", F.lit("unknown")))
         good = known.where("period_us < settled_us AND bid > 0 AND ask > 0 AND ask - bid <= 10 AND bid + ask BETWEEN 1 AND 199")
         return good.withColumn("hours", (F.col("settled_us") - F.col("period_us")) / F.lit(3.6e9)).withColumn("mid2", F.col("bid") + F.col("ask")).withColumn("mid", F.col("mid2") / F.lit(200.0)).withColumn("yes", F.col("result") == "yes")
