@@ -317,3 +317,25 @@ def test_event_rates_take_a_null_as_a_key_like_any_other(spark):
     assert found[0] == found[1]
     assert sum(r.n for r in found[0]) == 900 and [r.n for r in found[0]] == [300, 300, 300]
     assert found[0][0].hours_to is None
+
+
+def test_flow_fallback_keeps_orders_that_are_alike_and_nulls(spark):
+    def table(level, time, side, vol, price, outcome, n, n_outcome, p):
+        return (level, "g", "t", time, side, vol, price, outcome, n_outcome, [p] * 8, n)
+
+    rows = [table(1, "1-3h", "yes", "low", "90", o, 400, 200, p) for o, p in (("won", 0.6), ("lost", 0.5))]
+    t = spark.createDataFrame(rows, "level int, gp string, topic string, time_bucket string, side string, vol_bucket string, price string, outcome string, n_outcome long, exceed array<double>, n_observations long")
+    schema = "gp string, topic string, hours double, side string, quantity int, limit int, volume int, level_ string, _k string"
+    orders = spark.createDataFrame([("g", "t", 2.0, "yes", 1, 90, 50, "a", "b")] * 3 + [(None, "t", 2.0, "yes", 1, 90, 50, None, None), ("g", "t", None, None, None, None, None, None, None)], schema).withColumnRenamed("level_", "k_time")
+    got = sorted(((r.gp, r.hours, r.k_time, r.level, r.p_won, r.p_lost) for r in W.fill_probability(orders, t).collect()), key=str)
+    assert got == sorted([("g", 2.0, "a", 1, 0.6, 0.5)] * 3 + [(None, 2.0, None, None, None, None), ("g", None, None, None, None, None)], key=str)
+    assert W.fill_probability(orders.limit(0), t).count() == 0
+    assert [r.level for r in W.fill_probability(orders, t.limit(0)).collect()] == [None] * 5
+
+
+def test_flow_between_keeps_points_that_are_alike(spark):
+    tape = spark.createDataFrame([("t", 5, 1, 80, "no", 3), ("t", 10, 2, 90, "no", 4), ("t", 20, 3, 91, "no", 9)], "ticker string, ts_us long, trade_id int, yes_cents int, taker_side string, count int")
+    points = spark.createDataFrame([("t", "yes", 90, 4, 20, 1), ("t", "yes", 90, 4, 20, 1), ("t", "yes", 90, 5, 20, None), ("t", "yes", 90, 30, 20, 2), ("u", "yes", 90, 4, 20, 1)], "ticker string, side string, limit int, from_us long, to_us long, flow_ int")
+    got = sorted((r.ticker, r.from_us, r.flow_, r.flow) for r in W.flow_between(points, tape).collect())
+    assert got == [("t", 4, 1, 7), ("t", 4, 1, 7), ("t", 5, None, 4), ("t", 30, 2, 0), ("u", 4, 1, 0)]
+    assert W.flow_between(points.limit(0), tape).count() == 0

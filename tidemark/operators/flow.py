@@ -81,24 +81,33 @@ def flow_table(obs: DataFrame, thresholds: Sequence[int] = THRESHOLDS) -> DataFr
 
 
 def fill_probability(orders: DataFrame, table: DataFrame, thresholds: Sequence[int] = THRESHOLDS) -> DataFrame:
-    """Orders (gp, topic, hours, side, quantity, limit, volume) with level, p_won and p_lost of the first level with enough support; nulls if none has."""
-    # numbered once and carried along: no branch is joined to another by the number
-    base = orders.select(F.monotonically_increasing_id().alias("_id"), F.struct(*orders.columns).alias("order"), "*")
+    """Orders (gp, topic, hours, side, quantity, limit, volume) with level, p_won and p_lost of the first level with enough support; nulls if none has.
+
+    Levels are tried once for each key in use, of which a (gp, topic) has some 900 at most, and orders then take the curves
+    of their key: an order is neither numbered nor repeated, so orders that are alike all stay.
+    """
     fine = X.flow_time_bucket(F.col("hours"))
-    coarse, price, vol, any_ = X.coarse_time_bucket(fine), X.snap_tail(F.col("limit")).cast("string"), X.volume_bucket(F.col("volume")), F.lit("*")
-    keys = [(fine, F.col("side"), vol, price), (fine, F.col("side"), any_, price), (coarse, F.col("side"), any_, price), (coarse, F.col("side"), any_, any_), (coarse, F.col("side"), any_, any_), (coarse, any_, any_, any_)]
-    tried = F.explode(F.array(*[F.struct(F.lit(i).alias("level"), *[c.alias(n) for c, n in zip(k, ("k_time", "k_side", "k_vol", "k_price"), strict=True)]) for i, k in enumerate(keys, 1)]))
-    candidates = base.select("_id", "order", "gp", "topic", "quantity", tried.alias("t")).select("_id", "order", "gp", "topic", "quantity", "t.*")
+    names = ["k_time", "k_side", "k_vol", "k_price"]
+    own = [f"_{n}" for n in ("gp", "topic", *names)]
+    mine = {"_gp": F.col("gp"), "_topic": F.col("topic"), "_k_time": fine, "_k_side": F.col("side"), "_k_vol": X.volume_bucket(F.col("volume")), "_k_price": X.snap_tail(F.col("limit")).cast("string")}
+    keyed = orders.select("*", *[c.alias(n) for n, c in mine.items()])
+    time, side, vol, price = (F.col(n) for n in own[2:])
+    coarse, any_ = X.coarse_time_bucket(time), F.lit("*")
+    tries = [(time, side, vol, price), (time, side, any_, price), (coarse, side, any_, price), (coarse, side, any_, any_), (coarse, side, any_, any_), (coarse, any_, any_, any_)]
+    tried = F.explode(F.array(*[F.struct(F.lit(i).alias("level"), *[c.alias(n) for n, c in zip(names, t, strict=True)]) for i, t in enumerate(tries, 1)]))
+    candidates = keyed.select(*own).distinct().select(*own, F.col("_gp").alias("gp"), F.col("_topic").alias("topic"), tried.alias("t")).select(*own, "gp", "topic", "t.*")
     curve = F.struct("exceed", "n_observations", "n_outcome")
     pairs = table.groupBy("level", "gp", "topic", F.col("time_bucket").alias("k_time"), F.col("side").alias("k_side"), F.col("vol_bucket").alias("k_vol"), F.col("price").alias("k_price")).agg(
         *[F.max(F.when(F.col("outcome") == o, curve)).alias(a) for o, a in (("won", "w"), ("lost", "l"), ("*", "m"))]
     )
     enough = F.when(F.col("level") <= 4, (F.col("w.n_observations") >= LEAST_COMBINED) & (F.col("w.n_outcome") >= LEAST_OUTCOME) & (F.col("l.n_outcome") >= LEAST_OUTCOME)).otherwise(F.col("m.n_observations") >= LEAST_COMBINED)
-    known = candidates.join(pairs.where(enough).withColumn("found", F.lit(True)), ["level", "gp", "topic", "k_time", "k_side", "k_vol", "k_price"], "left")
+    split = F.col("level") <= 4
+    found = candidates.join(pairs.where(enough), ["level", "gp", "topic", *names]).groupBy(*own).agg(F.min_by(F.struct("level", F.when(split, F.col("w")).otherwise(F.col("m")).alias("w"), F.when(split, F.col("l")).otherwise(F.col("m")).alias("l")), "level").alias("_best"))
+    known = found.select(*[F.col(n).alias(f"_f{n}") for n in own], "_best")
+    joined = keyed.join(known, [F.col(n).eqNullSafe(F.col(f"_f{n}")) for n in own], "left")
     at = F.array(*[F.lit(t) for t in thresholds])
-    p = lambda c: X.cdf_lookup(at, F.col(f"{c}.exceed"), F.col("quantity"), F.col(f"{c}.n_observations"))
-    best = known.groupBy("_id").agg(F.first("order").alias("order"), F.min_by(F.struct("level", F.when(F.col("level") <= 4, p("w")).otherwise(p("m")).alias("p_won"), F.when(F.col("level") <= 4, p("l")).otherwise(p("m")).alias("p_lost")), F.when(F.col("found"), F.col("level"))).alias("b"))
-    return best.select("order.*", "b.level", "b.p_won", "b.p_lost")
+    p = lambda c: F.when(F.col("_best").isNotNull(), X.cdf_lookup(at, F.col(f"_best.{c}.exceed"), F.col("quantity"), F.col(f"_best.{c}.n_observations")))
+    return joined.select(*orders.columns, F.col("_best.level").alias("level"), p("w").alias("p_won"), p("l").alias("p_lost"))
 
 
 def _levels(tape: DataFrame, keys: DataFrame) -> DataFrame:
@@ -110,16 +119,19 @@ def _levels(tape: DataFrame, keys: DataFrame) -> DataFrame:
 
 
 def flow_between(points: DataFrame, tape: DataFrame) -> DataFrame:
-    """points (ticker, side, limit, from_us, to_us, ...) with the opposing flow strictly between the two times, from running sums: no print meets a point."""
+    """points (ticker, side, limit, from_us, to_us, ...) with the opposing flow strictly between the two times, from running sums: no print meets a point.
+
+    Points that are alike in all columns are one while they are summed, and as many as they were in the result.
+    """
     sums = Window.partitionBy("ticker", "side", "limit").orderBy("t", "kind")
     prints = _levels(tape, points).select("ticker", "side", "limit", F.col("ts_us").alias("t"), F.lit(1).alias("kind"), "v")
-    numbered = points.withColumn("_id", F.monotonically_increasing_id())
     # at one time: the end of a point, then prints, then the begin of a point
     ends = F.explode(F.array(F.struct(F.col("from_us").alias("t"), F.lit(2).alias("kind")), F.struct(F.col("to_us").alias("t"), F.lit(0).alias("kind"))))
-    asked = numbered.select("ticker", "side", "limit", F.struct(*numbered.columns).alias("point"), ends.alias("e")).select("ticker", "side", "limit", "e.t", "e.kind", F.lit(0).alias("v"), "point")
+    asked = points.select("ticker", "side", "limit", F.struct(*points.columns).alias("point"), ends.alias("e")).select("ticker", "side", "limit", "e.t", "e.kind", F.lit(0).alias("v"), "point")
     seen = prints.unionByName(asked, allowMissingColumns=True).withColumn("sum", F.sum("v").over(sums.rowsBetween(Window.unboundedPreceding, Window.currentRow))).where("kind <> 1")
-    both = seen.groupBy("point._id").agg(F.first("point").alias("point"), F.max(F.when(F.col("kind") == 0, F.col("sum"))).alias("hi"), F.max(F.when(F.col("kind") == 2, F.col("sum"))).alias("lo"))
-    return both.select("point.*", F.greatest(F.lit(0).cast("long"), F.col("hi") - F.col("lo")).alias("flow")).drop("_id")
+    both = seen.groupBy("ticker", "side", "limit", "point").agg(F.max(F.when(F.col("kind") == 0, F.col("sum"))).alias("hi"), F.max(F.when(F.col("kind") == 2, F.col("sum"))).alias("lo"), F.count_if(F.col("kind") == 0).cast("int").alias("alike"))
+    each = both.select("point", F.greatest(F.lit(0).cast("long"), F.col("hi") - F.col("lo")).alias("flow"), F.explode(F.array_repeat(F.lit(0), F.col("alike"))))
+    return each.select("point.*", "flow")
 
 
 def queue_summary(orders: DataFrame, tape: DataFrame) -> DataFrame:

@@ -95,12 +95,18 @@ def c08_flow_observations(m):
     return _flow(m).groupBy("gp", "topic", "time_bucket", "side", "vol_bucket", "price", "outcome").agg(F.count("*").alias("n"), F.sum("flow").cast("bigint").alias("flow"))
 
 
-@query(
+FLOW_LEVELS_SQL = (
     FLOW_SQL
     + """, c AS (SELECT *, CASE WHEN time_bucket IN ('<1h', '1-3h', '3-6h') THEN 'short' WHEN time_bucket IN ('6-12h', '12-24h') THEN 'medium' ELSE 'long' END AS coarse FROM o),
 l AS (SELECT 1 AS level, gp, topic, time_bucket, side, vol_bucket, CAST(price AS VARCHAR) AS price, outcome, flow FROM c UNION ALL SELECT 2, gp, topic, time_bucket, side, '*', CAST(price AS VARCHAR), outcome, flow FROM c UNION ALL SELECT 3, gp, topic, coarse, side, '*', CAST(price AS VARCHAR), outcome, flow FROM c
 UNION ALL SELECT 4, gp, topic, coarse, side, '*', '*', outcome, flow FROM c UNION ALL SELECT 5, gp, topic, coarse, side, '*', '*', '*', flow FROM c UNION ALL SELECT 6, gp, topic, coarse, '*', '*', '*', '*', flow FROM c),
-t AS (SELECT level, gp, topic, time_bucket, side, vol_bucket, price, outcome, CAST(count(*) AS BIGINT) AS n_outcome, CAST(sum(CASE WHEN flow >= 1 THEN 1 ELSE 0 END) AS BIGINT) / CAST(count(*) AS DOUBLE) AS p1, CAST(sum(CASE WHEN flow >= 50 THEN 1 ELSE 0 END) AS BIGINT) / CAST(count(*) AS DOUBLE) AS p50, CAST(sum(CASE WHEN flow >= 500 THEN 1 ELSE 0 END) AS BIGINT) / CAST(count(*) AS DOUBLE) AS p500 FROM l GROUP BY ALL)
+"""
+)
+
+
+@query(
+    FLOW_LEVELS_SQL
+    + """t AS (SELECT level, gp, topic, time_bucket, side, vol_bucket, price, outcome, CAST(count(*) AS BIGINT) AS n_outcome, CAST(sum(CASE WHEN flow >= 1 THEN 1 ELSE 0 END) AS BIGINT) / CAST(count(*) AS DOUBLE) AS p1, CAST(sum(CASE WHEN flow >= 50 THEN 1 ELSE 0 END) AS BIGINT) / CAST(count(*) AS DOUBLE) AS p50, CAST(sum(CASE WHEN flow >= 500 THEN 1 ELSE 0 END) AS BIGINT) / CAST(count(*) AS DOUBLE) AS p500 FROM l GROUP BY ALL)
 SELECT *, CAST(sum(n_outcome) OVER (PARTITION BY level, gp, topic, time_bucket, side, vol_bucket, price) AS BIGINT) AS n_observations FROM t""",
     "tape_markets",
 )
@@ -109,10 +115,34 @@ def c08_flow_table(m):
     return out.select("level", "gp", "topic", "time_bucket", "side", "vol_bucket", "price", "outcome", "n_outcome", "n_observations", F.col("exceed")[0].alias("p1"), F.col("exceed")[4].alias("p50"), F.col("exceed")[7].alias("p500"))
 
 
-@query()
+def _curve_sql(e: str, n: str) -> str:
+    """The chance of a quantity on a list of exceedances at the thresholds of flow, as SQL: straight in the logarithm between two of them."""
+    at = W.THRESHOLDS
+    line = lambda i, j: f"{e}[{i}] + ({e}[{j}] - {e}[{i}]) * (ln(quantity) - ln({at[i - 1]})) / (ln({at[j - 1]}) - ln({at[i - 1]}))"
+    between = " ".join(f"WHEN quantity < {at[i]} THEN {line(i, i + 1)}" for i in range(1, len(at)))
+    last = len(at)
+    on = f"CASE WHEN {e}[{last - 1}] > 0 AND {e}[{last}] > 0 THEN greatest(0, {line(last - 1, last)}) ELSE 0 END"
+    return f"CASE WHEN quantity <= 0 THEN 1 WHEN quantity <= {at[0]} THEN {e}[1] {between} WHEN quantity = {at[-1]} THEN {e}[{last}] WHEN quantity > {2 * at[-1]} THEN 0 WHEN {n} >= 200 THEN {on} ELSE {e}[{last}] END"
+
+
+# markets of both results in each group, so that levels which need won and lost ones are found too
+MIXED_SQL = FLOW_LEVELS_SQL.replace("tape_markets k", "(SELECT * REPLACE ('G' || (CAST(substr(ticker, 2) AS BIGINT) // 4 % 2) AS gp) FROM tape_markets) k")
+FILL_PROBABILITY_SQL = f"""{MIXED_SQL}t AS (SELECT level, gp, topic, time_bucket, side, vol_bucket, price, outcome, count(*) AS n, [{", ".join(f"avg(CASE WHEN flow >= {t} THEN 1.0::DOUBLE ELSE 0 END)" for t in W.THRESHOLDS)}] AS e FROM l GROUP BY ALL),
+g AS (SELECT level, gp, topic, time_bucket, side, vol_bucket, price, sum(n) AS n, max(n) FILTER (WHERE outcome = 'won') AS n_won, max(n) FILTER (WHERE outcome = 'lost') AS n_lost, any_value(e) FILTER (WHERE outcome IN ('won', '*')) AS ew, any_value(e) FILTER (WHERE outcome IN ('lost', '*')) AS el FROM t GROUP BY ALL),
+h AS (SELECT * FROM g WHERE n >= 200 AND (level > 4 OR n_won >= 50 AND n_lost >= 50)),
+q AS (SELECT *, CASE WHEN tb IN ('<1h', '1-3h', '3-6h') THEN 'short' WHEN tb IN ('6-12h', '12-24h') THEN 'medium' ELSE 'long' END AS cb FROM (SELECT trade_id AS order_id, 'G' || (user_id // 4 % 2) AS gp, 'T' || ((user_id // 2) % 2) AS topic, taker_side AS side, (trade_id * 7) % 1300 - 20 AS quantity, CAST(85 + trade_id % 13 AS VARCHAR) AS price,
+  CASE WHEN h < 1 THEN '<1h' WHEN h < 3 THEN '1-3h' WHEN h < 6 THEN '3-6h' WHEN h < 12 THEN '6-12h' WHEN h < 24 THEN '12-24h' WHEN h < 72 THEN '1-3d' ELSE '3-7d' END AS tb, CASE WHEN v = 0 THEN 'dead' WHEN v <= 100 THEN 'low' WHEN v <= 1000 THEN 'moderate' WHEN v <= 10000 THEN 'active' ELSE 'high' END AS vb FROM (SELECT *, trade_id % 200 AS h, count - 1 AS v FROM tape))),
+best AS (SELECT q.*, h.level, h.n, h.ew, h.el FROM q LEFT JOIN h ON q.gp = h.gp AND q.topic = h.topic AND h.time_bucket = CASE WHEN h.level <= 2 THEN tb ELSE cb END AND h.side IN (q.side, '*') AND h.vol_bucket IN (vb, '*') AND h.price IN (q.price, '*') QUALIFY row_number() OVER (PARTITION BY order_id ORDER BY level) = 1)
+SELECT order_id, level, round({_curve_sql("ew", "n")}, 9) AS p_won, round({_curve_sql("el", "n")}, 9) AS p_lost FROM best"""
+
+
+@query(FILL_PROBABILITY_SQL, "tape_markets")
 def j17_fill_probability(m):
-    orders = m.tape.select(F.col("trade_id").alias("order_id"), F.concat(F.lit("G"), F.col("user_id") % 2).alias("gp"), F.concat(F.lit("T"), F.floor(F.col("user_id") / 2) % 2).alias("topic"), (F.col("trade_id") % 200).cast("double").alias("hours"), F.col("taker_side").alias("side"), F.col("count").alias("quantity"), F.lit(90).alias("limit"), F.col("count").alias("volume"))
-    return W.fill_probability(orders, W.flow_table(_flow(m))).select("order_id", "level", F.round("p_won", 9).alias("p_won"), F.round("p_lost", 9).alias("p_lost"))
+    """Each print as an order at every limit, size and horizon in turn, quantities below zero and over twice the last threshold among them."""
+    t, group = F.col("trade_id"), lambda user: F.concat(F.lit("G"), F.floor(user / 4) % 2)
+    markets = m.tape_markets.withColumn("gp", group(F.substring("ticker", 2, 20).cast("bigint")))
+    orders = m.tape.select(t.alias("order_id"), group(F.col("user_id")).alias("gp"), F.concat(F.lit("T"), F.floor(F.col("user_id") / 2) % 2).alias("topic"), (t % 200).cast("double").alias("hours"), F.col("taker_side").alias("side"), (t * 7 % 1300 - 20).cast("int").alias("quantity"), (85 + t % 13).cast("int").alias("limit"), (F.col("count") - 1).alias("volume"))
+    return W.fill_probability(orders, W.flow_table(W.flow_observations(m.tape, markets))).select("order_id", "level", F.round("p_won", 9).alias("p_won"), F.round("p_lost", 9).alias("p_lost"))
 
 
 @query("SELECT ticker, period_us, seq, l.p AS lim, ask <= l.p OR volume > 0 AND volume <= l.p AS yes_touch, 100 - bid <= l.p OR volume > 0 AND 100 - volume <= l.p AS no_touch FROM candles, (VALUES (10), (60)) l(p)", "candles")
