@@ -12,6 +12,7 @@ from tidemark.operators import joins as J
 from tidemark.operators import sinks as K
 from tidemark.operators import strategy as S
 from tidemark.operators import track as T
+from tidemark.operators import virtual as V
 
 
 def test_queue_positions(spark):
@@ -339,3 +340,19 @@ def test_flow_between_keeps_points_that_are_alike(spark):
     got = sorted((r.ticker, r.from_us, r.flow_, r.flow) for r in W.flow_between(points, tape).collect())
     assert got == [("t", 4, 1, 7), ("t", 4, 1, 7), ("t", 5, None, 4), ("t", 30, 2, 0), ("u", 4, 1, 0)]
     assert W.flow_between(points.limit(0), tape).count() == 0
+
+
+def test_candle_fill_totals_against_single_fills(spark):
+    rng = random.Random(11)
+    candles = [(t, rng.randint(0, 60), k, rng.choice([None, 0, 3, 15, 40]), (b := rng.randint(1, 90)), b + rng.randint(1, 9), rng.choice([None, 0, b]), rng.choice([None, 0, b])) for k, t in enumerate("aaabb" * 40)]
+    orders = [(i, rng.choice("abc"), rng.choice(["yes", "no"]), rng.choice([20, 50, 80]), rng.choice([1, 7, 40, 500]), (p := rng.randint(0, 60)), p + rng.randint(-3, 40)) for i in range(120)]
+    c = spark.createDataFrame(candles, "ticker string, period_us long, seq int, volume int, bid_high int, ask_low int, price_high int, price_low int")
+    o = spark.createDataFrame(orders, "order_id int, ticker string, side string, limit int, quantity int, placed_us long, end_us long")
+    single = {r.order_id: (r.filled, r.first) for r in V.candle_fills(o, c, 0.3, 2).groupBy("order_id").agg(F.sum("fill").alias("filled"), F.min("period_us").alias("first")).collect()}
+    got = {r.order_id: (r.filled, r.first_us) for r in V.candle_fill_totals(o, c, 0.3, 2).collect()}
+    assert got == {i: single.get(i, (0, None)) for i, *_ in orders} and len(single) > 40
+    twice = V.candle_fill_totals(o.unionByName(o), c, 0.3, 2).collect()
+    assert sorted(r.order_id for r in twice) == sorted(2 * [i for i, *_ in orders]) and {r.order_id: (r.filled, r.first_us) for r in twice} == got
+    none = V.candle_fill_totals(o.withColumn("quantity", F.lit(None).cast("int")), c).collect()
+    assert len(none) == 120 and all((r.filled, r.share, r.first_us) == (0, None, None) for r in none)
+    assert V.candle_fill_totals(o, c.limit(0)).agg(F.sum("filled")).first()[0] == 0 and V.candle_fill_totals(o.limit(0), c).count() == 0

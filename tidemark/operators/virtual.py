@@ -86,6 +86,35 @@ def candle_fills(orders: DataFrame, candles: DataFrame, rate: float = 0.1, least
     return summed.withColumn("fill", F.least("quantity", "upto") - F.least(F.col("quantity"), F.col("upto") - F.col("o"))).where("fill > 0").select("order_id", "period_us", "seq", "fill")
 
 
+def candle_fill_totals(orders: DataFrame, candles: DataFrame, rate: float = 0.1, least: int = 1) -> DataFrame:
+    """M03, W19 without the single fills: order_id, filled, share, first_us (period of the first fill) of every order, from running sums; no candle meets an order.
+
+    What a candle offers doesn't depend on the order's quantity until the quantity is reached, so the contracts that all
+    candles before a time offer at a limit are one running sum for each (ticker, side, limit) in use, candles being taken
+    once for each of these. An order's fill is the difference between its two ends, its quantity at most; the first is at the
+    next candle that offers anything. Candles at either end don't count. Quantities of null or less than one fill nothing; a
+    repeated order_id gives a row each.
+    """
+    key, at = ["ticker", "side", "limit"], ["t", "kind"]
+    met = candles.join(orders.select(*key).distinct(), "ticker")
+    hit = X.touched(F.col("side"), F.col("limit"), F.col("bid_high"), F.col("ask_low"), F.col("price_high"), F.col("price_low"))
+    offered = F.when(F.col("volume") > 0, F.greatest(F.floor(F.col("volume") * rate).cast("long"), F.lit(least).cast("long")))
+    prints = met.where(hit & (offered > 0)).select(*key, F.col("period_us").alias("t"), F.lit(1).alias("kind"), offered.alias("v"))
+    # at one time: the end of an order, then candles, then the begin of an order
+    ends = F.explode(F.array(F.struct(F.col("placed_us").alias("t"), F.lit(2).alias("kind")), F.struct(F.col("end_us").alias("t"), F.lit(0).alias("kind"))))
+    order = F.struct("order_id", "quantity", "placed_us", "end_us")
+    asked = orders.select(*key, order.alias("order"), ends.alias("e")).select(*key, "e.t", "e.kind", F.lit(0).cast("long").alias("v"), "order")
+    by_time = Window.partitionBy(*key).orderBy(*at)
+    upto, onward = by_time.rowsBetween(Window.unboundedPreceding, Window.currentRow), by_time.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    summed = prints.unionByName(asked, allowMissingColumns=True).withColumn("sum", F.sum("v").over(upto)).withColumn("next", F.min(F.when(F.col("kind") == 1, F.col("t"))).over(onward)).where("kind <> 1")
+    begin = F.struct("sum", "next")
+    both = summed.groupBy(*key, "order").agg(F.max(F.when(F.col("kind") == 2, begin)).alias("lo"), F.max(F.when(F.col("kind") == 0, F.col("sum"))).alias("hi"), F.count_if(F.col("kind") == 0).cast("int").alias("alike"))
+    quantity = F.coalesce(F.greatest(F.lit(0), F.col("order.quantity")), F.lit(0))
+    filled = F.least(quantity, F.greatest(F.lit(0).cast("long"), F.col("hi") - F.col("lo.sum")))
+    each = both.select("order.order_id", filled.alias("filled"), F.try_divide(filled, quantity).alias("share"), F.when(filled > 0, F.col("lo.next")).alias("first_us"), F.explode(F.array_repeat(F.lit(0), F.col("alike"))))
+    return each.drop("col")
+
+
 def first_tail_backtest(candles: DataFrame, settled: DataFrame, contracts: int = 1) -> DataFrame:
     """Of each market the first candle with a tail before settlement, bought at the mid, and its pnl."""
     rows = candles.join(settled.where("result IS NOT NULL"), "ticker").where("period_us < settled_us")

@@ -42,15 +42,20 @@ def m07_training_grid(m):
 
 
 @query(
-    """SELECT order_id, CAST(sum(least(40, upto) - least(40, upto - o)) AS BIGINT) AS filled FROM (SELECT *, sum(o) OVER (PARTITION BY order_id ORDER BY period_us, seq) AS upto FROM (SELECT s.o_orderkey AS order_id, c.period_us, c.seq, CASE WHEN c.ask <= 40 THEN CASE WHEN c.volume > 0 THEN least(greatest(CAST(floor(c.volume * 0.5) AS INTEGER), 1), 40) ELSE 0 END ELSE 0 END AS o
-    FROM settled s JOIN candles c ON s.ticker = c.ticker AND c.period_us > 0 AND c.period_us < s.settled_us)) GROUP BY order_id HAVING sum(least(40, upto) - least(40, upto - o)) > 0""",
+    """WITH q AS (SELECT ticker, period_us, seq, l.lim, 20 + seq % 30 AS quantity, period_us + 7776000000000 AS end_us, s.side FROM candles, (VALUES (40), (60)) l(lim), (VALUES ('yes'), ('no')) s(side)),
+    f AS (SELECT q.*, c.period_us AS at_us, sum(CASE WHEN c.volume > 0 THEN least(greatest(CAST(floor(c.volume * 0.5) AS INTEGER), 1), quantity) ELSE 0 END) OVER (PARTITION BY q.seq, q.ticker, q.period_us, q.lim, q.side ORDER BY c.period_us, c.seq) AS upto
+      FROM q JOIN candles c ON q.ticker = c.ticker AND c.period_us > q.period_us AND c.period_us < q.end_us AND CASE side WHEN 'yes' THEN c.ask <= lim OR c.volume <= lim AND c.volume > 0 ELSE 100 - c.bid <= lim OR c.volume > 0 AND 100 - c.volume <= lim END)
+    SELECT q.ticker, q.seq, q.side, q.lim, CAST(least(any_value(q.quantity), coalesce(max(upto), 0)) AS BIGINT) AS filled, round(least(any_value(q.quantity), coalesce(max(upto), 0)) / any_value(q.quantity)::DOUBLE, 9) AS share, min(at_us) FILTER (WHERE upto > 0) AS first_us
+    FROM q LEFT JOIN f ON q.ticker = f.ticker AND q.seq = f.seq AND q.period_us = f.period_us AND q.lim = f.lim AND q.side = f.side GROUP BY q.ticker, q.seq, q.period_us, q.side, q.lim""",
     "candles",
 )
 def m03_candle_fills(m):
-    orders = m.settled.select(F.col("o_orderkey").alias("order_id"), "ticker", F.lit("yes").alias("side"), F.lit(40).alias("limit"), F.lit(40).alias("quantity"), F.lit(0).cast("bigint").alias("placed_us"), F.col("settled_us").alias("end_us"))
-    none = F.lit(None).cast("int")
-    candles = m.candles.select("ticker", "period_us", "seq", "volume", F.col("bid").alias("bid_high"), F.col("ask").alias("ask_low"), none.alias("price_high"), none.alias("price_low"))
-    return V.candle_fills(orders, candles, 0.5).groupBy("order_id").agg(F.sum("fill").cast("bigint").alias("filled"))
+    """Orders on both sides at two limits with every candle, each until ninety days later."""
+    grid = F.explode(F.array(*[F.struct(F.lit(s).alias("side"), F.lit(p).alias("limit")) for s in ("yes", "no") for p in (40, 60)]))
+    placed = m.candles.select("ticker", F.col("period_us").alias("placed_us"), "seq", grid.alias("g")).select("*", "g.*").drop("g")
+    orders = placed.select("ticker", "side", "limit", "placed_us", F.struct("ticker", "seq", "side", F.col("limit").alias("lim")).alias("order_id"), (20 + F.col("seq") % 30).alias("quantity"), (F.col("placed_us") + 90 * 86_400_000_000).alias("end_us"))
+    candles = m.candles.select("ticker", "period_us", "seq", "volume", F.col("bid").alias("bid_high"), F.col("ask").alias("ask_low"), F.col("volume").alias("price_high"), F.col("volume").alias("price_low"))
+    return V.candle_fill_totals(orders, candles, 0.5).select("order_id.*", "filled", F.round("share", 9).alias("share"), "first_us")
 
 
 @query(
