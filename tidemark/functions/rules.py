@@ -93,3 +93,8 @@ def entry_price(filled: Column, resting: Column, exposure: Column, contracts: Co
     """Of the fill, else of the resting order, else from the exposure in dollars; 0 counts as missing."""
     guess = F.when(contracts > 0, F.floor(exposure * 100 / contracts).cast("int"))
     return F.coalesce(F.nullif(filled, F.lit(0)), F.nullif(resting, F.lit(0)), guess, F.lit(0))
+
+
+def as_estimate(rate: Column) -> list[Column]:
+    """Q48: a rate alone in the form of an estimate: no error, and support (a fixed value) that passes every threshold."""
+    return [rate.alias("rate"), F.lit(0.0).alias("se"), F.lit(9999).alias("n")]

@@ -73,3 +73,11 @@ def uncovered(windows: DataFrame, ranges: DataFrame, keys: Sequence[str]) -> Dat
     last = F.last("_reach", ignorenulls=True).over(Window.partitionBy(*keys).orderBy("t", "_kind").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     both = islands.unionByName(asked, allowMissingColumns=True).withColumn("_covered_to", last)
     return both.where((F.col("_kind") == 1) & (F.col("_covered_to").isNull() | (F.col("_covered_to") < F.col("_w.end")))).select(*keys, "_w.start", "_w.end")
+
+
+def days_to_fetch(spans: DataFrame, done: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Keys, day: the days of each key's one span (keys, first, last; both ends included) that done (keys, day) doesn't have. Spans without a bound or that end before they begin have none; null keys are keys."""
+    real = spans.where(F.col("first") <= F.col("last"))
+    every = real.select(*keys, F.explode(F.sequence("first", "last")).alias("day"))
+    have = done.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("day").alias("_day"))
+    return every.join(have, [F.col("day") == F.col("_day"), *[F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]], "left_anti")

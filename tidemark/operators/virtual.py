@@ -71,7 +71,7 @@ def training_grid(quotes: DataFrame, offsets: Sequence[int] = OFFSETS, quantitie
 
 
 def virtual_orders(orders: DataFrame, tape: DataFrame) -> DataFrame:
-    """Orders with recent volumes, features and the outcome of the queue simulator."""
+    """Orders (what queue_summary takes, and depth) with recent volumes, features and the outcome of the queue. An order_id is one order."""
     done = queue_summary(orders, tape)
     return model_features(recent_volume(tape, orders)).join(done, "order_id")
 

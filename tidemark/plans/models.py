@@ -33,9 +33,11 @@ def c01_event_rates(m):
     return out.select("gp", "topic", "price_bucket", "bucket_index", "hours_from", "hours_to", "n", "n_markets", "source", *[F.round(c, 9).alias(c) for c in ("p_raw", "se", "p_yes")])
 
 
-@query("SELECT method, CAST(count(*) AS BIGINT) AS n, CAST(sum(cents2) AS BIGINT) AS cents2 FROM (SELECT 'bid' AS method, 2 * bid AS cents2 FROM candles UNION ALL SELECT 'mid', bid + ask FROM candles UNION ALL SELECT 'ask', 2 * ask FROM candles UNION ALL SELECT 'trade', 2 * volume FROM candles WHERE volume > 0) GROUP BY method", "candles")
+@query("SELECT method, CAST(count(*) AS BIGINT) AS n, CAST(sum(cents2) AS BIGINT) AS cents2 FROM (SELECT 'bid' AS method, 2 * bid AS cents2 FROM candles UNION ALL SELECT 'mid', bid + ask FROM candles UNION ALL SELECT 'ask', 2 * ask FROM candles UNION ALL SELECT 'trade', 2 * (bid + seq % (ask - bid + 1)) FROM candles WHERE seq % 3 > 0 AND bid + seq % (ask - bid + 1) > 0) GROUP BY method", "candles")
 def c03_price_methods(m):
-    prices = F.explode(F.array(*[F.struct(F.lit(k).alias("method"), C.conditioning_price(k, F.col("bid"), F.col("ask"), F.col("volume")).alias("price")) for k in C.METHODS]))
+    """A trade between bid and ask, or none, beside the quote."""
+    trade = F.when(F.col("seq") % 3 > 0, F.col("bid") + F.col("seq") % (F.col("ask") - F.col("bid") + 1)).otherwise(0)
+    prices = F.explode(F.array(*[F.struct(F.lit(k).alias("method"), C.conditioning_price(k, F.col("bid"), F.col("ask"), trade).alias("price")) for k in C.METHODS]))
     rows = m.candles.select(prices.alias("p")).select("p.*").where("price IS NOT NULL")
     return rows.groupBy("method").agg(F.count("*").alias("n"), F.sum(F.round(F.col("price") * 200).cast("bigint")).alias("cents2"))
 

@@ -183,13 +183,6 @@ def q44_edges_by_price(m):
     return by.select("price", "n", F.round(F.col("won") * 100 - F.col("price"), 6).alias("edge"))
 
 
-@query("SELECT ticker, list_aggregate(list(CAST(bid AS VARCHAR) ORDER BY bid DESC), 'string_agg', ',') AS best_first FROM (SELECT DISTINCT ticker, bid FROM candles) GROUP BY ticker", "candles")
-def q49_books_best_first(m):
-    """Levels come worst first and are turned over."""
-    books = m.candles.groupBy("ticker").agg(F.array_sort(F.collect_set("bid")).alias("levels"))
-    return books.select("ticker", F.array_join(F.transform(F.reverse("levels"), lambda x: x.cast("string")), ",").alias("best_first"))
-
-
 @query("SELECT trade_id AS order_id, CAST(count AS BIGINT) AS queue_position FROM tape WHERE trade_id % 10 <> 0 AND count > 1", "tape")
 def q50_queue_positions(m):
     """Items without an order or a place are left out."""

@@ -202,11 +202,6 @@ def q32_estimates_by_order(m):
     return m.tape.select("trade_id", best["source"].alias("source"), best["value"].alias("value"))
 
 
-@query("SELECT trade_id, round(yes_cents / 100.0::DOUBLE, 9) AS rate, 0.0::DOUBLE AS se, 9999 AS n FROM tape", "tape")
-def q48_legacy_estimates(m):
-    return m.tape.select("trade_id", F.round(F.col("yes_cents") / F.lit(100.0), 9).alias("rate"), F.lit(0.0).alias("se"), F.lit(9999).alias("n"))
-
-
 @query("SELECT trade_id, count AS filled, ts_us + 3600000000 - ts_us % 3600000000 AS filled_us FROM tape", "tape")
 def q34_instant_fills(m):
     """All of an order, at the next hourly period."""

@@ -96,9 +96,10 @@ def confidence(label: Column) -> Column:
 
 
 def fenced_json(text: Column, schema: str) -> Column:
-    """P20: JSON from an answer that may be fenced or have words around it."""
-    body = F.regexp_replace(text, r"(?s)^.*?```(?:json)?\s*|\s*```.*$", "")
-    return F.coalesce(F.from_json(body, schema), F.from_json(F.regexp_extract(text, r"(?s)\{.*\}", 0), schema))
+    """P20: JSON from an answer that may be fenced or have words around it: what is in the first fence, else from the first brace to the last. Null without either; fields of JSON that doesn't parse are null."""
+    fenced = F.regexp_extract(text, r"(?s)```(?:json)?\s*(.*?)\s*```", 1)
+    braced = F.regexp_extract(text, r"(?s)\{.*\}", 0)
+    return F.from_json(F.coalesce(F.nullif(fenced, F.lit("")), F.nullif(braced, F.lit(""))), schema)
 
 
 def spread_bps(bid: Column, ask: Column) -> Column:
@@ -111,13 +112,13 @@ def last_level(levels: Column) -> Column:
     return F.try_element_at(levels, F.lit(-1))
 
 
-def options_chain(df: DataFrame, body: str) -> DataFrame:
-    """The contracts of a chain document, numbers that don't parse as null."""
+def options_chain(df: DataFrame, body: str, *keep: str) -> DataFrame:
+    """The contracts of a chain document, with columns of its row that are to stay; numbers that don't parse are null, as are the parts of a symbol of another form."""
     wire = "data struct<options: array<struct<option: string, bid: string, ask: string, iv: string, open_interest: string, volume: string>>>"
-    o = df.select(F.explode(F.from_json(body, wire)["data"]["options"]).alias("o")).select("o.*")
+    o = df.select(*keep, F.explode(F.from_json(body, wire)["data"]["options"]).alias("o")).select(*keep, "o.*")
     number = {c: F.col(c).try_cast(k) for c, k in (("bid", "double"), ("ask", "double"), ("iv", "double"), ("open_interest", "int"), ("volume", "int"))}
     parsed = option_symbol(F.col("option"))
-    return o.select("option", parsed["root"].alias("root"), parsed["expiry"].alias("expiry"), parsed["kind"].alias("kind"), parsed["strike"].alias("strike"), *[v.alias(c) for c, v in number.items()])
+    return o.select(*keep, "option", parsed["root"].alias("root"), parsed["expiry"].alias("expiry"), parsed["kind"].alias("kind"), parsed["strike"].alias("strike"), *[v.alias(c) for c, v in number.items()])
 
 
 def daily_series(df: DataFrame, prices: str, volumes: str, *keep: str) -> DataFrame:
