@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.framework.artifacts import Store
-from tidemark.framework.features import Registry, in_order, in_utc
+from tidemark.framework.features import Computed, Registry, in_order, in_utc
 from tidemark.functions import exprs as X
 from tidemark.operators import calibration as C
 from tidemark.operators import joins as J
@@ -90,6 +90,17 @@ def rate_of(rates: DataFrame, questions: DataFrame) -> DataFrame:
     return J.band(asked, rates, ["gp", "topic", "price_bucket"], "hours", "hours_from", "hours_to", "bucket_index", ["p_yes", "se", "n_markets"]).drop("price_bucket")
 
 
+def observations_feature(name: str, rows: str, classes: str, inner: bool = True) -> Computed:
+    """A feature of rows (series, ...) with gp and topic of their series, both at the same boundary. Rows of a series without a class go; with inner False they stay as unknown. A series that is classified twice counts once, with the least class."""
+
+    def compute(f: dict[str, DataFrame]) -> DataFrame:
+        known = f[classes].groupBy("series").agg(F.min(F.struct("gp", "topic")).alias("_class"))
+        joined = f[rows].join(known, "series", "inner" if inner else "left")
+        return joined.select(*f[rows].columns, *[F.coalesce(F.col(f"_class.{c}"), F.lit("unknown")).alias(c) for c in ("gp", "topic")])
+
+    return Computed(name, compute, (rows, classes))
+
+
 def event_rate_estimator(observations: str = "observations", price: str = "price", least: int = C.LEAST_MARKETS) -> Estimator:
     """V07."""
     return Estimator("event_rate", lambda f, _: C.event_rates(f[observations], price, least), (observations,), (), rate_of)

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tidemark.testdata import Market, with_views
 
 FLAGSHIP = "j08_materialization"
-MODULES = ("rows", "joined", "grouped", "models", "orders", "details", "upkeep", "scalars", "reports", "history", "formats", "feeds")
+MODULES = ("rows", "joined", "grouped", "models", "orders", "details", "upkeep", "scalars", "reports", "history", "formats", "feeds", "known")
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
