@@ -167,11 +167,11 @@ def test_models(spark):
 def test_observations_with_and_without_classes(spark):
     from tidemark.framework.views import observations_feature
 
-    registry = Registry()
+    registry = V.Registry()
     rows = spark.createDataFrame([("a", 1), ("b", 2), (None, 3), ("a", 1)], "series string, k int")
     classes = spark.createDataFrame([("a", "g", "t"), ("a", "f", "u"), (None, "n", "n")], "series string, gp string, topic string")
-    registry.register(Preloaded("rows", rows, lambda _: F.lit(True)))
-    registry.register(Preloaded("classes", classes, lambda _: F.lit(True)))
+    registry.register(V.Preloaded("rows", rows, lambda _: F.lit(True)))
+    registry.register(V.Preloaded("classes", classes, lambda _: F.lit(True)))
     registry.register(observations_feature("inner", "rows", "classes"))
     registry.register(observations_feature("left", "rows", "classes", inner=False))
     got = {n: sorted((r.k, r.series, r.gp, r.topic) for r in registry.query(n, datetime(2024, 1, 1)).collect()) for n in ("inner", "left")}
