@@ -1,6 +1,7 @@
 """Documents, logs and payloads with parts that are missing or damaged, windows to fetch, and books."""
 
 import datetime
+import json
 import zlib
 
 from pyspark.sql import functions as F
@@ -62,3 +63,11 @@ def test_settlement_log_with_lines_cut_off(spark, tmp_path):
     path = tmp_path / "log.jsonl"
     path.write_text('{"action":"settlement","ticker":"a","won":true,"pnl_cents":5}\n{"action":"placed","ticker":"b"}\n{"action":"settlement","ticker":\n\nnot json\n{"action":"settlement","ticker":"c","pnl_cents":"x"}\n{"ticker":"d"}\n')
     assert [r.ticker for r in P.settlement_log(spark, str(path)).collect()] == ["a"]
+
+
+def test_strikes_longer_than_a_symbol(spark):
+    """Nine digits of a strike don't fit a symbol; the strike that is stated beside it counts, one that is no number doesn't."""
+    option = lambda symbol, **more: {"option": symbol, "bid": "1", **more}
+    body = json.dumps({"data": {"options": [option("SPXW270618C10955200", strike="109552.0"), option("SPXW270618C00080500"), option("SPXW270618P00080500", strike="--")]}})
+    got = P.options_chain(spark.createDataFrame([(body,)], "body string"), "body").collect()
+    assert [(r.option, r.strike) for r in got] == [("SPXW270618C10955200", 109552.0), ("SPXW270618C00080500", 80.5), ("SPXW270618P00080500", 80.5)]

@@ -113,12 +113,15 @@ def last_level(levels: Column) -> Column:
 
 
 def options_chain(df: DataFrame, body: str, *keep: str) -> DataFrame:
-    """The contracts of a chain document, with columns of its row that are to stay; numbers that don't parse are null, as are the parts of a symbol of another form."""
-    wire = "data struct<options: array<struct<option: string, bid: string, ask: string, iv: string, open_interest: string, volume: string>>>"
+    """The contracts of a chain document, with columns of its row that are to stay; numbers that don't parse are null, as are the parts of a symbol of another form.
+
+    A symbol has eight digits for its strike, so a contract may state a strike beside it, which then counts.
+    """
+    wire = "data struct<options: array<struct<option: string, strike: string, bid: string, ask: string, iv: string, open_interest: string, volume: string>>>"
     o = df.select(*keep, F.explode(F.from_json(body, wire)["data"]["options"]).alias("o")).select(*keep, "o.*")
     number = {c: F.col(c).try_cast(k) for c, k in (("bid", "double"), ("ask", "double"), ("iv", "double"), ("open_interest", "int"), ("volume", "int"))}
     parsed = option_symbol(F.col("option"))
-    return o.select(*keep, "option", parsed["root"].alias("root"), parsed["expiry"].alias("expiry"), parsed["kind"].alias("kind"), parsed["strike"].alias("strike"), *[v.alias(c) for c, v in number.items()])
+    return o.select(*keep, "option", parsed["root"].alias("root"), parsed["expiry"].alias("expiry"), parsed["kind"].alias("kind"), F.coalesce(F.col("strike").try_cast("double"), parsed["strike"]).alias("strike"), *[v.alias(c) for c, v in number.items()])
 
 
 def daily_series(df: DataFrame, prices: str, volumes: str, *keep: str) -> DataFrame:
