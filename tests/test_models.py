@@ -2,6 +2,7 @@
 
 import math
 import random
+import time
 from collections import defaultdict
 
 from pyspark.sql import functions as F
@@ -356,3 +357,20 @@ def test_candle_fill_totals_against_single_fills(spark):
     none = V.candle_fill_totals(o.withColumn("quantity", F.lit(None).cast("int")), c).collect()
     assert len(none) == 120 and all((r.filled, r.share, r.first_us) == (0, None, None) for r in none)
     assert V.candle_fill_totals(o, c.limit(0)).agg(F.sum("filled")).first()[0] == 0 and V.candle_fill_totals(o.limit(0), c).count() == 0
+
+
+def test_offers_do_not_search_open_orders(spark):
+    """20,000 offers that meet 4,000 open orders, one of each event, none of which settles at once."""
+    account = S._Account("s", 10_000, S.Limits(positions=10_000))
+    order = lambda i, at: S._Order(f"e{i}", "yes", 2, 1, 1, at, at, 1_000_000 + i, "yes", 0)
+    account.advance(0)
+    for i in range(4_000):
+        account.offer(f"t{i}", order(i, 0))
+    began = time.process_time()
+    for at in range(1, 1_001):
+        account.advance(at)
+        for i in range(20):
+            account.offer(f"u{at}-{i}", order(i, at))
+    assert len(account.open) == 4_000 and time.process_time() - began < 1
+    account.settle(float("inf"))
+    assert len(account.trades) == 4_000 and account.cash == 10_000 + 98 * 4_000 and not account.escrow and not account.in_event

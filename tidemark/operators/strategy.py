@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import heapq
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -102,48 +104,52 @@ class _Order:
     settled_us: int
     result: str
     fee: int
-    filled: int = 0
 
 
 class _Account:
-    """Cash, escrow and open orders of one scenario: all that depends on earlier orders. Its size is bounded by the cash."""
+    """Cash, escrow and open orders of one scenario: all that depends on earlier orders. Its size is bounded by the cash, and the open orders are searched neither by an offer nor by a period."""
 
     def __init__(self, scenario: str, cash: int, limits: Limits | None):
         self.scenario, self.cash, self.escrow, self.limits = scenario, cash, 0, limits
         self.open: dict[str, _Order] = {}
+        self.ends: list[tuple[int, str]] = []
+        self.in_event: Counter[str] = Counter()
         self.period: int | None = None
         self.equity, self.may_place = cash, True
         self.trades: list[tuple] = []
 
     def advance(self, period: int) -> None:
-        """A new period: markets settle first, then fills of what is left are seen."""
+        """A new period: markets settle first; fills of what is left are seen, which counts once a market settles."""
         self.settle(period)
-        for o in self.open.values():
-            if o.filled_us <= period:
-                o.filled = min(o.fills, o.contracts)
         self.period, self.equity = period, self.cash + self.escrow
         self.may_place = not self.limits or len(self.open) < self.limits.positions
 
     def settle(self, until: float) -> None:
-        for ticker in [t for t, o in self.open.items() if o.settled_us <= until]:
+        while self.ends and self.ends[0][0] <= until:
+            _, ticker = heapq.heappop(self.ends)
             o = self.open.pop(ticker)
+            # the last period that the order was open in sees its fills, but not the one that placed it
+            filled = min(o.fills, o.contracts) if o.placed_us < self.period and o.filled_us <= self.period else 0
             self.escrow -= o.price * o.contracts
-            self.cash += o.price * (o.contracts - o.filled)
-            if o.filled:
+            self.in_event[o.event_ticker] -= o.price * o.contracts
+            if not self.in_event[o.event_ticker]:
+                del self.in_event[o.event_ticker]
+            self.cash += o.price * (o.contracts - filled)
+            if filled:
                 won = o.side == o.result
-                self.cash += 100 * o.filled * won - o.fee
-                self.trades.append((self.scenario, ticker, o.event_ticker, o.side, o.price, o.filled, o.placed_us, o.settled_us, won, o.fee, (100 * won - o.price) * o.filled - o.fee))
+                self.cash += 100 * filled * won - o.fee
+                self.trades.append((self.scenario, ticker, o.event_ticker, o.side, o.price, filled, o.placed_us, o.settled_us, won, o.fee, (100 * won - o.price) * filled - o.fee))
 
     def offer(self, ticker: str, o: _Order) -> None:
         cost = o.price * o.contracts
         if not self.may_place or ticker in self.open or cost > self.cash or o.settled_us <= o.placed_us:
             return
-        if self.limits:
-            event = sum(a.price * a.contracts for a in self.open.values() if a.event_ticker == o.event_ticker)
-            if self.escrow + cost > self.limits.deployed * self.equity or event + cost > self.limits.event * self.equity:
-                return
+        if self.limits and (self.escrow + cost > self.limits.deployed * self.equity or self.in_event[o.event_ticker] + cost > self.limits.event * self.equity):
+            return
         self.open[ticker] = o
+        heapq.heappush(self.ends, (o.settled_us, ticker))
         self.cash, self.escrow = self.cash - cost, self.escrow + cost
+        self.in_event[o.event_ticker] += cost
 
 
 OFFERS = ("scenario", "period_us", "rank", "ticker", "event_ticker", "side", "price", "contracts", "filled", "filled_us", "settled_us", "result", "fee")
