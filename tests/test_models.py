@@ -374,3 +374,12 @@ def test_offers_do_not_search_open_orders(spark):
     assert len(account.open) == 4_000 and time.process_time() - began < 1
     account.settle(float("inf"))
     assert len(account.trades) == 4_000 and account.cash == 10_000 + 98 * 4_000 and not account.escrow and not account.in_event
+
+
+def test_ev_scan_weighs_prices_and_not_quotes(spark):
+    """No candidate is made from a quote: what quotes are joined with is written before."""
+    m = spark.createDataFrame([(f"m{i}", f"e{i}", "g", "t", 30.0, 10 + i % 2, 14, 0.5) for i in range(50)], "ticker string, event_ticker string, gp string, topic string, hours double, bid int, ask int, p_event double")
+    f = spark.createDataFrame([("g", "t", "<72h", s, k, 0.9, 0.1) for s in ("yes", "no") for k in range(11)], "gp string, topic string, time_bucket string, side string, step int, rate_won double, rate_lost double")
+    out = S.ev_scan(m, f)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "transform(" not in plan and "rate_won" in plan and out.count() == 50

@@ -13,30 +13,31 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import exprs as X
 from tidemark.operators.joins import first_of
+from tidemark.session import written
 
 
 def ev_scan(markets: DataFrame, fills: DataFrame, steps: int = 10, most_contracts: int = 5, budget_cents: int = 400) -> DataFrame:
     """Of each event the market, side and limit of the largest total expected value above 0.
 
     markets: ticker, event_ticker, gp, topic, hours, bid, ask, p_event. fills: gp, topic, time_bucket, side, step, rate_won,
-    rate_lost. The rates of a cell are one array, so that a market meets one row and its candidates are never rows; the best
-    of a ticker and of an event are aggregations that combine before their shuffles. Ties go to YES, then to the smaller
-    step and limit; between markets to the smaller ticker.
+    rate_lost. A ticker has one event. The best order of a quote depends on its cell, prices and p_event only, so candidates
+    are rows of the different ones of these, whose number whole cents bound, and not of quotes; what is best of them is
+    written, so that Spark knows its size when quotes are joined. Quotes are shuffled once, by event. Ties go to YES, then to
+    the smaller step and limit; between markets to the smaller ticker.
     """
     cell = ["gp", "topic", "time_bucket"]
-    packed = fills.groupBy(*cell).agg(F.collect_list(F.struct("side", "step", "rate_won", "rate_lost")).alias("_rates"))
-    met = markets.where("ask > bid").withColumn("time_bucket", X.fill_time_bucket(F.col("hours"))).join(packed, cell)
-
-    def candidate(r):
-        yes = r["side"] == "yes"
-        low = F.when(yes, F.col("bid")).otherwise(100 - F.col("ask"))
-        limit = low + F.bround((r["step"] / F.lit(float(steps))) * (F.col("ask") - F.col("bid"))).cast("int")
-        ev = X.trade_ev(F.col("p_event"), r["rate_won"], r["rate_lost"], limit, r["side"], X.fee(limit, F.lit(1)))
-        return F.struct(F.round(ev, 9).alias("ev"), yes.alias("yes"), (-r["step"]).alias("sooner"), (-limit).alias("lower"), r["side"].alias("side"), r["step"].alias("step"), limit.alias("limit"), r["rate_won"].alias("rate_won"), r["rate_lost"].alias("rate_lost"))
-
-    best = F.array_max(F.filter(F.transform("_rates", candidate), lambda c: (c["ev"] > 0) & (c["limit"] > 0)))
-    rows = met.withColumn("_best", best).where("_best IS NOT NULL").drop("_rates")
-    by_ticker = rows.groupBy("ticker").agg(F.max_by(F.struct(*rows.columns), "_best").alias("_row")).select("_row.*")
+    asked = [*cell, "bid", "ask", "p_event"]
+    quotes = markets.where("ask > bid").withColumn("time_bucket", X.fill_time_bucket(F.col("hours")))
+    met = quotes.select(*asked).distinct().join(fills.select(*cell, "side", "step", "rate_won", "rate_lost"), cell)
+    yes = F.col("side") == "yes"
+    low = F.when(yes, F.col("bid")).otherwise(100 - F.col("ask"))
+    limit = low + F.bround((F.col("step") / F.lit(float(steps))) * (F.col("ask") - F.col("bid"))).cast("int")
+    ev = X.trade_ev(F.col("p_event"), F.col("rate_won"), F.col("rate_lost"), F.col("limit"), F.col("side"), X.fee(F.col("limit"), F.lit(1)))
+    candidates = met.withColumn("limit", limit).withColumn("ev", F.round(ev, 9)).where("ev > 0 AND limit > 0")
+    order = F.struct("ev", yes.alias("yes"), (-F.col("step")).alias("sooner"), (-F.col("limit")).alias("lower"), "side", "step", "limit", "rate_won", "rate_lost")
+    best = written(candidates.groupBy(*asked).agg(F.max(order).alias("_best")), "best_orders")
+    rows = quotes.join(best, asked).repartition("event_ticker")
+    by_ticker = rows.groupBy("event_ticker", "ticker").agg(F.max_by(F.struct(*rows.columns), "_best").alias("_row")).select("_row.*")
     contracts = F.least(F.lit(most_contracts), F.greatest(F.lit(1), F.floor(F.lit(budget_cents) / F.col("limit")).cast("int")))
     sized = by_ticker.select(*[c for c in rows.columns if c != "_best"], *[f"_best.{c}" for c in ("side", "step", "limit", "rate_won", "rate_lost", "ev")]).withColumn("contracts", contracts).withColumn("total_ev", F.col("ev") * F.col("contracts"))
     return sized.groupBy("event_ticker").agg(F.min_by(F.struct(*sized.columns), F.struct(-F.col("total_ev"), "ticker")).alias("_row")).select("_row.*")
