@@ -7,6 +7,7 @@ from tidemark.operators import strategy as S
 from tidemark.operators import virtual as V
 from tidemark.plans.catalog import query
 from tidemark.plans.scalars import FEE
+from tidemark.session import dealt
 
 
 @query(
@@ -37,7 +38,8 @@ def m10_first_tail_backtest(m):
 
 @query("SELECT seq, side, CAST(lim AS INTEGER) AS lim, CAST(count(*) AS BIGINT) AS n, CAST(sum(q) AS BIGINT) AS contracts FROM (SELECT seq, 'yes' AS side, bid + o AS lim FROM candles, range(-4, 5) r(o) UNION ALL SELECT seq, 'no', 100 - ask + o FROM candles, range(-4, 5) r(o)), (VALUES (1), (5), (10), (20), (50)) v(q) WHERE lim BETWEEN 1 AND 99 GROUP BY ALL", "candles")
 def m07_training_grid(m):
-    grid = V.training_grid(m.candles)
+    """Quotes are dealt out by seq before they become a grid, which then needs no shuffle."""
+    grid = V.training_grid(dealt(m.candles.select("seq", "bid", "ask"), m.raw("lineitem").count(), "seq"))
     return grid.groupBy("seq", "side", F.col("limit").alias("lim")).agg(F.count("*").alias("n"), F.sum("quantity").alias("contracts"))
 
 

@@ -53,3 +53,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_folder(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def dealt(df: DataFrame, rows: int, *keys: str, rows_a_task: int = 100_000) -> DataFrame:
+    """df in tasks by keys, as many as rows (a count known before) need of so many each, so that what a task holds doesn't grow with the table. Windows, aggregations and joins by keys that include these go on in the same tasks."""
+    return df.repartition(max(1, -(-rows // rows_a_task)), *keys)
