@@ -18,3 +18,9 @@ def test_training_grid_is_not_shuffled(spark, sf):
     """Quotes are dealt out by number of rows, and the ninety rows of each stay where they are."""
     after_grid = plan_of(spark, sf, "m07_training_grid").split("Generate")[0]
     assert "Aggregate" in after_grid and "Exchange" not in after_grid
+
+
+def test_candle_fills_stay_with_their_market(spark, sf):
+    """Orders and prints meet in the tasks that candles are dealt out to."""
+    above_union = plan_of(spark, sf, "m03_candle_fills").split("Union")[0]
+    assert above_union.count("Window") and "Exchange" not in above_union

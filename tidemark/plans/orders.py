@@ -52,11 +52,12 @@ def m07_training_grid(m):
     "candles",
 )
 def m03_candle_fills(m):
-    """Orders on both sides at two limits with every candle, each until ninety days later."""
+    """Orders on both sides at two limits with every candle, each until ninety days later. Candles are dealt out by market once joined, so that the rows made of them stay in their tasks."""
+    rows = dealt(m.candles.drop("origin"), m.raw("lineitem").count(), "ticker", rows_a_task=50_000)
     grid = F.explode(F.array(*[F.struct(F.lit(s).alias("side"), F.lit(p).alias("limit")) for s in ("yes", "no") for p in (40, 60)]))
-    placed = m.candles.select("ticker", F.col("period_us").alias("placed_us"), "seq", grid.alias("g")).select("*", "g.*").drop("g")
+    placed = rows.select("ticker", F.col("period_us").alias("placed_us"), "seq", grid.alias("g")).select("*", "g.*").drop("g")
     orders = placed.select("ticker", "side", "limit", "placed_us", F.struct("ticker", "seq", "side", F.col("limit").alias("lim")).alias("order_id"), (20 + F.col("seq") % 30).alias("quantity"), (F.col("placed_us") + 90 * 86_400_000_000).alias("end_us"))
-    candles = m.candles.select("ticker", "period_us", "seq", "volume", F.col("bid").alias("bid_high"), F.col("ask").alias("ask_low"), F.col("volume").alias("price_high"), F.col("volume").alias("price_low"))
+    candles = rows.select("ticker", "period_us", "seq", "volume", F.col("bid").alias("bid_high"), F.col("ask").alias("ask_low"), F.col("volume").alias("price_high"), F.col("volume").alias("price_low"))
     return V.candle_fill_totals(orders, candles, 0.5).select("order_id.*", "filled", F.round("share", 9).alias("share"), "first_us")
 
 
