@@ -10,7 +10,7 @@ from tidemark.operators import calibration as C
 from tidemark.operators import intervals as I  # noqa: E741
 from tidemark.operators import storage as S
 from tidemark.plans.catalog import query
-from tidemark.session import shared_folder, written
+from tidemark.session import dealt, shared_folder, written
 
 CELL = ("gp", "topic", "price_bucket")
 
@@ -85,9 +85,11 @@ def _runs(m):
     SELECT k AS ticker, resolution, i AS number, greatest(a, b - (i + 1) * size) AS from_s, b - i * size AS to_s FROM (SELECT *, unnest(generate_series(0, CAST(ceil((b - a) / size) AS BIGINT) - 1)) AS i FROM gaps)"""
 )
 def s07_backfill_windows(m):
-    """What is to be fetched of each market at three resolutions, where completed ranges overlap, nest and touch."""
+    """What is to be fetched of each market at three resolutions, where completed ranges overlap, nest and touch. Markets and ranges are dealt out alike, by the number of both."""
+    n = 3 * m.raw("orders").count() + m.raw("lineitem").count()
+    by_key = lambda df: dealt(df, n, "ticker", "resolution", rows_a_task=400_000)
     markets = m.raw("orders").select(F.col("o_orderkey").alias("ticker"), F.explode(F.array(F.lit(1), F.lit(60), F.lit(1440))).alias("resolution"), F.unix_seconds(F.col("o_orderdate").cast("timestamp")).alias("settled_s"))
-    return I.backfill_windows(markets, _runs(m)).withColumnsRenamed({"start": "from_s", "end": "to_s"})
+    return I.backfill_windows(by_key(markets), by_key(_runs(m).where("status = 'completed'"))).withColumnsRenamed({"start": "from_s", "end": "to_s"})
 
 
 @query(
