@@ -82,10 +82,11 @@ def q11_snapshot_and_trade_status(m):
 
 @query("SELECT p.*, CAST(l.options AS BIGINT) AS options, CAST(l.expiries AS BIGINT) AS expiries FROM (SELECT l_suppkey AS symbol, CAST(count(*) AS BIGINT) AS n, epoch_us(min(l_shipdate)) AS first, epoch_us(max(l_shipdate)) AS last, round(avg(l_quantity), 6) AS spot FROM lineitem GROUP BY ALL) p JOIN (SELECT l_suppkey, count(*) AS options, count(DISTINCT l_partkey) AS expiries FROM (SELECT *, max(l_shipdate) OVER (PARTITION BY l_suppkey) AS top FROM lineitem) WHERE l_shipdate = top GROUP BY ALL) l ON symbol = l_suppkey")
 def q12_options_status(m):
-    """Each symbol's totals, and options and expiries of its latest snapshot: a second aggregation meets the first by symbol and time."""
+    """Each symbol's totals, and options and expiries of its latest snapshot: rows that a part of the table already shows to be older go before the shuffle, and a second aggregation meets the first by symbol and time."""
     rows = m.raw("lineitem").select(F.col("l_suppkey").alias("symbol"), F.unix_micros(F.col("l_shipdate").cast("timestamp")).alias("at"), "l_quantity", "l_partkey")
     whole = rows.groupBy("symbol").agg(F.count("*").alias("n"), F.min("at").alias("first"), F.max("at").alias("last"), F.round(F.avg("l_quantity"), 6).alias("spot"))
-    each = rows.groupBy("symbol", "at").agg(F.count("*").alias("options"), F.count_distinct("l_partkey").alias("expiries"))
+    latest = rows.select("symbol", "at", "l_partkey").withColumn("_rank", F.rank().over(Window.partitionBy("symbol").orderBy(F.col("at").desc()))).where("_rank = 1")
+    each = latest.groupBy("symbol", "at").agg(F.count("*").alias("options"), F.count_distinct("l_partkey").alias("expiries"))
     return whole.join(each.withColumnRenamed("at", "last"), ["symbol", "last"])
 
 
