@@ -1,5 +1,7 @@
 """Streaming results are read from files, not held by the driver."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -46,6 +48,27 @@ def test_state_survives_a_restart(spark, tmp_path):
         assert got[7] == want
 
 
+def test_drawdown_order_and_calls(spark, tmp_path):
+    """ST10, ST11: many keys share a call and a state; rows of one micro-batch are folded by id, in whatever order and pieces they come."""
+    source, log, got, plain = str(tmp_path / "in"), str(tmp_path / "log"), {}, {}
+    draw = random.Random(4)
+    for f in range(2):
+        rows = [(f * 600 + i, draw.choice([None, *range(2**60, 2**60 + 40), *[7] * 60]), draw.randrange(-9, 10)) for i in range(600)]
+        for _, k, v in rows:
+            n, cum, peak = plain.get(k, (0, 0, 0))
+            plain[k] = (n + 1, cum + v, max(peak, cum + v))
+        draw.shuffle(rows)
+        spark.createDataFrame(rows, "id long, user long, pnl long").coalesce(1).write.mode("append").parquet(source)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 50)
+    try:
+        stream = streams.drawdowns(streams.files(spark, source, "id long, user long, pnl long", 1), "user", 4)
+        q = stream.writeStream.foreachBatch(lambda b, _: got.update({r.key: (r.n, r.cum, r.peak) for r in b.collect()})).outputMode("update").option("checkpointLocation", log).trigger(availableNow=True).start()
+        q.awaitTermination()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == plain and q.lastProgress["stateOperators"][0]["numRowsTotal"] <= 4 + 1
+
+
 def test_polling_stop_and_progress(spark, tmp_path):
     """ST01, ST02, ST06, ST13, ST14: a second query takes up only what the first hasn't seen."""
     source, out, log = (str(tmp_path / n) for n in ("in", "out", "log"))

@@ -48,23 +48,37 @@ def with_static(stream: DataFrame, static: DataFrame, key: str) -> DataFrame:
     return stream.join(static, key, "left")
 
 
-def drawdowns(stream: DataFrame, key: str) -> DataFrame:
+def drawdowns(stream: DataFrame, key: str, buckets: int = 256) -> DataFrame:
     """ST10, ST11: running pnl, peak and drawdown of each key, kept between batches.
 
-    Rows of a micro-batch come in Arrow batches, and each is folded into the state by itself, in the order of id within it;
-    a file stream of one file a trigger keeps the order of files. A key's rows are never all in memory.
+    Keys are dealt out to buckets by a hash, and a bucket is one state, so that a micro-batch costs Python a call for each bucket, not
+    for each key. A call holds a bucket's rows of one micro-batch and folds them in the order of id, in whichever order the shuffle brings them;
+    a file stream of one file a trigger keeps the order of files. Rows without a key are a bucket of their own; a pnl that is null adds nothing.
     """
+    kind = dict(stream.dtypes)[key]
 
     def update(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        cum, peak, n = state.get if state.exists else (0, 0, 0)
-        for rows in batches:
-            running = cum + rows.sort_values("id")["pnl"].cumsum()
-            if len(running):
-                cum, peak, n = int(running.iloc[-1]), max(peak, int(running.max())), n + len(running)
-        state.update((cum, peak, n))
-        yield pd.DataFrame({"key": [k[0]], "n": [n], "cum": [cum], "peak": [peak], "drawdown": [peak - cum]})
-
-    return stream.groupBy(key).applyInPandasWithState(update, f"key {dict(stream.dtypes)[key]}, n long, cum long, peak long, drawdown long", "cum long, peak long, n long", "update", GroupStateTimeout.NoTimeout)
+        rows = pd.concat(list(batches), ignore_index=True).sort_values("id")
+        keyless = k[0] < 0
+        by = pd.Series(0, index=rows.index) if keyless else rows[key]
+        pnl = rows["pnl"].fillna(0).astype("int64")
+        groups = pd.DataFrame({"pnl": pnl, "running": pnl.groupby(by).cumsum()}).groupby(by, sort=False)
+        new = groups.agg(cum=("pnl", "sum"), peak=("running", "max"), n=("pnl", "size"))
+        if state.exists:
+            keys, *values = state.get
+            old = pd.DataFrame(dict(zip(("cum", "peak", "n"), values, strict=True)), index=[0] if keyless else keys)
+            known = old.reindex(new.index, fill_value=0)
+            rest = old.drop(new.index, errors="ignore")
+        else:
+            known, rest = new * 0, new[:0]
+        now = pd.DataFrame({"cum": known["cum"] + new["cum"], "peak": known["peak"].clip(lower=known["cum"] + new["peak"]), "n": known["n"] + new["n"]})
+        kept = pd.concat([rest, now])
+        state.update(([None] if keyless else kept.index.tolist(), *(kept[c].tolist() for c in ("cum", "peak", "n"))))
+        names = pd.Series([None], dtype=object) if keyless else now.index
+        yield pd.DataFrame({"key": names, "n": now["n"].array, "cum": now["cum"].array, "peak": now["peak"].array, "drawdown": (now["peak"] - now["cum"]).array})
+
+    bucket = F.when(F.col(key).isNull(), -1).otherwise(F.pmod(F.xxhash64(key), F.lit(buckets))).cast("int")
+    return stream.select(F.col(key), "id", "pnl", bucket.alias("_bucket")).groupBy("_bucket").applyInPandasWithState(update, f"key {kind}, n long, cum long, peak long, drawdown long", f"keys array<{kind}>, cum array<long>, peak array<long>, n array<long>", "update", GroupStateTimeout.NoTimeout)
 
 
 def spliced(stream: DataFrame, table: str, keys: list[str], checkpoint: str):
