@@ -69,6 +69,30 @@ def test_drawdown_order_and_calls(spark, tmp_path):
     assert got == plain and q.lastProgress["stateOperators"][0]["numRowsTotal"] <= 4 + 1
 
 
+def test_top_rows_share_states(spark, tmp_path):
+    """Keys share states, so a micro-batch looks into the store once a bucket; whole keys stay whole beside rows without one."""
+    source, log, got, seen = str(tmp_path / "in"), str(tmp_path / "log"), {}, {}
+    draw = random.Random(5)
+
+    def keep(batch, _):
+        fresh = {}
+        for r in batch.collect():
+            fresh.setdefault(r.key, {})[r.rank] = (r.id, r.volume)
+        got.update(fresh)
+
+    for _ in range(2):
+        rows = [(draw.choice([None, *range(2**60, 2**60 + 40)]), draw.randrange(200), draw.randrange(90)) for _ in range(600)]
+        for k, i, v in rows:
+            seen.setdefault(k, {})[i] = max(v, seen.get(k, {}).get(i, v))
+        spark.createDataFrame(rows, "key long, id long, volume long").coalesce(1).write.mode("append").parquet(source)
+    stream = streams.top_rows(streams.files(spark, source, "key long, id long, volume long", 1), buckets=4)
+    with streams.rocksdb_state(spark):
+        q = stream.writeStream.foreachBatch(keep).outputMode("update").option("checkpointLocation", log).trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert got == {k: dict(enumerate(sorted(x.items(), key=lambda r: (-r[1], r[0]))[:5], 1)) for k, x in seen.items()}
+    assert q.lastProgress["stateOperators"][0]["numRowsTotal"] <= 4 + 4
+
+
 def test_polling_stop_and_progress(spark, tmp_path):
     """ST01, ST02, ST06, ST13, ST14: a second query takes up only what the first hasn't seen."""
     source, out, log = (str(tmp_path / n) for n in ("in", "out", "log"))

@@ -110,31 +110,43 @@ def stopped(query: StreamingQuery, seconds: int = 60) -> bool:
 
 
 class TopRows(StatefulProcessor):
-    """The most rows of a key by volume, of equal ones the least id; a list state of at most that many, which a time to live in milliseconds may end."""
+    """The most rows of a key by volume, of equal ones the least id. A group of keys has one value state of at most that many for each, which a time to live in milliseconds may end."""
 
-    def __init__(self, most: int, ttl_ms: int | None) -> None:
-        self.most, self.ttl_ms = most, ttl_ms
+    def __init__(self, most: int, ttl_ms: int | None, kind: str) -> None:
+        self.most, self.ttl_ms, self.kind = most, ttl_ms, kind
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.top = handle.getListState("top", "id long, volume long", self.ttl_ms)
+        self.top = handle.getValueState("top", f"keys array<{self.kind}>, ids array<long>, volumes array<long>", self.ttl_ms)
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803, ANN001
-        best = {int(i): int(v) for i, v in self.top.get()}
+        keyless, old, best, fresh = key[0], self.top.get(), None, set()
+        if old:
+            best = pd.DataFrame({"key": 0 if keyless else old[0], "id": old[1], "volume": old[2]})
         for batch in rows:
-            for i, v in zip(batch["id"].tolist(), batch["volume"].tolist(), strict=True):
-                best[i] = max(v, best.get(i, v))
-            best = dict(sorted(best.items(), key=lambda r: (-r[1], r[0]))[: self.most])
-        self.top.put(list(best.items()))
-        yield pd.DataFrame({"key": key[0], "rank": range(1, len(best) + 1), "id": list(best), "volume": list(best.values())})
+            new = batch[["id", "volume"]].assign(key=0 if keyless else batch["key"])
+            fresh.update(new["key"].unique())
+            every = pd.concat([best, new], ignore_index=True).sort_values(["volume", "id"], ascending=[False, True])
+            best = every.drop_duplicates(["key", "id"]).groupby("key", sort=False).head(self.most)
+        self.top.update(([None] * len(best) if keyless else best["key"].tolist(), best["id"].tolist(), best["volume"].tolist()))
+        out = best[best["key"].isin(fresh)]
+        names = pd.Series([None] * len(out), dtype=object) if keyless else out["key"].array
+        yield pd.DataFrame({"key": names, "rank": out.groupby("key").cumcount().array + 1, "id": out["id"].array, "volume": out["volume"].array})
 
     def close(self) -> None:
         pass
 
 
-def top_rows(stream: DataFrame, most: int = 5, ttl_ms: int | None = None) -> DataFrame:
-    """O06, ST10: of (key, id, volume) the rows of largest volume of each key as of each micro-batch that has rows of it: key, rank, id, volume. An id that comes again counts with its largest volume. Needs the RocksDB state store (`rocksdb_state`)."""
-    mode = "ProcessingTime" if ttl_ms else "None"
-    return stream.groupBy("key").transformWithStateInPandas(TopRows(most, ttl_ms), f"key {dict(stream.dtypes)['key']}, rank long, id long, volume long", "update", mode)
+def top_rows(stream: DataFrame, most: int = 5, ttl_ms: int | None = None, buckets: int = 256) -> DataFrame:
+    """O06, ST10: of (key, id, volume) the rows of largest volume of each key as of each micro-batch that has rows of it: key, rank, id, volume. An id that comes again counts with its largest volume. Needs the RocksDB state store (`rocksdb_state`).
+
+    Keys share a state by a hash, so that a micro-batch costs Python a call and a look into the store for each bucket, not for each key. With a time to live each key has a state of its own, as each ends by itself. Rows without a key are a group of their own.
+    """
+    mode, kind = "ProcessingTime" if ttl_ms else "None", dict(stream.dtypes)["key"]
+    group = F.col("key") if ttl_ms else F.pmod(F.xxhash64("key"), F.lit(buckets)).cast("int")
+    # a null would turn the whole numbers of its data frame into floats
+    filled = F.coalesce("key", F.lit(0).cast(kind)) if kind in ("tinyint", "smallint", "int", "bigint") else F.col("key")
+    rows = stream.select(filled.alias("key"), "id", "volume", F.col("key").isNull().alias("_keyless"), group.alias("_group"))
+    return rows.groupBy("_keyless", "_group").transformWithStateInPandas(TopRows(most, ttl_ms, kind), f"key {kind}, rank long, id long, volume long", "update", mode)
 
 
 @contextlib.contextmanager
