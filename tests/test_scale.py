@@ -52,3 +52,9 @@ def test_queue_stays_with_its_market(spark, sf, monkeypatch):
 def test_old_snapshots_go_before_the_shuffle(spark, sf):
     """Q12: what is shuffled for the latest snapshot is what a part of the table has last."""
     assert "WindowGroupLimit" in plan_of(spark, sf, "q12_options_status")
+
+
+def test_counts_of_markets_are_not_shuffled(spark, sf):
+    """A market is counted in each cell where its quotes are dealt out to, before they are a row for each method; only its slices go by cell and market."""
+    by_ticker = [x for x in plan_of(spark, sf, "j16_averaged_rates").splitlines() if "Exchange hashpartitioning(" in x and "ticker#" in x]
+    assert by_ticker and all("bucket_index#" in x or "REPARTITION_BY_COL" in x for x in by_ticker)

@@ -39,21 +39,23 @@ def _beside(rows: DataFrame, totals: DataFrame, keys: Sequence[str]) -> DataFram
     return rows.join(other, same).drop(*[f"{k}_of_total" for k in keys])
 
 
-def event_rates(obs: DataFrame, price: str, least_markets: int = LEAST_MARKETS, sources: Sequence[str] = SOURCES) -> DataFrame:
+def event_rates(obs: DataFrame, price: str, least_markets: int = LEAST_MARKETS, sources: Sequence[str] = SOURCES, by_market: DataFrame | None = None) -> DataFrame:
     """Rates of YES by process, topic, price bucket and adaptive slice of hours before settlement.
 
     obs has ticker, gp, topic, hours, yes, source, period_us, seq and a price in dollars. A cell with enough different
     markets is cut, in order of hours, into as many slices of equal rows as its markets allow; each market counts
     once in a slice; rates are smoothed over neighbouring slices by their markets; the source of a slice is its most
     frequent one, of equal ones the first in order. Rows are ranked within an hour of a cell and put after the counted
-    rows of the hours before, so that no task sorts a whole cell.
+    rows of the hours before, so that no task sorts a whole cell. by_market, if given, are the rows of obs dealt out by
+    ticker, from which its markets are counted where they are.
     """
     cell = ["gp", "topic", "price_bucket"]
     price_bucket, hour = X.price_bucket(F.col(price)).alias("price_bucket"), F.floor("hours").alias("hour")
-    rows = obs.select(*cell[:2], price_bucket, hour, "ticker", "hours", "period_us", "seq", "source", F.col("yes").cast("int").alias("yes")).where("price_bucket IS NOT NULL")
+    known = lambda df, *more: df.select(*cell[:2], price_bucket, hour, "ticker", *more).where("price_bucket IS NOT NULL")
+    rows = known(obs, "hours", "period_us", "seq", "source", F.col("yes").cast("int").alias("yes"))
     whole = Window.partitionBy(*cell)
     # the place of a row in its cell: the rows of all earlier hours, and its place in its own hour
-    counted = rows.groupBy(*cell, "hour", "ticker").agg(F.count("*").alias("c"))
+    counted = (rows if by_market is None else known(by_market)).groupBy(*cell, "hour", "ticker").agg(F.count("*").alias("c"))
     hours = counted.groupBy(*cell, "hour").agg(F.sum("c").alias("c"))
     before = F.sum("c").over(whole.orderBy("hour")) - F.col("c")
     placed_hours = hours.select(*cell, "hour", before.alias("before"), F.sum("c").over(whole).alias("cell_rows"))
@@ -80,10 +82,13 @@ def event_rates(obs: DataFrame, price: str, least_markets: int = LEAST_MARKETS,
 
 
 def rates_by_method(obs: DataFrame, least_markets: int = LEAST_MARKETS, sources: Sequence[str] = SOURCES) -> DataFrame:
-    """C01 by each of the price methods in one pass: obs has bid, ask and trade in cents instead of a price; the method is one more part of the cell."""
+    """C01 by each of the price methods in one pass: obs has bid, ask and trade in cents instead of a price; the method is one more part of the cell.
+
+    Quotes are dealt out by ticker to count markets before they become a row for each method, so that counts of a market aren't shuffled.
+    """
     prices = F.explode(F.array(*[F.struct(F.lit(m).alias("method"), conditioning_price(m, F.col("bid"), F.col("ask"), F.col("trade")).alias("price")) for m in METHODS]))
-    rows = obs.withColumn("_p", prices).where("_p.price IS NOT NULL").withColumn("gp", F.struct("_p.method", "gp")).withColumn("price", F.col("_p.price")).drop("_p")
-    return event_rates(rows, "price", least_markets, sources).withColumn("method", F.col("gp.method")).withColumn("gp", F.col("gp.gp"))
+    priced = lambda df: df.withColumn("_p", prices).where("_p.price IS NOT NULL").withColumn("gp", F.struct("_p.method", "gp")).withColumn("price", F.col("_p.price")).drop("_p")
+    return event_rates(priced(obs), "price", least_markets, sources, priced(obs.repartition("ticker"))).withColumn("method", F.col("gp.method")).withColumn("gp", F.col("gp.gp"))
 
 
 def averaged_rates(questions: DataFrame, rates: DataFrame) -> DataFrame:
