@@ -142,9 +142,9 @@ def top_rows(stream: DataFrame, most: int = 5, ttl_ms: int | None = None, bucket
     Keys share a state by a hash, so that a micro-batch costs Python a call and a look into the store for each bucket, not for each key. With a time to live each key has a state of its own, as each ends by itself. Rows without a key are a group of their own.
     """
     mode, kind = "ProcessingTime" if ttl_ms else "None", dict(stream.dtypes)["key"]
-    group = F.col("key") if ttl_ms else F.pmod(F.xxhash64("key"), F.lit(buckets)).cast("int")
     # a null would turn the whole numbers of its data frame into floats
     filled = F.coalesce("key", F.lit(0).cast(kind)) if kind in ("tinyint", "smallint", "int", "bigint") else F.col("key")
+    group = filled if ttl_ms else F.pmod(F.xxhash64("key"), F.lit(buckets)).cast("int")
     rows = stream.select(filled.alias("key"), "id", "volume", F.col("key").isNull().alias("_keyless"), group.alias("_group"))
     return rows.groupBy("_keyless", "_group").transformWithStateInPandas(TopRows(most, ttl_ms, kind), f"key {kind}, rank long, id long, volume long", "update", mode)
 
