@@ -165,6 +165,29 @@ def test_whole_texts_by_any_tokenizer(spark, name):
     assert [r.ids_crc32 for r in sorted(token_files.round_trip(docs, path).collect())] == want
 
 
+def test_texts_that_skip_steps_have_the_library_s_ids():
+    """Texts of ASCII and Latin letters are only cut and encoded, with the ids of all the file's steps; other texts take the steps, as do those of other tokenizers."""
+    import random
+
+    from tokenizers import Tokenizer
+
+    path = queries.tokenizer_path()
+    t = Tokenizer.from_file(path)
+    _, plain, added = token_files._tokenizers(path)
+    assert plain.normalizer is None and token_files._tokenizers(queries.tokenizer_path("byte_bpe_50k.json"))[1] is None
+    simple = [chr(c) for c in range(0x250) if token_files._prepared(chr(c), added) is not None]
+    assert [t.normalizer.normalize_str(f"x{c}x") for c in simple] == [f"x{' ' if c.isspace() else c.lower()}x" for c in simple]
+    assert {*"aZ\n '_9éÀßȺ"} <= {*simple} and not {*"\x0b\x85\xa0×ª\u0130\x7f"} & {*simple}
+    odd = ["\u0301", "\u0130", "Σ", "–", "日本", "\x0b", "\x85", "\xa0", "×", "<|endoftext|>", "<|ENDOFTEXT|>"]
+    assert all(token_files._prepared(f"a{x}", added) is None for x in odd)
+    rng = random.Random(1)
+    pieces = simple + ["'s", "'RE", "'ll", "''", "12", "&&", "the", "\n\n"] * 5
+    texts = [a + b for a in simple for b in simple[:100]]
+    texts += ["".join(rng.choices(pieces, k=rng.randrange(80))) for _ in range(5000)] + ["".join(rng.choices(pieces + odd * 3, k=rng.randrange(80))) for _ in range(5000)]
+    want = [np.array(e.ids, "<u2").tobytes() for e in t.encode_batch_fast(texts, add_special_tokens=False)]
+    assert token_files.encode(path, texts, "<u2") == want
+
+
 def test_warc(spark):
     big = "x" * 1500
     rows = [(1, "http://www.B.com/p?q#f", big), (5, None, big), (3, "https://b.com:80/p?q", big), (5, "u%0Av\r\nw", big), (2, "http://a.org", None), (4, "http://a.org", "small"), (6, "http://a.org", "small"), (None, "http://z", "né\r\n\r\nWARC/1.1\r\n")]
