@@ -188,6 +188,38 @@ def test_texts_that_skip_steps_have_the_library_s_ids():
     assert token_files.encode(path, texts, "<u2") == want
 
 
+def test_whole_texts_are_merged_as_one():
+    """The library gets a text uncut, with the last letters of its words marked, and cuts at white space in a very long one only; the ids are those of all the file's steps."""
+    import json
+    import random
+
+    from tokenizers import Tokenizer
+
+    path = queries.tokenizer_path()
+    t = Tokenizer.from_file(path)
+    _, _, added = token_files._tokenizers(path)
+
+    def ready(texts):
+        return token_files._marked([token_files._prepared(x, added) for x in texts])
+
+    def shown(text):
+        return "".join(chr(ord(c) - token_files._LAST) + "|" if ord(c) >= token_files._LAST else c for c in text)
+
+    texts = ["It's", "", "'re", "don't've", " ..'s 'll'd'x ", "rock'n'roll ''t", "a12,5", "'", "'l", "'"]
+    assert [shown(x) for x in ready(texts)] == ["it|'s|", "", "'re|", "don|'t|'ve|", "..'|s|'ll|'d|'|x|", "rock|'|n|'|roll|''|t|", "a|1|2|,|5|", "'|", "'|l|", "'|"]
+    rng = random.Random(2)
+    texts += ["".join(rng.choices([*"aelrstvdm1. é", *"'" * 3], k=n)) for n in range(400) for _ in range(5)]
+    long = "\n".join(rng.choices(texts, k=4000))
+    texts += [long, "x" * 70_000, long.replace(" ", "").replace("\n", "")]
+    assert sum(" " in x for x in ready(texts)) < 20 and 8 <= ready([long])[0].count(" ") <= len(long.encode()) // token_files._PIECE
+    assert token_files.encode(path, texts, "<u2") == [np.array(e.ids, "<u2").tobytes() for e in t.encode_batch_fast(texts, add_special_tokens=False)]
+    with open(path, encoding="utf-8") as f:
+        model = json.load(f)["model"]
+    assert token_files._with_last_letters(model) and token_files._with_last_letters(model | {"ignore_merges": True}) is None
+    assert token_files._with_last_letters(model | {"merges": [*model["merges"], ["e</w>", "x"]]}) is None
+    assert token_files._with_last_letters(model | {"vocab": {w: i for w, i in model["vocab"].items() if w != "e</w>"}}) is None
+
+
 def test_warc(spark):
     big = "x" * 1500
     rows = [(1, "http://www.B.com/p?q#f", big), (5, None, big), (3, "https://b.com:80/p?q", big), (5, "u%0Av\r\nw", big), (2, "http://a.org", None), (4, "http://a.org", "small"), (6, "http://a.org", "small"), (None, "http://z", "né\r\n\r\nWARC/1.1\r\n")]

@@ -43,62 +43,112 @@ _STEPS = (
         ],
     },
 )
+# Its model: nothing is left to chance, and words end by a symbol of their own.
+_MODEL = {"type": "BPE", "dropout": None, "unk_token": None, "continuing_subword_prefix": None, "end_of_word_suffix": "</w>", "fuse_unk": False, "byte_fallback": False, "ignore_merges": False}
 # Characters other than ASCII, and letters that are composed already and become lower case each by itself.
 _ODD = re.compile("[^\t\n\r -~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]")
-# The cut for texts without such characters, whose bytes are letters already: these come first, as most pieces are words.
-_CUT = "[a-z\u00a1-\u0143]++|'(?:s|t|re|ve|m|ll|d)|[0-9]|[!-/:-@\\[-`{-~]++"
-# ByteLevel's letter of each byte from 0x80.
+# ByteLevel's letter of each byte of such a text, and that of a word's last byte: the model has symbols of its own for those ("e</w>"), here each is one character.
+_LAST = 0x200
 _LETTERS = np.arange(256, dtype="<u2")
 _LETTERS[[*range(0x80, 0xA1), 0xAD]] = range(0x122, 0x144)
+_LETTERS = np.concatenate([_LETTERS, _LETTERS + np.uint16(_LAST)]).astype("<u2")
+# A byte is white space, of a letter, a digit or of another character.
+_SPACE, _LETTER, _DIGIT, _OTHER = range(4)
+_KINDS = np.full(256, _OTHER, np.uint8)
+_KINDS[[*b"\t\n\r "]] = _SPACE
+_KINDS[[*b"abcdefghijklmnopqrstuvwxyz", *range(0x80, 0x100)]] = _LETTER
+_KINDS[[*b"0123456789"]] = _DIGIT
+# The library's merges of n letters take n log n steps, and memory at random; so they are of a piece of about so many bytes.
+_PIECE = 1 << 16
 
 _TOKENIZERS: dict[str, tuple] = {}
 
 
+def _with_last_letters(model: dict) -> tuple[dict[str, int], list[tuple[str, str]]] | None:
+    """Vocabulary and merges of a BPE model with each last letter of a word as one character; None if the model isn't one in which such letters alone keep words apart."""
+    if {k: v for k, v in model.items() if k not in ("vocab", "merges")} != _MODEL:
+        return None
+    vocab = model["vocab"]
+    letters = {w for w in vocab if len(w) == 1}
+    if not {chr(c) for c in _LETTERS[[*range(0x21, 0x7F), *range(0x80, 0x100)]]} <= letters or max(letters) >= chr(_LAST) or not {f"{c}</w>" for c in letters} <= vocab.keys():
+        return None
+    names = {c: c for c in letters} | {f"{c}</w>": chr(ord(c) + _LAST) for c in letters}
+    merges = []
+    for left, right in model["merges"]:
+        if not {left, right} <= names.keys() or names[left][-1] >= chr(_LAST):
+            return None
+        merges.append((names[left], names[right]))
+        both = names[left] + names[right]
+        if names.setdefault(left + right, both) != both:
+            return None
+    return {names[w]: i for w, i in vocab.items() if w in names}, merges
+
+
 def _tokenizers(tokenizer_file: str) -> tuple:
-    """The tokenizer of a file; the same model behind a cut alone, where the file takes the steps known here; its added tokens in lower case. A worker loads them once."""
+    """The tokenizer of a file; its model alone, for texts from _marked, where the file takes the steps known here; its added tokens in lower case. A worker loads them once."""
     if tokenizer_file not in _TOKENIZERS:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Regex, Tokenizer, pre_tokenizers
+        from tokenizers import Tokenizer, models, pre_tokenizers
 
         whole, plain = Tokenizer.from_file(tokenizer_file), None
         whole.model._resize_cache(CACHED_WORDS)
         with open(tokenizer_file, encoding="utf-8") as f:
             spec = json.load(f)
-        if (spec["normalizer"], spec["pre_tokenizer"]) == _STEPS:
-            plain = Tokenizer.from_file(tokenizer_file)
-            plain.normalizer = None
-            plain.pre_tokenizer = pre_tokenizers.Split(Regex(_CUT), "removed", invert=True)
-            plain.model = whole.model  # one cache for both
+        if (spec["normalizer"], spec["pre_tokenizer"]) == _STEPS and (model := _with_last_letters(spec["model"])):
+            plain = Tokenizer(models.BPE(*model))
+            plain.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
         _TOKENIZERS[tokenizer_file] = whole, plain, [t["content"].lower() for t in spec["added_tokens"]]
     return _TOKENIZERS[tokenizer_file]
 
 
-def _prepared(text: str, added: list[str]) -> str | None:
-    """The text in lower case and with its bytes as letters; None if it has an added token or a character for which only the library's own steps are sure."""
+def _prepared(text: str, added: list[str]) -> bytes | None:
+    """The text in lower case; None if it has an added token or a character for which only the library's own steps are sure."""
     if _ODD.search(text):
         return None
     low = text.lower()
-    if any(t in low for t in added):
-        return None
-    return low if low.isascii() else _LETTERS[np.frombuffer(low.encode(), np.uint8)].tobytes().decode("utf-16-le")
+    return None if any(t in low for t in added) else low.encode()
+
+
+def _marked(texts: list[bytes]) -> list[str]:
+    """Texts from _prepared, each byte as its letter, or as another one where it ends a word: the file's cut. White space goes, but for a character in each piece of a batch, where the library cuts long texts."""
+    data = np.frombuffer(b" ".join([b"", *texts, b" "]), np.uint8)
+    kinds = _KINDS[data]
+    last = np.append(kinds[:-1] != kinds[1:], True) | (kinds == _DIGIT)
+    # 's, 't, 'm, 'd, 're, 've and 'll are words, but for a ' within other characters
+    at = np.flatnonzero(data == ord("'"))
+    at = at[kinds[at - 1] != _OTHER]
+    first, second = data[at + 1], data[at + 2]
+    short = np.isin(first, [*b"stmd"])
+    long = np.isin(first, [*b"rv"]) & (second == ord("e")) | (first == ord("l")) & (second == ord("l"))
+    last[at[short | long]] = False
+    last[at[short] + 1] = True
+    last[at[long] + 2] = True
+    kept = kinds != _SPACE
+    spaces = np.flatnonzero(~kept)
+    spaces = spaces[1:][np.diff(spaces // _PIECE) > 0]
+    kept[spaces], last[spaces] = True, False
+    letters = _LETTERS[data[kept] + last[kept] * np.uint16(256)].tobytes().decode("utf-16-le")
+    ends = np.cumsum(kept)[np.cumsum([len(t) + 1 for t in texts])].tolist()
+    return [letters[i:j] for i, j in zip([0, *ends], ends, strict=False)]
 
 
 def encode(tokenizer_file: str, texts: list[str], dtype: str) -> list[bytes]:
     """Ids of whole texts by the tokenizers library, without special tokens.
 
-    The library keeps the place of each byte through every step of a tokenizer, which takes about as long as the rest. So
-    whole texts of ASCII and Latin letters come to it in lower case and with their bytes as letters, and it only cuts and
-    encodes them; the steps that are left out don't change such a text further. All others take the steps of the file.
+    For each word the library makes a string of its own, with the place of each byte, and looks it up; that takes longer than
+    the model's merges. Nothing is merged past a word's last letter, which is another symbol than the same letter within.
+    So whole texts of ASCII and Latin letters come to the library in lower case with those letters marked, and it merges each
+    text as one; the steps that are left out don't change such a text further. All others take the steps of the file.
     """
     whole, plain, added = _tokenizers(tokenizer_file)
     ready = [plain and _prepared(t, added) for t in texts]
     found: list[bytes] = [b""] * len(texts)
     for tokenizer, at in ((whole, [i for i, r in enumerate(ready) if r is None]), (plain, [i for i, r in enumerate(ready) if r is not None])):
         if at:
-            encoded = tokenizer.encode_batch_fast([texts[i] if tokenizer is whole else ready[i] for i in at], add_special_tokens=False)
-            for i, e in zip(at, encoded, strict=True):
+            given = [texts[i] for i in at] if tokenizer is whole else _marked([ready[i] for i in at])
+            for i, e in zip(at, tokenizer.encode_batch_fast(given, add_special_tokens=False), strict=True):
                 found[i] = np.array(e.ids, dtype).tobytes()
     return found
 
